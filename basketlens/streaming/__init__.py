@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysis this library re-implements is a batch analysis over finished
+tables; it has no streams, watermarks, event-time windows or stateful
+operators, so nothing is built here.  All operators are plain DataFrame
+transformations and therefore also accept a streaming DataFrame where Spark
+allows the same operation (e.g. inside ``foreachBatch``), but no streaming
+query is registered.
+"""
