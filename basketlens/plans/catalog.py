@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS
+from basketlens.operators import categories as ca
 from basketlens.operators import customers as cu
 from basketlens.operators import quality as qa
+from basketlens.operators import sellers as se
 from basketlens.plans.export import portable
 from basketlens.sources import fixture
 from basketlens.sources.loaders import row_counts
@@ -24,6 +26,10 @@ from basketlens.sources.tables import RetailTables
 
 TableQuery = Callable[[RetailTables], DataFrame]
 
+# No product of the test tables reaches 100 distinct buyers at any scale factor, so the
+# registered product-level queries use 5 (the operator default stays at 100).
+TEST_MIN_BUYERS = 5
+
 
 def _seg(t: RetailTables) -> DataFrame:
     return cu.customer_segments(t)
@@ -57,6 +63,40 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "band_counts": lambda t: cu.band_counts(_seg(t)),
     "band_avg_monetary": lambda t: cu.band_avg_monetary(_seg(t)),
     "segment_count": lambda t: cu.segment_count(_seg(t)),
+    # ---- categories and products ----
+    "category_mix": ca.category_mix,
+    "category_pair_share": ca.category_pair_share,
+    "segment_category_revenue": lambda t: ca.segment_category_revenue(t, _seg(t)),
+    "segment_totals": lambda t: ca.segment_totals(ca.segment_category_revenue(t, _seg(t))),
+    "overall_category_share": lambda t: ca.overall_category_share(ca.segment_category_revenue(t, _seg(t))),
+    "category_over_index": lambda t: ca.category_over_index(t, _seg(t)),
+    "category_over_index_wide": lambda t: ca.over_index_wide(t, _seg(t)),
+    "over_index_flag": lambda t: ca.over_index_flag(t, _seg(t)),
+    "top_products": lambda t: ca.top_products(t, TEST_MIN_BUYERS),
+    "product_segment_revenue": lambda t: ca.product_segment_revenue(
+        t, _seg(t), ca.top_products(t, TEST_MIN_BUYERS)),
+    "product_segment_share": lambda t: ca.product_segment_share(t, _seg(t), TEST_MIN_BUYERS),
+    "product_share_mean": lambda t: ca.product_share_mean(t, _seg(t), TEST_MIN_BUYERS),
+    "repeat_rate": ca.repeat_rate,
+    "buyer_profile": lambda t: ca.buyer_profile(t, _seg(t)).drop("pct_high_frequency"),
+    "buyer_high_frequency": lambda t: ca.buyer_profile(t, _seg(t)).select(
+        "category", "customers", "pct_high_frequency"),
+    "purchase_gaps": ca.purchase_gaps,
+    "gap_mid": lambda t: ca.percent_rank_mid(ca.gap_histogram(t), "category", "days_since_prev"),
+    "gap_median": lambda t: ca.median_from_histogram(ca.gap_histogram(t), "category", "days_since_prev"),
+    "category_aov": ca.category_aov,
+    # ---- sellers ----
+    "seller_floor": se.seller_floor,
+    "catalog_size": se.catalog_size,
+    "catalog_confound": lambda t: se.confound_check(t, "fbs_standard"),
+    "catalog_confound_type": lambda t: se.confound_check(t, "seller_type"),
+    "seller_metrics": se.seller_metrics,
+    "seller_type_means": lambda t: se.seller_type_means(se.seller_metrics(t)),
+    "logistics_means": lambda t: se.logistics_means(se.seller_metrics(t)),
+    "seller_ratios": lambda t: se.seller_ratios(se.seller_metrics(t)),
+    "status_mix_seller_type": lambda t: se.status_mix_by(t, "seller_type"),
+    "status_mix_logistics": lambda t: se.status_mix_by(t, "fbs_standard"),
+    "segment_mix_seller_type": lambda t: se.segment_mix_by(t, _seg(t), "seller_type"),
 }
 
 
