@@ -149,3 +149,29 @@ def seller_ratios(metrics: DataFrame) -> DataFrame:
                       / mean_where("revenue_per_product", "fbs_standard", "FBS"), 3)
         .alias("standard_over_fbs_per_product"),
     )
+
+
+def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard")) -> DataFrame:
+    """Exact medians next to the means, per seller attribute (r0).
+
+    ``dimension, group_value, median_revenue, median_revenue_per_product,
+    median_revenue_per_customer``; computed with :func:`value_ranks`, so no group's
+    values are gathered into one task.
+    """
+    from basketlens.operators.ranks import rounded_median, value_ranks
+
+    measures = (("revenue", "median_revenue"),
+                ("revenue_per_product", "median_revenue_per_product"),
+                ("revenue_per_customer", "median_revenue_per_customer"))
+    parts = []
+    for attr in dimensions:
+        meds = None
+        for col, name in measures:
+            m = rounded_median(value_ranks(metrics, col, [attr]), col, [attr], name, 0)
+            meds = m if meds is None else meds.join(m, attr)
+        parts.append(meds.select(F.lit(attr).alias("dimension"), F.col(attr).alias("group_value"),
+                                 *[name for _, name in measures]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

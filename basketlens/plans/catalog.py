@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from basketlens.config import LABELS, THRESHOLDS
 from basketlens.operators import categories as ca
 from basketlens.operators import customers as cu
+from basketlens.operators import extracts as ex
 from basketlens.operators import quality as qa
+from basketlens.operators import scores as sc
 from basketlens.operators import sellers as se
 from basketlens.plans.export import portable
 from basketlens.sources import fixture
@@ -97,6 +99,16 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "status_mix_seller_type": lambda t: se.status_mix_by(t, "seller_type"),
     "status_mix_logistics": lambda t: se.status_mix_by(t, "fbs_standard"),
     "segment_mix_seller_type": lambda t: se.segment_mix_by(t, _seg(t), "seller_type"),
+    "seller_medians": lambda t: se.seller_medians(se.seller_metrics(t)),
+    # ---- described in prose: score and its tie diagnostic ----
+    "rfm_score": lambda t: sc.rfm_score(_seg(t)),
+    "rfm_score_tie_split": lambda t: sc.tie_split_report(_seg(t)),
+    # ---- chart extracts ----
+    "chart_bars": lambda t: ex.bars(cu.band_summary(_seg(t)), ca.category_mix(t)),
+    "chart_aov_repeat": lambda t: ex.aov_repeat(ca.repeat_rate(t), ca.category_aov(t)),
+    "chart_over_index_offset": lambda t: ex.over_index_offset(ca.category_over_index(t, _seg(t))),
+    "chart_seller_views": lambda t: ex.seller_views(se.logistics_means(se.seller_metrics(t))),
+    "chart_band_labels": lambda t: ex.band_labels(cu.band_summary(_seg(t))),
 }
 
 
