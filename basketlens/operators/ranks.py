@@ -38,14 +38,18 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
     by = list(by)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    fractions = [i / buckets for i in range(1, buckets)]
-    cut_agg = F.percentile_approx(value, fractions, CUT_ACCURACY).alias("_cuts")
-    if by:
-        cuts = hist.groupBy(*by).agg(cut_agg)
-        hb = hist.join(F.broadcast(cuts), by)
+    if buckets <= 1:
+        hb = hist.withColumn("_b", F.lit(0))
     else:
-        hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
-    hb = hb.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        fractions = [i / buckets for i in range(1, buckets)]
+        cut_agg = F.percentile_approx(value, fractions, CUT_ACCURACY).alias("_cuts")
+        if by:
+            cuts = hist.groupBy(*by).agg(cut_agg)
+            hb = hist.join(F.broadcast(cuts), by)
+        else:
+            hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
+        below_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+        hb = hb.withColumn("_b", F.coalesce(below_cuts, F.lit(0))).drop("_cuts")
     totals = hb.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
     totals = (totals.withColumn("_off", F.sum("_bn").over(Window.partitionBy(*by).orderBy("_b"))
                                 - F.col("_bn"))
