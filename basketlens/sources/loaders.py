@@ -75,4 +75,4 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None) -> DataFra
     spark = df.sparkSession
     target = path or f"{shared_dir(spark)}/basketlens/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

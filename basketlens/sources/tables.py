@@ -17,6 +17,7 @@ class RetailTables:
     order_items: DataFrame
     products: DataFrame
     sellers: DataFrame
+    persist_derived: bool = False
     _derived: dict = field(default_factory=dict, repr=False)
 
     # ---- constructors -------------------------------------------------
@@ -51,10 +52,11 @@ class RetailTables:
     def derived(self, name: str, build, *, persist: bool = False) -> DataFrame:
         """Memoize a derived table on this object.
 
-        With ``persist=True`` the table is written to the shared folder once
-        (see :func:`materialize`) and later uses read the files.
+        With ``persist=True`` (or ``persist_derived`` set on the object) the table
+        is written to the shared folder once (see :func:`materialize`) and later
+        uses read the files -- the ``CREATE TABLE AS`` step of the analysis.
         """
         if name not in self._derived:
             df = build(self)
-            self._derived[name] = materialize(df, name) if persist else df
+            self._derived[name] = materialize(df, name) if (persist or self.persist_derived) else df
         return self._derived[name]
