@@ -126,8 +126,9 @@ def headline_split(seg: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
 
 def band_table(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """The five bands in fixed order, ``(band_order, freq_band)``, as a small literal frame."""
-    rows = [(i + 1, b) for i, b in enumerate(labels.bands)]
-    return seg.sparkSession.createDataFrame(rows, "band_order int, freq_band string")
+    rows = [F.struct(F.lit(i + 1).alias("band_order"), F.lit(b).alias("freq_band"))
+            for i, b in enumerate(labels.bands)]
+    return seg.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def band_counts(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:

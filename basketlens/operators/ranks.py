@@ -60,14 +60,21 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
             .select(*by, value, "n", (F.col("_off") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 
-def quantile_score(ranks: DataFrame, k: int = 5, higher_is_better: bool = True) -> DataFrame:
+def _worse(higher_is_better):
+    """Rows with a strictly worse value; ``higher_is_better`` is a bool or a boolean Column."""
+    above = F.col("total") - F.col("below") - F.col("n")
+    if isinstance(higher_is_better, bool):
+        return F.col("below") if higher_is_better else above
+    return F.when(higher_is_better, F.col("below")).otherwise(above)
+
+
+def quantile_score(ranks: DataFrame, k: int = 5, higher_is_better=True) -> DataFrame:
     """Adds ``score`` in 1..k: ``1 + floor(k * worse / total)``; ties share a score.
 
     ``worse`` is the number of rows with a strictly worse value (smaller when
     higher is better, larger otherwise).
     """
-    worse = (F.col("below") if higher_is_better
-             else F.col("total") - F.col("below") - F.col("n"))
+    worse = _worse(higher_is_better)
     scaled = worse * k
     whole = (scaled - scaled % F.col("total")) / F.col("total")   # exact integer division
     return ranks.withColumn("score", (F.lit(1) + whole).cast("bigint"))
@@ -83,20 +90,18 @@ def ntile_of(position, total, k: int = 5):
     return F.when(position <= big, first).otherwise(rest).cast("bigint")
 
 
-def tie_split(ranks: DataFrame, measure: str, k: int = 5, higher_is_better: bool = True) -> DataFrame:
+def tie_split(ranks: DataFrame, by: Sequence[str] = (), k: int = 5, higher_is_better=True) -> DataFrame:
     """How many tie groups a position-based ``NTILE(k)`` would cut into several tiles.
 
-    ``(measure, distinct_values, split_values, customers_in_split_values)``.
+    ``(by..., distinct_values, split_values, rows_in_split_values)`` per group.
     """
-    start = (F.col("below") if higher_is_better
-             else F.col("total") - F.col("below") - F.col("n")) + 1
+    start = _worse(higher_is_better) + 1
     end = start + F.col("n") - 1
     split = ntile_of(start, F.col("total"), k) != ntile_of(end, F.col("total"), k)
-    return ranks.agg(F.count(F.lit(1)).alias("distinct_values"),
-                     F.count_if(split).alias("split_values"),
-                     F.coalesce(F.sum(F.when(split, F.col("n"))), F.lit(0)).cast("bigint")
-                     .alias("customers_in_split_values")).select(
-        F.lit(measure).alias("measure"), "distinct_values", "split_values", "customers_in_split_values")
+    return ranks.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("distinct_values"),
+        F.count_if(split).alias("split_values"),
+        F.coalesce(F.sum(F.when(split, F.col("n"))), F.lit(0)).cast("bigint").alias("rows_in_split_values"))
 
 
 def median_from_ranks(ranks: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:

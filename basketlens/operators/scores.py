@@ -11,6 +11,9 @@ values straddle quintile edges.  No formula is given; ours is:
 
 :func:`tie_split_report` counts the tie groups that a position-based
 ``NTILE(5)`` would cut in two -- the reason the score was rejected.
+
+The three measures are stacked into one long frame so that a single
+:func:`value_ranks` pass (grouped by measure) ranks all of them.
 """
 
 from __future__ import annotations
@@ -20,24 +23,34 @@ from pyspark.sql import functions as F
 
 from basketlens.operators.ranks import quantile_score, tie_split, value_ranks
 
-MEASURES = (("recency", False), ("frequency", True), ("monetary", True))
+MEASURES = ("recency", "frequency", "monetary")
+LOWER_IS_BETTER = ("recency",)
+
+
+def _long(seg: DataFrame) -> DataFrame:
+    wide = seg.select("customer_id", *[F.col(m).cast("double").alias(m) for m in MEASURES])
+    return wide.unpivot("customer_id", list(MEASURES), "measure", "value")
+
+
+def _better_when_higher():
+    return ~F.col("measure").isin(list(LOWER_IS_BETTER))
 
 
 def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
     """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``."""
-    out = seg.select("customer_id", "recency", "frequency", "monetary")
-    for measure, higher_is_better in MEASURES:
-        scores = (quantile_score(value_ranks(seg, measure), k, higher_is_better)
-                  .select(measure, F.col("score").alias(f"{measure[0]}_score")))
-        out = out.join(scores, measure, "left")
-    return out.select("customer_id", "r_score", "f_score", "m_score",
-                      (F.col("r_score") + F.col("f_score") + F.col("m_score")).alias("rfm_score"))
+    long = _long(seg)
+    scores = (quantile_score(value_ranks(long, "value", ["measure"]), k, _better_when_higher())
+              .select("measure", "value", "score"))
+    per_customer = (long.join(scores, ["measure", "value"], "left")
+                    .groupBy("customer_id")
+                    .pivot("measure", list(MEASURES))
+                    .agg(F.first("score")))
+    r, f, m = (F.col(x) for x in MEASURES)
+    return per_customer.select("customer_id", r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
+                               (r + f + m).alias("rfm_score"))
 
 
 def tie_split_report(seg: DataFrame, k: int = 5) -> DataFrame:
     """One row per measure: ``measure, distinct_values, split_values, customers_in_split_values``."""
-    parts = [tie_split(value_ranks(seg, m), m, k, hib) for m, hib in MEASURES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    report = tie_split(value_ranks(_long(seg), "value", ["measure"]), ["measure"], k, _better_when_higher())
+    return report.withColumnRenamed("rows_in_split_values", "customers_in_split_values")

@@ -155,23 +155,23 @@ def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard"
     """Exact medians next to the means, per seller attribute (r0).
 
     ``dimension, group_value, median_revenue, median_revenue_per_product,
-    median_revenue_per_customer``; computed with :func:`value_ranks`, so no group's
+    median_revenue_per_customer``.  Attributes and measures are stacked into one
+    long frame and ranked in a single :func:`value_ranks` pass, so no group's
     values are gathered into one task.
     """
-    from basketlens.operators.ranks import rounded_median, value_ranks
+    from basketlens.operators.ranks import median_from_ranks, value_ranks
 
-    measures = (("revenue", "median_revenue"),
-                ("revenue_per_product", "median_revenue_per_product"),
-                ("revenue_per_customer", "median_revenue_per_customer"))
-    parts = []
+    measures = ("revenue", "revenue_per_product", "revenue_per_customer")
+    stacked = None
     for attr in dimensions:
-        meds = None
-        for col, name in measures:
-            m = rounded_median(value_ranks(metrics, col, [attr]), col, [attr], name, 0)
-            meds = m if meds is None else meds.join(m, attr)
-        parts.append(meds.select(F.lit(attr).alias("dimension"), F.col(attr).alias("group_value"),
-                                 *[name for _, name in measures]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        part = metrics.select(F.lit(attr).alias("dimension"), F.col(attr).alias("group_value"),
+                              *[F.col(m).cast("double").alias(m) for m in measures])
+        stacked = part if stacked is None else stacked.unionByName(part)
+    long = stacked.unpivot(["dimension", "group_value"], list(measures), "measure", "value")
+    keys = ["dimension", "group_value", "measure"]
+    meds = median_from_ranks(value_ranks(long, "value", keys), "value", keys, "median")
+    wide = (meds.groupBy("dimension", "group_value")
+            .pivot("measure", list(measures))
+            .agg(F.first(round_half_up("median", 0))))
+    return wide.select("dimension", "group_value",
+                       *[F.col(m).alias(f"median_{m}") for m in measures])
