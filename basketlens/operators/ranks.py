@@ -23,21 +23,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import round_half_up, to_double
+from basketlens.sources.loaders import materialize
 
 RANK_BUCKETS = 64
 CUT_ACCURACY = 10_000
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
-                buckets: int = RANK_BUCKETS) -> DataFrame:
+                buckets: int = RANK_BUCKETS, persist: bool = True) -> DataFrame:
     """``by..., value, n, below, total`` for every distinct ``value`` (NULLs excluded).
 
     ``by`` must have few distinct combinations (the cut points of every group are
-    broadcast: groups x buckets values).
+    broadcast: groups x buckets values).  The histogram is read three times (cut
+    points, bucket totals, running counts); with ``persist`` it is written once to
+    the shared checkpoint folder, so the input is computed once and the lineage
+    is cut (this makes the call run one job eagerly).
     """
     by = list(by)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    if persist:
+        hist = materialize(hist, "value_ranks_hist")
     if buckets <= 1:
         hb = hist.withColumn("_b", F.lit(0))
     else:

@@ -1,8 +1,10 @@
 """Share, index and scaling operators over already-aggregated frames.
 
 The grand-total windows here (``OVER ()``) move their input to one task, so they
-are only ever applied to the output of a ``groupBy`` whose size is bounded by the
-number of groups (statuses, bands, segments, categories), never to row-grain data.
+are only ever applied to the output of a ``groupBy`` whose keys come from a fixed
+domain (statuses, bands, segments, categories, seller types): the window sees one
+row per group, never row-grain data.  This keeps each query a single pass; a
+scalar-subquery total would recompute the aggregate when it is not materialized.
 """
 
 from __future__ import annotations

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.operators.ranks import quantile_score, tie_split, value_ranks
+from basketlens.sources.loaders import materialize
 
 MEASURES = ("recency", "frequency", "monetary")
 LOWER_IS_BETTER = ("recency",)
@@ -38,7 +39,7 @@ def _better_when_higher():
 
 def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
     """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``."""
-    long = _long(seg)
+    long = materialize(_long(seg), "rfm_long")      # read twice: ranking and join back
     scores = (quantile_score(value_ranks(long, "value", ["measure"]), k, _better_when_higher())
               .select("measure", "value", "score"))
     per_customer = (long.join(scores, ["measure", "value"], "left")
