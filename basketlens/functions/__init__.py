@@ -3,6 +3,7 @@
 from basketlens.functions.columns import (
     customer_segment,
     freq_band,
+    money_sum,
     pct,
     round_half_up,
     safe_div,
@@ -10,5 +11,5 @@ from basketlens.functions.columns import (
     to_double,
 )
 
-__all__ = ["customer_segment", "freq_band", "pct", "round_half_up", "safe_div",
+__all__ = ["customer_segment", "freq_band", "money_sum", "pct", "round_half_up", "safe_div",
            "tenure_group", "to_double"]

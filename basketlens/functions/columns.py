@@ -22,6 +22,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def money_sum(x, scale: int = 2) -> Column:
+    """Exact sum of a money column with ``scale`` decimals, as DECIMAL(38, scale).
+
+    The sum runs on the unscaled LONG value (cents): the aggregation buffer stays a
+    primitive long instead of an arbitrary-precision decimal, which is what Spark's
+    own ``DecimalAggregates`` rule does for narrow decimals.  An overflow raises
+    (ANSI mode) rather than wrapping.
+    """
+    unscaled = (_c(x) * (10 ** scale)).cast("long")
+    return (F.sum(unscaled).cast("decimal(38,0)") / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")
+
+
 def to_double(x) -> Column:
     return _c(x).cast("double")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS, Labels, Thresholds
-from basketlens.functions import pct, round_half_up, to_double
+from basketlens.functions import money_sum, pct, round_half_up, to_double
 from basketlens.operators.facts import completed_items, order_dims, realized_order_dim
 from basketlens.operators.ratios import over_index
 from basketlens.sources.tables import RetailTables
@@ -38,7 +38,7 @@ def customer_category(t: RetailTables) -> DataFrame:
     def build(tt):
         return (order_category(tt).groupBy("category", "customer_id")
                 .agg(F.count(F.lit(1)).alias("orders_in_category"),
-                     F.sum("revenue").alias("revenue")))
+                     money_sum("revenue").alias("revenue")))
     return t.derived("customer_category", build)
 
 
@@ -46,7 +46,7 @@ def customer_category(t: RetailTables) -> DataFrame:
 def category_mix(t: RetailTables) -> DataFrame:
     """``category, revenue (r0), pct_revenue (r1), unique_orders, unique_customers``."""
     agg = (customer_category(t).groupBy("category")
-           .agg(F.sum("revenue").alias("_rev"),
+           .agg(money_sum("revenue").alias("_rev"),
                 F.sum("orders_in_category").alias("unique_orders"),
                 F.count(F.lit(1)).alias("unique_customers")))
     total = F.sum("_rev").over(Window.partitionBy())
@@ -61,8 +61,8 @@ def category_pair_share(t: RetailTables, pair: Sequence[str] = ("Home", "Electro
     """Combined share of revenue of a set of categories: ``(pct_revenue)``."""
     cc = customer_category(t)
     inside = F.col("category").isin(list(pair))
-    return cc.agg(pct(F.sum(F.when(inside, F.col("revenue")).otherwise(F.lit(0))),
-                      F.sum("revenue"), 1).alias("pct_revenue"))
+    return cc.agg(pct(money_sum(F.when(inside, F.col("revenue")).otherwise(F.lit(0))),
+                      money_sum("revenue"), 1).alias("pct_revenue"))
 
 
 # ---------------------------------------------------------------- over-index
@@ -70,16 +70,16 @@ def segment_category_revenue(t: RetailTables, seg: DataFrame) -> DataFrame:
     """``customer_segment, category, revenue`` (DECIMAL): one join at customer grain."""
     return (customer_category(t).join(seg.select("customer_id", "customer_segment"), "customer_id")
             .groupBy("customer_segment", "category")
-            .agg(F.sum("revenue").alias("revenue")))
+            .agg(money_sum("revenue").alias("revenue")))
 
 
 def segment_totals(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("customer_segment").agg(F.sum("revenue").alias("segment_revenue"))
+    return cells.groupBy("customer_segment").agg(money_sum("revenue").alias("segment_revenue"))
 
 
 def overall_category_share(cells: DataFrame) -> DataFrame:
     """``category, category_revenue, overall_share`` over all segmented customers."""
-    agg = cells.groupBy("category").agg(F.sum("revenue").alias("category_revenue"))
+    agg = cells.groupBy("category").agg(money_sum("revenue").alias("category_revenue"))
     return agg.withColumn("overall_share", to_double("category_revenue")
                           / F.nullif(to_double(F.sum("category_revenue").over(Window.partitionBy())),
                                      F.lit(0.0)))
@@ -117,7 +117,7 @@ def product_customer(t: RetailTables) -> DataFrame:
         return (completed_items(tt).select("order_id", "product_id", "line_total")
                 .join(tt.orders.select("order_id", "customer_id"), "order_id")
                 .groupBy("product_id", "customer_id")
-                .agg(F.sum("line_total").alias("revenue")))
+                .agg(money_sum("line_total").alias("revenue")))
     return t.derived("product_customer", build)
 
 
@@ -129,7 +129,7 @@ def top_products(t: RetailTables, min_customers: int = THRESHOLDS.min_product_bu
     The result is bounded by ``k`` rows (``TakeOrderedAndProject``).
     """
     per_product = (product_customer(t).groupBy("product_id")
-                   .agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("customers"))
+                   .agg(money_sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("customers"))
                    .where(F.col("customers") >= min_customers))
     return (per_product.join(t.products.select("product_id", "product_name", "category"), "product_id")
             .select("product_id", "product_name", "category", "revenue", "customers")
@@ -142,7 +142,7 @@ def product_segment_revenue(t: RetailTables, seg: DataFrame, top: DataFrame) ->
     return (product_customer(t).join(F.broadcast(top.select("product_id")), "product_id")
             .join(seg.select("customer_id", "customer_segment"), "customer_id")
             .groupBy("product_id", "customer_segment")
-            .agg(F.sum("revenue").alias("seg_revenue")))
+            .agg(money_sum("revenue").alias("seg_revenue")))
 
 
 def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
@@ -152,8 +152,8 @@ def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
     top = top_products(t, min_customers, k)
     psr = product_segment_revenue(t, seg, top)
     shares = psr.groupBy("product_id").agg(
-        F.sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("seg_revenue"))).alias("_b1"),
-        F.sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("seg_revenue"))).alias("_b2"))
+        money_sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("seg_revenue"))).alias("_b1"),
+        money_sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("seg_revenue"))).alias("_b2"))
     joined = F.broadcast(top).join(shares, "product_id", "left")
     b1 = pct(F.coalesce(F.col("_b1"), F.lit(0)), F.col("revenue"), None)
     b2 = pct(F.coalesce(F.col("_b2"), F.lit(0)), F.col("revenue"), None)
@@ -195,7 +195,7 @@ def category_aov(t: RetailTables) -> DataFrame:
     """Average order value in category: mean of the per-(order, category) sums (r2)."""
     oc = order_category(t)
     return oc.groupBy("category").agg(
-        round_half_up(to_double(F.sum("revenue")) / F.count(F.lit(1)), 2).alias("aov"))
+        round_half_up(to_double(money_sum("revenue")) / F.count(F.lit(1)), 2).alias("aov"))
 
 
 def buyer_profile(t: RetailTables, seg: DataFrame,
@@ -211,7 +211,7 @@ def buyer_profile(t: RetailTables, seg: DataFrame,
     joined = buyers.join(seg.select("customer_id", "frequency", "monetary"), "customer_id")
     agg = joined.groupBy("category").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum("frequency").alias("_f"), F.sum("monetary").alias("_m"),
+        F.sum("frequency").alias("_f"), money_sum("monetary").alias("_m"),
         F.count_if(F.col("frequency") >= th.high_frequency).alias("_hi"))
     return agg.select("category", "customers",
                       round_half_up(to_double("_f") / F.col("customers"), 2).alias("avg_overall_frequency"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS
+from basketlens.functions import money_sum
 from basketlens.sources.tables import RetailTables
 
 
@@ -46,7 +47,7 @@ def realized_orders(t: RetailTables) -> DataFrame:
     Orders without a completed item are absent (inner join).
     """
     per_order = (completed_items(t).groupBy("order_id")
-                 .agg(F.sum("line_total").alias("revenue")))
+                 .agg(money_sum("line_total").alias("revenue")))
     return per_order.join(order_dims(t), "order_id")
 
 
@@ -60,7 +61,7 @@ def realized_order_dim(t: RetailTables, dim: str) -> DataFrame:
     per = (completed_items(t).select("order_id", "product_id", "line_total")
            .join(t.products.select("product_id", dim), "product_id")
            .groupBy("order_id", dim)
-           .agg(F.sum("line_total").alias("revenue"), F.count(F.lit(1)).alias("n_items")))
+           .agg(money_sum("line_total").alias("revenue"), F.count(F.lit(1)).alias("n_items")))
     return per.join(order_dims(t), "order_id")
 
 

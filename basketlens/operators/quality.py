@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS
-from basketlens.functions import pct, to_double
+from basketlens.functions import money_sum, pct, to_double
 from basketlens.operators.facts import completed_items
 from basketlens.operators.ratios import share_of_total
 from basketlens.sources.tables import RetailTables
@@ -46,7 +46,7 @@ def status_mix(t: RetailTables) -> DataFrame:
 
 
 def _item_sums(items: DataFrame, name: str) -> DataFrame:
-    return items.groupBy("order_id").agg(F.sum("line_total").alias(name))
+    return items.groupBy("order_id").agg(money_sum("line_total").alias(name))
 
 
 def reconcile(orders: DataFrame, items: DataFrame, *, amount: str = "subtotal_amount",

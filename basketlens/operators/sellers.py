@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.functions import round_half_up, safe_div, to_double
+from basketlens.functions import money_sum, round_half_up, safe_div, to_double
 from basketlens.operators.facts import order_dims, realized_order_dim
 from basketlens.operators.ratios import share_within
 from basketlens.sources.tables import RetailTables
@@ -68,9 +68,9 @@ def seller_metrics(t: RetailTables) -> DataFrame:
     """
     def build(tt):
         per_customer = (order_seller(tt).groupBy("seller_id", "customer_id")
-                        .agg(F.sum("revenue").alias("revenue")))
+                        .agg(money_sum("revenue").alias("revenue")))
         per_seller = per_customer.groupBy("seller_id").agg(
-            F.sum("revenue").alias("revenue"),
+            money_sum("revenue").alias("revenue"),
             F.count(F.when(F.col("customer_id").isNotNull(), F.lit(1))).alias("customers"))
         return (tt.sellers.select("seller_id", "seller_type", "fbs_standard")
                 .join(catalog_size(tt), "seller_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketlens.functions.columns import money_sum
 from basketlens.sources.schemas import MONEY
 
 # --- fixed values: fixture mapping constants (FIXTURES.md section 2) ---
@@ -59,7 +60,7 @@ def orders(orders_src: DataFrame, lineitem: DataFrame) -> DataFrame:
     query does not read ``subtotal_amount`` (the aggregate is unique on the key).
     """
     item_sum = (lineitem.groupBy("l_orderkey")
-                .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("s")))
+                .agg(money_sum(F.col("l_extendedprice").cast(MONEY)).alias("s")))
     joined = orders_src.join(item_sum, orders_src["o_orderkey"] == item_sum["l_orderkey"], "left")
     subtotal = (F.when(F.col("o_orderkey") % SUBTOTAL_OFF_EVERY == 0, F.col("o_totalprice").cast(MONEY))
                 .otherwise(F.coalesce(F.col("s"), F.lit(0)).cast(MONEY)))
