@@ -53,7 +53,7 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "orders_without_completed": qa.without_match,
     "row_counts": lambda t: row_counts(t.as_dict()),
     # ---- customers ----
-    "rfm_base": cu.rfm_base,
+    "rfm_base": cu.customer_rfm_base,
     "customer_segments": _seg,
     "eligible_customers": lambda t: cu.eligible_customers(_seg(t)),
     "frequency_histogram": lambda t: cu.frequency_histogram(_seg(t)),

@@ -32,6 +32,7 @@ from basketlens.session import local_session  # noqa: E402
 from basketlens.sources.tables import RetailTables  # noqa: E402
 
 SHARED = (
+    ("customer_rfm_base", cu.customer_rfm_base),
     ("customer_segments", cu.customer_segments),
     ("order_category", ca.order_category),
     ("customer_category", ca.customer_category),
