@@ -39,7 +39,7 @@ def customer_category(t: RetailTables) -> DataFrame:
         return (order_category(tt).groupBy("category", "customer_id")
                 .agg(F.count(F.lit(1)).alias("orders_in_category"),
                      money_sum("revenue").alias("revenue")))
-    return t.derived("customer_category", build)
+    return t.derived("customer_category", build, bucket_by=("customer_id",))
 
 
 # ---------------------------------------------------------------- mix

@@ -48,12 +48,13 @@ def add_segments(base: DataFrame, th: Thresholds = THRESHOLDS, labels: Labels =
 
 def customer_rfm_base(t: RetailTables) -> DataFrame:
     """The R/F/M base table, memoized on ``t`` (materialized when ``t.persist_derived``)."""
-    return t.derived("customer_rfm_base", rfm_base)
+    return t.derived("customer_rfm_base", rfm_base, bucket_by=("customer_id",))
 
 
 def customer_segments(t: RetailTables, persist: bool = False) -> DataFrame:
     """The segmented customer table, memoized on ``t`` (optionally materialized)."""
-    return t.derived("customer_segments", lambda tt: add_segments(customer_rfm_base(tt)), persist=persist)
+    return t.derived("customer_segments", lambda tt: add_segments(customer_rfm_base(tt)), persist=persist,
+                     bucket_by=("customer_id",))
 
 
 def eligible_customers(seg: DataFrame) -> DataFrame:

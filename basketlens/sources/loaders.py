@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +65,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, *, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, path: str | None = None,
+                bucket_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This is the ``DROP TABLE; CREATE TABLE AS`` of the analysis: it cuts the lineage
     (a lost executor re-reads files instead of recomputing the joins) and lets later
     queries reuse the result.  Each call writes a fresh directory, so concurrent or
     repeated runs never overwrite each other's input.
+
+    With ``bucket_by`` the table is bucketed (hash-partitioned into ``buckets`` files
+    per key range, default ``spark.sql.shuffle.partitions``) and registered as an
+    external table over that folder: two tables bucketed the same way on a join key
+    are joined without shuffling either side.
     """
     spark = df.sparkSession
-    target = path or f"{shared_dir(spark)}/basketlens/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    tag = uuid.uuid4().hex[:12]
+    target = path or f"{shared_dir(spark)}/basketlens/{name}-{tag}"
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"basketlens_{name}_{tag}"
+    (df.write.mode("overwrite").format("parquet").option("path", target)
+     .bucketBy(n, *bucket_by).sortBy(*bucket_by).saveAsTable(table))
+    return spark.table(table)

@@ -49,14 +49,19 @@ class RetailTables:
         for name, df in self.as_dict().items():
             df.createOrReplaceTempView(f"{prefix}{name}")
 
-    def derived(self, name: str, build, *, persist: bool = False) -> DataFrame:
+    def derived(self, name: str, build, *, persist: bool = False,
+                bucket_by: tuple[str, ...] = ()) -> DataFrame:
         """Memoize a derived table on this object.
 
         With ``persist=True`` (or ``persist_derived`` set on the object) the table
         is written to the shared folder once (see :func:`materialize`) and later
         uses read the files -- the ``CREATE TABLE AS`` step of the analysis.
+        ``bucket_by`` names the key the table is bucketed on when written, so that
+        later joins on that key between tables bucketed alike need no shuffle.
         """
         if name not in self._derived:
             df = build(self)
-            self._derived[name] = materialize(df, name) if (persist or self.persist_derived) else df
+            if persist or self.persist_derived:
+                df = materialize(df, name, bucket_by=bucket_by)
+            self._derived[name] = df
         return self._derived[name]

@@ -81,3 +81,20 @@ def test_materialized_suite_matches_lazy(spark):
         a = portable(catalog.TABLE_QUERIES[name](lazy)).collect()
         b = portable(catalog.TABLE_QUERIES[name](eager)).collect()
         assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr), name
+
+
+def test_bucketed_customer_tables_join_without_shuffle(spark):
+    from basketlens.sources.tables import RetailTables
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = RetailTables.from_test_tables(spark, "/root/testdata/sf0.001")
+        t.persist_derived = True
+        seg = cu.customer_segments(t)
+        df = ca.segment_category_revenue(t, seg)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        join_part = plan[plan.index("SortMergeJoin"):]
+        assert "Exchange" not in join_part          # both sides read bucketed files
+        assert join_part.count("Bucketed: true") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
