@@ -84,7 +84,7 @@ def mismatch_share(t: RetailTables, tolerance: str = THRESHOLDS.reconcile_tolera
 
 def without_match(t: RetailTables, status: str = LABELS.completed) -> DataFrame:
     """Orders with no item of ``status``: ``(orders_with_no_completed_items, pct_of_all_orders)``."""
-    have = completed_items(t, status).select("order_id")
+    have = completed_items(t, status).select("order_id").distinct()   # combined map-side
     missing = t.orders.select("order_id").join(have, "order_id", "left_anti")
     total = t.orders.select(F.count(F.lit(1))).scalar()
     return (missing.agg(F.count(F.lit(1)).alias("orders_with_no_completed_items"))

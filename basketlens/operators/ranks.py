@@ -34,16 +34,15 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
     """``by..., value, n, below, total`` for every distinct ``value`` (NULLs excluded).
 
     ``by`` must have few distinct combinations (the cut points of every group are
-    broadcast: groups x buckets values).  The histogram is read three times (cut
-    points, bucket totals, running counts); with ``persist`` it is written once to
-    the shared checkpoint folder, so the input is computed once and the lineage
-    is cut (this makes the call run one job eagerly).
+    broadcast: groups x buckets values).  The bucketed histogram is read twice
+    (bucket totals and running counts).  With ``persist`` it is written once to the
+    shared checkpoint folder: the input is computed once, the lineage is cut, and
+    both reads see the same bucket of every value even if a lost task recomputes
+    the approximate cut points differently (this makes the call run a job eagerly).
     """
     by = list(by)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    if persist:
-        hist = materialize(hist, "value_ranks_hist")
     if buckets <= 1:
         hb = hist.withColumn("_b", F.lit(0))
     else:
@@ -56,6 +55,8 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
             hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
         below_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
         hb = hb.withColumn("_b", F.coalesce(below_cuts, F.lit(0))).drop("_cuts")
+    if persist:
+        hb = materialize(hb, "value_ranks_hist")
     totals = hb.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
     totals = (totals.withColumn("_off", F.sum("_bn").over(Window.partitionBy(*by).orderBy("_b"))
                                 - F.col("_bn"))
