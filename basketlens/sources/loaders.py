@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens.sources.schemas import TABLE_SCHEMAS
 
@@ -21,10 +22,29 @@ def read_csv_tables(spark: SparkSession, directory: str,
     files = files or {name: f"{name}.csv" for name in TABLE_SCHEMAS}
     out = {}
     for name, schema in TABLE_SCHEMAS.items():
-        out[name] = (spark.read.schema(schema)
-                     .option("header", True)
-                     .option("mode", "FAILFAST")
-                     .csv(f"{directory.rstrip('/')}/{files[name]}"))
+        # dates are read as text and cast, so a time part ("2024-01-31 18:02:11") is
+        # dropped the same way DATEDIFF ignores it; a malformed value raises (ANSI)
+        as_text = T.StructType([T.StructField(f.name, T.StringType(), f.nullable)
+                                if isinstance(f.dataType, T.DateType) else f for f in schema.fields])
+        raw = (spark.read.schema(as_text)
+               .option("header", True)
+               .option("mode", "FAILFAST")
+               .csv(f"{directory.rstrip('/')}/{files[name]}"))
+        out[name] = raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return out
+
+
+def read_catalog_tables(spark: SparkSession, database: str | None = None,
+                        names: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Read the five tables by name from the session catalog (Hive metastore, Unity,
+    Glue... whatever the cluster is configured with), cast to the fixed schema."""
+    names = names or {name: name for name in TABLE_SCHEMAS}
+    out = {}
+    for name, schema in TABLE_SCHEMAS.items():
+        ident = f"{database}.{names[name]}" if database else names[name]
+        df = spark.table(ident)
+        out[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name)
+                               for f in schema.fields if f.name in df.columns])
     return out
 
 

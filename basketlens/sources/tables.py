@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.sources import fixture
-from basketlens.sources.loaders import materialize, read_csv_tables, read_parquet_tables
+from basketlens.sources.loaders import (materialize, read_catalog_tables, read_csv_tables,
+                                       read_parquet_tables)
 
 
 @dataclass
@@ -34,6 +35,10 @@ class RetailTables:
     def from_parquet(cls, spark: SparkSession, directory: str) -> "RetailTables":
         return cls.from_dict(read_parquet_tables(spark, directory))
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str | None = None, names=None) -> "RetailTables":
+        return cls.from_dict(read_catalog_tables(spark, database, names))
+
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str) -> "RetailTables":
         return cls.from_dict(fixture.load(spark, sf_dir))

@@ -25,3 +25,25 @@ def test_materialize_cuts_lineage(spark, small_tables):
     assert m.count() == df.count()
     plan = m._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan                   # read back from files, not recomputed
+
+
+def test_csv_dates_with_time_part_are_cut_to_date(spark):
+    out = tempfile.mkdtemp(prefix="basketlens-csv2-")
+    with open(os.path.join(out, "customers.csv"), "w") as f:
+        f.write("customer_id,registration_date\n1,2024-01-31 18:02:11\n2,2024-02-01\n3,\n")
+    for name, header in (("orders", "order_id,customer_id,order_date,subtotal_amount,total_amount"),
+                         ("order_items", "order_item_id,order_id,product_id,item_status,line_total"),
+                         ("products", "product_id,product_name,category,seller_id"),
+                         ("sellers", "seller_id,seller_type,fbs_standard")):
+        with open(os.path.join(out, f"{name}.csv"), "w") as f:
+            f.write(header + "\n")
+    t = RetailTables.from_csv(spark, out)
+    got = sorted((r.customer_id, str(r.registration_date)) for r in t.customers.collect())
+    assert got == [(1, "2024-01-31"), (2, "2024-02-01"), (3, "None")]
+
+
+def test_catalog_tables(spark, small_tables):
+    for name, df in small_tables.as_dict().items():
+        df.createOrReplaceTempView(f"cat_{name}")
+    t = RetailTables.from_catalog(spark, names={n: f"cat_{n}" for n in small_tables.as_dict()})
+    assert t.order_items.count() == 6000
