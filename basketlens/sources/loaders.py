@@ -107,6 +107,9 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None,
         return spark.read.schema(df.schema).parquet(target)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"basketlens_{name}_{tag}"
-    (df.write.mode("overwrite").format("parquet").option("path", target)
+    # one shuffle on the bucket key first: each task then writes exactly one bucket
+    # file, instead of every task writing a file for every bucket
+    (df.repartition(n, *bucket_by)
+     .write.mode("overwrite").format("parquet").option("path", target)
      .bucketBy(n, *bucket_by).sortBy(*bucket_by).saveAsTable(table))
     return spark.table(table)

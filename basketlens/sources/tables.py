@@ -49,10 +49,20 @@ class RetailTables:
                 "order_items": self.order_items, "products": self.products,
                 "sellers": self.sellers}
 
-    def register_views(self, prefix: str = "") -> None:
-        """Register the tables as temp views so the SQL API can be used as well."""
+    def register_views(self, prefix: str = "", derived: bool = False) -> None:
+        """Register the tables as temp views so the SQL API can be used as well.
+
+        With ``derived`` the analysis tables ``customer_rfm_base``,
+        ``customer_segments`` and ``seller_metrics`` are registered too (built, and
+        materialized if ``persist_derived`` is set), so SQL can build on them.
+        """
         for name, df in self.as_dict().items():
             df.createOrReplaceTempView(f"{prefix}{name}")
+        if derived:
+            from basketlens.operators import customers, sellers
+            customers.customer_rfm_base(self).createOrReplaceTempView(f"{prefix}customer_rfm_base")
+            customers.customer_segments(self).createOrReplaceTempView(f"{prefix}customer_segments")
+            sellers.seller_metrics(self).createOrReplaceTempView(f"{prefix}seller_metrics")
 
     def derived(self, name: str, build, *, persist: bool = False,
                 bucket_by: tuple[str, ...] = ()) -> DataFrame:

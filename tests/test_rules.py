@@ -73,3 +73,40 @@ def test_frequency_counts_orders_not_items(spark):
         products=[(1, "a", "Home", 1), (2, "b", "Beauty", 1)], sellers=[(1, "Company", "FBS")])
     r = cu.rfm_base(t).collect()[0]
     assert r.frequency == 1 and float(r.monetary) == 30.0 and r.recency == 0
+
+
+def _segment_rule(f, r, tenure):
+    """The segment rules as a plain Python function (first match wins, SQL NULL logic)."""
+    L = LABELS
+    if tenure == L.tenure_recent:
+        return L.seg_b0
+    le = lambda a, b: a is not None and b is not None and a <= b
+    gt = lambda a, b: a is not None and b is not None and a > b
+    if f == 1 and le(r, 90):
+        return L.seg_b5
+    if f == 1 and gt(r, 90):
+        return L.seg_b6
+    if f is not None and f >= 6 and le(r, 90):
+        return L.seg_b1
+    if f is not None and f >= 6 and gt(r, 90):
+        return L.seg_b2
+    if f is not None and 2 <= f <= 5 and le(r, 180):
+        return L.seg_b3
+    return L.seg_b4
+
+
+def test_segment_rules_match_python_model(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 9, 19]),
+             rng.choice([None, 0, 89, 90, 91, 179, 180, 181, 400]),
+             rng.choice([LABELS.tenure_recent, LABELS.tenure_established]))
+            for _ in range(400)]
+    got = _seg_of(spark, rows)
+    assert got == [_segment_rule(*row) for row in rows]
+
+
+def test_sql_views_over_derived_tables(spark, small_tables):
+    small_tables.register_views(prefix="sv_", derived=True)
+    n = spark.sql("SELECT COUNT(*) FROM sv_customer_segments WHERE frequency >= 6 AND recency > 180").first()[0]
+    assert n == cu.watchlist(cu.customer_segments(small_tables)).first().watchlist_customers == 32
