@@ -40,6 +40,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(current)
         return current
     scratch = tempfile.mkdtemp(prefix="basketlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    spark.sparkContext.setCheckpointDir(scratch)      # the conf key is static; set the context's dir
+    return spark.sparkContext.getCheckpointDir() or scratch

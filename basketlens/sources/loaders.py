@@ -75,13 +75,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for materialized tables.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  It is
-    never chosen here: a session without one is a configuration error, except in
-    tests, where :func:`basketlens.session.local_session` sets one.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  On a
+    cluster it is never chosen here: a session without one is a configuration
+    error.  Only a ``local[...]`` session (one machine: tests, local runs) gets a
+    scratch folder when the setting is missing.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set; materialize() needs a shared folder")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; materialize() needs a shared folder")
+        from basketlens.session import ensure_checkpoint_dir
+        root = ensure_checkpoint_dir(spark)
     return root.rstrip("/")
 
 

@@ -47,3 +47,15 @@ def test_catalog_tables(spark, small_tables):
         df.createOrReplaceTempView(f"cat_{name}")
     t = RetailTables.from_catalog(spark, names={n: f"cat_{n}" for n in small_tables.as_dict()})
     assert t.order_items.count() == 6000
+
+
+def test_status_filter_and_pruning_reach_the_parquet_scan(spark, small_tables):
+    from basketlens.operators import facts
+    out = tempfile.mkdtemp(prefix="basketlens-pq-")
+    for name, df in small_tables.as_dict().items():
+        df.write.mode("overwrite").parquet(os.path.join(out, f"{name}.parquet"))
+    t = RetailTables.from_parquet(spark, out)
+    plan = facts.realized_orders(t)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(item_status), EqualTo(item_status,Completed)" in plan
+    items_scan = [ln for ln in plan.splitlines() if "order_items.parquet" in ln][0]
+    assert "ReadSchema: struct<order_id:bigint,item_status:string,line_total:decimal(18,2)>" in items_scan
