@@ -25,24 +25,34 @@ from pyspark.sql import functions as F
 from basketlens.functions import round_half_up, to_double
 from basketlens.sources.loaders import materialize
 
-RANK_BUCKETS = 64
+RANK_BUCKETS = 64                 # ranges when the histogram size is not measured
+VALUES_PER_BUCKET = 2_000_000     # distinct values one window task sorts, at most about this
+MAX_BUCKETS = 4096
 CUT_ACCURACY = 10_000
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
-                buckets: int = RANK_BUCKETS, persist: bool = True) -> DataFrame:
+                buckets: int | None = None, persist: bool = True) -> DataFrame:
     """``by..., value, n, below, total`` for every distinct ``value`` (NULLs excluded).
 
     ``by`` must have few distinct combinations (the cut points of every group are
-    broadcast: groups x buckets values).  The bucketed histogram is read twice
-    (bucket totals and running counts).  With ``persist`` it is written once to the
-    shared checkpoint folder: the input is computed once, the lineage is cut, and
-    both reads see the same bucket of every value even if a lost task recomputes
-    the approximate cut points differently (this makes the call run a job eagerly).
+    broadcast: groups x buckets values).  With ``persist`` the histogram is written
+    once to the shared checkpoint folder (the input is computed once, the lineage
+    is cut) and, unless ``buckets`` is given, its size picks the number of value
+    ranges: about ``VALUES_PER_BUCKET`` distinct values per range, so a small
+    histogram needs no cut points at all.  When there are several ranges, the
+    histogram with its range number is written again, so both reads below see the
+    same range for every value even if a lost task recomputes the approximate cut
+    points differently.  (``persist`` makes the call run its jobs eagerly.)
     """
     by = list(by)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    if persist:
+        hist = materialize(hist, "value_ranks_hist")
+    if buckets is None:
+        buckets = (min(MAX_BUCKETS, -(-hist.count() // VALUES_PER_BUCKET)) if persist
+                   else RANK_BUCKETS)
     if buckets <= 1:
         hb = hist.withColumn("_b", F.lit(0))
     else:
@@ -55,8 +65,8 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
             hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
         below_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
         hb = hb.withColumn("_b", F.coalesce(below_cuts, F.lit(0))).drop("_cuts")
-    if persist:
-        hb = materialize(hb, "value_ranks_hist")
+        if persist:
+            hb = materialize(hb, "value_ranks_buckets")
     totals = hb.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
     totals = (totals.withColumn("_off", F.sum("_bn").over(Window.partitionBy(*by).orderBy("_b"))
                                 - F.col("_bn"))
