@@ -42,16 +42,25 @@ def rows_of(cols, rows, float_tol):
     return Counter(tuple(_norm(r[i], float_tol) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "int": "INTEGER", "date": "DATE"}
+
+
 def compare(spark_df, con, sql, float_tol=None):
     s_cols = spark_df.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark={s_cols} duck={d_cols}")
         return problems, len(s_rows), len(d_rows)
+    if s_types != d_types:
+        problems.append(f"types differ: {[(c, s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]]}")
     if len(s_rows) != len(d_rows):
         problems.append(f"row count spark={len(s_rows)} duck={len(d_rows)}")
     a, b = rows_of(s_cols, s_rows, float_tol), rows_of(d_cols, d_rows, float_tol)
