@@ -154,7 +154,7 @@ def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
     shares = psr.groupBy("product_id").agg(
         money_sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("seg_revenue"))).alias("_b1"),
         money_sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("seg_revenue"))).alias("_b2"))
-    joined = F.broadcast(top).join(shares, "product_id", "left")
+    joined = top.join(shares, "product_id", "left")
     b1 = pct(F.coalesce(F.col("_b1"), F.lit(0)), F.col("revenue"), None)
     b2 = pct(F.coalesce(F.col("_b2"), F.lit(0)), F.col("revenue"), None)
     if unrounded:

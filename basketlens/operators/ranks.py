@@ -35,8 +35,10 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
                 buckets: int | None = None, persist: bool = True) -> DataFrame:
     """``by..., value, n, below, total`` for every distinct ``value`` (NULLs excluded).
 
-    ``by`` must have few distinct combinations (the cut points of every group are
-    broadcast: groups x buckets values).  With ``persist`` the histogram is written
+    ``by`` is meant for a handful of groups (measures, seller types); the per-group
+    cut points and range offsets (groups x ranges rows) are joined back without a
+    broadcast hint, so Spark broadcasts them only when their measured size allows
+    it.  With ``persist`` the histogram is written
     once to the shared checkpoint folder (the input is computed once, the lineage
     is cut) and, unless ``buckets`` is given, its size picks the number of value
     ranges: about ``VALUES_PER_BUCKET`` distinct values per range, so a small
@@ -60,7 +62,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
         cut_agg = F.percentile_approx(value, fractions, CUT_ACCURACY).alias("_cuts")
         if by:
             cuts = hist.groupBy(*by).agg(cut_agg)
-            hb = hist.join(F.broadcast(cuts), by)
+            hb = hist.join(cuts, by)
         else:
             hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
         below_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
@@ -73,7 +75,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
               .withColumn("total", F.sum("_bn").over(Window.partitionBy(*by)))
               .drop("_bn"))
     running = hb.withColumn("_run", F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value)))
-    return (running.join(F.broadcast(totals), by + ["_b"])
+    return (running.join(totals, by + ["_b"])
             .select(*by, value, "n", (F.col("_off") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 
