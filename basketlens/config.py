@@ -64,7 +64,8 @@ class Thresholds:
         default=("B1: High-frequency, engaged", "B2: High-value, declining engagement"))
 
 
-# --- fixed values: chart scales of the dashboard extracts ---
+# --- fixed values: chart scales and money label of the dashboard extracts ---
+CURRENCY_SYMBOL = "฿"
 AOV_LOG_MIN = 150.0
 AOV_LOG_MAX = 22000.0
 REPEAT_AXIS_MIN = 0.0

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.config import (AOV_LOG_MAX, AOV_LOG_MIN, OVER_INDEX_AXIS_MAX, OVER_INDEX_AXIS_MIN,
-                               REPEAT_AXIS_MAX, REPEAT_AXIS_MIN)
+from basketlens.config import (AOV_LOG_MAX, AOV_LOG_MIN, CURRENCY_SYMBOL, OVER_INDEX_AXIS_MAX,
+                               OVER_INDEX_AXIS_MIN, REPEAT_AXIS_MAX, REPEAT_AXIS_MIN)
 from basketlens.functions import pct, round_half_up, to_double
 
 
@@ -72,5 +72,5 @@ def band_labels(band_summary: DataFrame) -> DataFrame:
         "freq_band",
         short_label("freq_band").alias("short_label"),
         F.format_number(F.col("customers"), 0).alias("customers_label"),
-        F.concat(F.lit("฿"), F.format_number(F.col("avg_revenue_per_customer"), 0)).alias("revenue_label"),
+        F.concat(F.lit(CURRENCY_SYMBOL), F.format_number(F.col("avg_revenue_per_customer"), 0)).alias("revenue_label"),
         F.format_string("%.1f%%", F.col("pct_customers")).alias("pct_customers_label"))
