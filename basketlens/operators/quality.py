@@ -106,6 +106,24 @@ def implication_violations(df: DataFrame, flag: str, ref: str) -> DataFrame:
     return df.withColumn("violation", case).where(F.col("violation").isNotNull())
 
 
+def integrity_report(t: RetailTables) -> DataFrame:
+    """The zero-row checks of the validation step as one expectation frame:
+    ``(check, n_rows, passed)`` -- duplicate keys and orphans, all expected empty."""
+    checks = [
+        ("duplicate order_id", duplicate_keys(t.orders, "order_id")),
+        ("duplicate order_item_id", duplicate_keys(t.order_items, "order_item_id")),
+        ("item without order", orphans(t.order_items, t.orders, "order_id")),
+        ("item without product", orphans(t.order_items, t.products, "product_id")),
+        ("order without customer", orphans(t.orders, t.customers, "customer_id")),
+        ("product without seller", orphans(t.products, t.sellers, "seller_id")),
+    ]
+    out = None
+    for name, df in checks:
+        one = expect_empty(df, name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def expect_empty(df: DataFrame, name: str) -> DataFrame:
     """One-row expectation frame: ``(check, n_rows, passed)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

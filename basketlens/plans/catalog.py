@@ -52,6 +52,7 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "reconcile_completed_share": qa.mismatch_share,
     "orders_without_completed": qa.without_match,
     "row_counts": lambda t: row_counts(t.as_dict()),
+    "integrity_report": qa.integrity_report,
     # ---- customers ----
     "rfm_base": cu.customer_rfm_base,
     "customer_segments": _seg,
