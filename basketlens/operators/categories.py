@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS, Labels, Thresholds
 from basketlens.functions import money_sum, pct, round_half_up, to_double
-from basketlens.operators.facts import completed_items, order_dims, realized_order_dim
+from basketlens.operators.facts import completed_items, realized_order_dim
 from basketlens.operators.ratios import over_index
 from basketlens.sources.tables import RetailTables
 

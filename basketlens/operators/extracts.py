@@ -6,12 +6,13 @@ All inputs are already aggregated (bands, categories, segments, seller types).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import (AOV_LOG_MAX, AOV_LOG_MIN, CURRENCY_SYMBOL, OVER_INDEX_AXIS_MAX,
                                OVER_INDEX_AXIS_MIN, REPEAT_AXIS_MAX, REPEAT_AXIS_MIN)
-from basketlens.functions import pct, round_half_up, to_double
+from basketlens.functions import round_half_up, to_double
+from basketlens.operators.ratios import max_scaled
 
 
 def short_label(col: str):
@@ -31,8 +32,7 @@ def bars(band_summary: DataFrame, category_mix: DataFrame) -> DataFrame:
                               F.col("category").alias("label"),
                               to_double("pct_revenue").alias("value"))
     allbars = customers.unionByName(revenue).unionByName(mix)
-    top = F.max("value").over(Window.partitionBy("series"))
-    return allbars.withColumn("bar_pct", pct(F.col("value"), top, 1))
+    return max_scaled(allbars, "value", by=["series"], name="bar_pct")
 
 
 def aov_repeat(repeat_rate: DataFrame, aov: DataFrame) -> DataFrame:
@@ -62,8 +62,7 @@ def seller_views(logistics_means: DataFrame) -> DataFrame:
         round_half_up(F.col("mean_raw_revenue") / 1e6, 1).alias("raw"),
         round_half_up(F.col("mean_revenue_per_product") / 1e3, 0).alias("norm"))
     long = scaled.unpivot("fbs_standard", ["raw", "norm"], "view", "value")
-    top = F.max("value").over(Window.partitionBy("view"))
-    return long.select("view", "fbs_standard", "value", pct(F.col("value"), top, 1).alias("bar_pct"))
+    return max_scaled(long.select("view", "fbs_standard", "value"), "value", by=["view"], name="bar_pct")
 
 
 def band_labels(band_summary: DataFrame) -> DataFrame:

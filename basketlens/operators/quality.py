@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS
-from basketlens.functions import money_sum, pct, to_double
+from basketlens.functions import money_sum, pct
 from basketlens.operators.facts import completed_items
 from basketlens.operators.ratios import share_of_total
 from basketlens.sources.tables import RetailTables
@@ -128,9 +128,3 @@ def expect_empty(df: DataFrame, name: str) -> DataFrame:
     """One-row expectation frame: ``(check, n_rows, passed)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(name).alias("check"), "n_rows", (F.col("n_rows") == 0).alias("passed"))
-
-
-def share_check(part: DataFrame, column: str, expected: float, tolerance: float) -> DataFrame:
-    """Expectation on a percentage column: ``abs(value - expected) < tolerance``."""
-    return part.select(F.col(column).alias("value"),
-                       (F.abs(to_double(column) - F.lit(expected)) < F.lit(tolerance)).alias("passed"))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions import round_half_up, to_double
+from basketlens.functions import to_double
 from basketlens.sources.loaders import materialize
 
 RANK_BUCKETS = 64                 # ranges when the histogram size is not measured
@@ -134,7 +134,3 @@ def median_from_ranks(ranks: DataFrame, value: str, by: Sequence[str] = (), name
     return ranks.groupBy(*by).agg(
         ((to_double(F.min(F.when(covers(lo), F.col(value))))
           + to_double(F.min(F.when(covers(hi), F.col(value))))) / 2.0).alias(name))
-
-
-def rounded_median(ranks: DataFrame, value: str, by: Sequence[str], name: str, digits: int) -> DataFrame:
-    return median_from_ranks(ranks, value, by, "_m").select(*by, round_half_up("_m", digits).alias(name))

@@ -31,20 +31,15 @@ def share_of_total(df: DataFrame, keys, *, count_name: str = "n", pct_name: str
 
 
 def share_within(df: DataFrame, outer, inner, *, value: str | None = None,
-                 pct_name: str = "pct", digits: int = 1, distinct: str | None = None) -> DataFrame:
+                 pct_name: str = "pct", digits: int = 1) -> DataFrame:
     """Percentage of each ``inner`` group inside its ``outer`` group.
 
-    The measure is the row count, the sum of ``value``, or the number of distinct
-    ``distinct`` values per cell; the denominator is the sum of the cells of the
-    outer group (a partitioned window over the small aggregate).
+    The measure is the row count or the sum of ``value``; the denominator is the
+    sum of the cells of the outer group (a partitioned window over the small
+    aggregate: one row per inner value).
     """
     outer, inner = _cols(outer), _cols(inner)
-    if distinct is not None:
-        measure = F.count_distinct(distinct)
-    elif value is not None:
-        measure = F.sum(value)
-    else:
-        measure = F.count(F.lit(1))
+    measure = F.sum(value) if value is not None else F.count(F.lit(1))
     cells = df.groupBy(*outer, *inner).agg(measure.alias("_m"))
     denom = F.sum("_m").over(Window.partitionBy(*outer))
     return cells.select(*outer, *inner, pct(F.col("_m"), denom, digits).alias(pct_name))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import money_sum, round_half_up, safe_div, to_double
-from basketlens.operators.facts import order_dims, realized_order_dim
+from basketlens.operators.facts import realized_order_dim
 from basketlens.operators.ratios import share_within
 from basketlens.sources.tables import RetailTables
 

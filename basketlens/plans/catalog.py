@@ -12,9 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from basketlens.config import LABELS, THRESHOLDS
 from basketlens.operators import categories as ca
 from basketlens.operators import customers as cu
 from basketlens.operators import extracts as ex
