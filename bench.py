@@ -56,7 +56,8 @@ def main() -> None:
     mode = os.environ.get("BENCH_MODE", "suite")
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "1")))
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus), app="basketlens-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
+                          app="basketlens-bench")
     names = wanted or list(catalog.registry())
 
     # warm-up on another scale factor's files: JIT and code generation, not timed
