@@ -59,3 +59,17 @@ def test_status_filter_and_pruning_reach_the_parquet_scan(spark, small_tables):
     assert "PushedFilters: [IsNotNull(item_status), EqualTo(item_status,Completed)" in plan
     items_scan = [ln for ln in plan.splitlines() if "order_items.parquet" in ln][0]
     assert "ReadSchema: struct<order_id:bigint,item_status:string,line_total:decimal(18,2)>" in items_scan
+
+
+def test_cli_writes_every_result(spark):
+    from basketlens import cli
+    from basketlens.plans import catalog
+    out = tempfile.mkdtemp(prefix="basketlens-out-")
+    t = RetailTables.from_test_tables(spark, "/root/testdata/sf0.001")
+    names = ["band_summary", "category_over_index", "seller_metrics", "purchase_gaps"]
+    timings = cli.run_all(t, out, names)
+    assert set(timings) == set(names)
+    for n in names:
+        back = spark.read.parquet(os.path.join(out, n))
+        assert sorted(map(tuple, back.collect()), key=repr) == \
+            sorted(map(tuple, catalog.run(n, spark, "/root/testdata/sf0.001").collect()), key=repr)
