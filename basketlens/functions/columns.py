@@ -28,7 +28,8 @@ def money_sum(x, scale: int = 2) -> Column:
     The sum runs on the unscaled LONG value (cents): the aggregation buffer stays a
     primitive long instead of an arbitrary-precision decimal, which is what Spark's
     own ``DecimalAggregates`` rule does for narrow decimals.  An overflow raises
-    (ANSI mode) rather than wrapping.
+    (ANSI mode) rather than wrapping.  The input must be a DECIMAL with at most
+    ``scale`` decimals (the schemas cast money to DECIMAL(18,2) at the source).
     """
     unscaled = (_c(x) * (10 ** scale)).cast("long")
     return (F.sum(unscaled).cast("decimal(38,0)") / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")

@@ -117,3 +117,19 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None,
      .write.mode("overwrite").format("parquet").option("path", target)
      .bucketBy(n, *bucket_by).sortBy(*bucket_by).saveAsTable(table))
     return spark.table(table)
+
+
+def drop_materialized_tables(spark: SparkSession, database: str | None = None,
+                             prefix: str = "basketlens_") -> list[str]:
+    """Drop the catalog entries of bucketed materializations (names starting with ``prefix``).
+
+    They are external tables: the files stay in the shared folder until the
+    folder's own retention removes them.  Returns the dropped names.
+    """
+    dropped = []
+    for tbl in spark.catalog.listTables(database):
+        if tbl.name.startswith(prefix) and not tbl.isTemporary:
+            ident = f"{database}.{tbl.name}" if database else tbl.name
+            spark.sql(f"DROP TABLE IF EXISTS {ident}")
+            dropped.append(tbl.name)
+    return dropped

@@ -73,3 +73,11 @@ def test_cli_writes_every_result(spark):
         back = spark.read.parquet(os.path.join(out, n))
         assert sorted(map(tuple, back.collect()), key=repr) == \
             sorted(map(tuple, catalog.run(n, spark, "/root/testdata/sf0.001").collect()), key=repr)
+
+
+def test_drop_materialized_tables(spark, small_tables):
+    from basketlens.sources.loaders import drop_materialized_tables
+    materialize(small_tables.customers, "droptest", bucket_by=("customer_id",), buckets=2)
+    dropped = drop_materialized_tables(spark, prefix="basketlens_droptest_")
+    assert any(n.startswith("basketlens_droptest_") for n in dropped)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("basketlens_droptest_")]
