@@ -60,6 +60,7 @@ class Thresholds:
     reconcile_tolerance: str = "0.05"  # money tolerance of the reconciliation
     over_index_band: float = 0.15     # heuristic +/-15% over-index flag
     focus_categories: tuple[str, ...] = ("Electronics", "Home")
+    pair_categories: tuple[str, ...] = ("Home", "Electronics")   # combined share of the two largest
     focus_segments: tuple[str, ...] = field(
         default=("B1: High-frequency, engaged", "B2: High-value, declining engagement"))
 

@@ -1,10 +1,10 @@
 """Category and product analysis: mix, over-index, top products, repeat behaviour,
 buyer profiles, purchase gaps, order value.
 
-Most questions are answered from two compact grains built once from the item
-fact: (order, category) and (category, customer).  Both are reached by
-aggregating before any join to the customer table, so the item-grain data is
-shuffled once, on ``order_id``.
+Most questions are answered from two compact grains: (order, category) --
+completed items summed per order and category, with map-side combine, before
+the join to orders -- and its (category, customer) roll-up.  Customer
+attributes (segments, R/F/M) are joined at customer grain, never to item rows.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def category_mix(t: RetailTables) -> DataFrame:
             .orderBy(F.col("revenue").desc(), "category"))
 
 
-def category_pair_share(t: RetailTables, pair: Sequence[str] = ("Home", "Electronics")) -> DataFrame:
+def category_pair_share(t: RetailTables, pair: Sequence[str] = THRESHOLDS.pair_categories) -> DataFrame:
     """Combined share of revenue of a set of categories: ``(pct_revenue)``."""
     cc = customer_category(t)
     inside = F.col("category").isin(list(pair))
