@@ -33,9 +33,10 @@ def rfm_base(t: RetailTables, as_of=None, th: Thresholds = THRESHOLDS) -> DataFr
                          F.max("order_date").alias("last_order")))
     return (t.customers.select("customer_id", "registration_date")
             .join(per_customer, "customer_id")
+            .withColumn("_as_of", as_of)                    # the scalar subquery, referenced once
             .select("customer_id", "registration_date", "frequency", "monetary",
-                    F.datediff(as_of, F.col("last_order")).alias("recency"),
-                    tenure_group("registration_date", as_of, th.tenure_months).alias("tenure_group")))
+                    F.datediff("_as_of", "last_order").alias("recency"),
+                    tenure_group("registration_date", "_as_of", th.tenure_months).alias("tenure_group")))
 
 
 def add_segments(base: DataFrame, th: Thresholds = THRESHOLDS, labels: Labels = LABELS) -> DataFrame:

@@ -78,8 +78,9 @@ def mismatch_share(t: RetailTables, tolerance: str = THRESHOLDS.reconcile_tolera
     ``(mismatched_orders, total_orders, pct_of_all_orders)``."""
     bad = mismatch_count(t, completed_only=True, tolerance=tolerance)
     total = t.orders.select(F.count(F.lit(1))).scalar()
-    return bad.select("mismatched_orders", total.alias("total_orders"),
-                      pct(F.col("mismatched_orders"), total, 1).alias("pct_of_all_orders"))
+    return (bad.withColumn("total_orders", total)
+            .select("mismatched_orders", "total_orders",
+                    pct(F.col("mismatched_orders"), F.col("total_orders"), 1).alias("pct_of_all_orders")))
 
 
 def without_match(t: RetailTables, status: str = LABELS.completed) -> DataFrame:

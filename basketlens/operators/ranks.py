@@ -99,6 +99,37 @@ def quantile_score(ranks: DataFrame, k: int = 5, higher_is_better=True) -> DataF
     return ranks.withColumn("score", (F.lit(1) + whole).cast("bigint"))
 
 
+def quantile_edges(ranks: DataFrame, value: str, by: Sequence[str] = (), k: int = 5,
+                   higher_is_better=True) -> DataFrame:
+    """The values where :func:`quantile_score` steps up: ``by..., edge_1 .. edge_{k-1}``.
+
+    ``edge_j`` is the first value, going from worst to best, whose score is above
+    ``j``: the smallest value with ``k * worse >= j * total`` when higher is better,
+    the largest one otherwise (NULL when no value gets there).  ``score(v)`` is
+    then ``1 + #{j : v >= edge_j}`` (``<=`` when lower is better), so a table of
+    one row per group scores any number of rows without joining them to the ranks.
+    """
+    worse = _worse(higher_is_better)
+    hib = F.lit(higher_is_better) if isinstance(higher_is_better, bool) else higher_is_better
+    edges = []
+    for j in range(1, k):
+        reach = worse * k >= F.col("total") * j
+        lowest = F.min(F.when(reach & hib, F.col(value)))
+        highest = F.max(F.when(reach & ~hib, F.col(value)))
+        edges.append(F.coalesce(lowest, highest).alias(f"edge_{j}"))
+    return ranks.groupBy(*by).agg(*edges)
+
+
+def score_by_edges(x, edges, k: int = 5, higher_is_better: bool = True):
+    """``1 + #{j : x passes edges[j]}`` for an array column of ``k - 1`` edges
+    (NULL edges are never passed)."""
+    score = F.lit(1).cast("bigint")
+    for j in range(k - 1):
+        passes = (x >= edges[j]) if higher_is_better else (x <= edges[j])
+        score = score + F.coalesce(passes, F.lit(False)).cast("bigint")
+    return score
+
+
 def ntile_of(position, total, k: int = 5):
     """SQL ``NTILE(k)`` bucket of a 1-based ``position`` among ``total`` rows."""
     q = F.floor(total / k)

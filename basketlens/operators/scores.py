@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.operators.ranks import quantile_score, tie_split, value_ranks
-from basketlens.sources.loaders import materialize
+from basketlens.operators.ranks import quantile_edges, score_by_edges, tie_split, value_ranks
 
 MEASURES = ("recency", "frequency", "monetary")
 LOWER_IS_BETTER = ("recency",)
@@ -38,17 +37,26 @@ def _better_when_higher():
 
 
 def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
-    """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``."""
-    long = materialize(_long(seg), "rfm_long")      # read twice: ranking and join back
-    scores = (quantile_score(value_ranks(long, "value", ["measure"]), k, _better_when_higher())
-              .select("measure", "value", "score"))
-    per_customer = (long.join(scores, ["measure", "value"], "left")
-                    .groupBy("customer_id")
-                    .pivot("measure", list(MEASURES))
-                    .agg(F.first("score")))
-    r, f, m = (F.col(x) for x in MEASURES)
-    return per_customer.select("customer_id", r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
-                               (r + f + m).alias("rfm_score"))
+    """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``.
+
+    The exact ranks give, per measure, the ``k - 1`` values where the score steps
+    up (:func:`quantile_edges`); the three short edge lists travel as one scalar
+    subquery, and every customer is scored by comparing its values with them.
+    No customer-grain join or shuffle is needed for the scoring itself.
+    """
+    edges = quantile_edges(value_ranks(_long(seg), "value", ["measure"]), "value", ["measure"], k,
+                           _better_when_higher())
+    edge_cols = [f"edge_{j}" for j in range(1, k)]
+    packed = edges.agg(*[F.max(F.when(F.col("measure") == m, F.array(*edge_cols))).alias(m)
+                         for m in MEASURES])
+    lists = packed.select(F.struct(*MEASURES)).scalar()
+    # the subquery is referenced once, as a column; the scores read that column
+    with_edges = seg.select("customer_id", *MEASURES, lists.alias("_edges"))
+    scored = with_edges.select(
+        "customer_id",
+        *[score_by_edges(F.col(m).cast("double"), F.col("_edges")[m], k, m not in LOWER_IS_BETTER)
+          .alias(f"{m[0]}_score") for m in MEASURES])
+    return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 
 def tie_split_report(seg: DataFrame, k: int = 5) -> DataFrame:

@@ -100,3 +100,17 @@ def test_purchase_gaps_same_day_zero_and_first_null(spark, monkeypatch):
                  for r in ca.purchase_gaps(t).collect())
     assert got == sorted([("Home", 1, -1), ("Home", 1, 0), ("Home", 1, 10), ("Home", 1, 0), ("Home", 1, 0),
                           ("Home", 2, -1), ("Home", 2, 29), ("Electronics", 1, -1)])
+
+
+@pytest.mark.parametrize("higher_is_better", [True, False])
+def test_edges_score_equals_rank_score(spark, higher_is_better):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"id": range(997), "v": rng.integers(0, 40, 997).astype(float)})
+    pdf.loc[:300, "v"] = 7.0                         # a third of the rows share one value
+    df = spark.createDataFrame(pdf)
+    rk = ranks.value_ranks(df, "v", buckets=4)
+    by_rank = {r.v: r.score for r in ranks.quantile_score(rk, 5, higher_is_better).collect()}
+    edges = ranks.quantile_edges(rk, "v", (), 5, higher_is_better)
+    arr = edges.select(F.array(*[f"edge_{j}" for j in range(1, 5)])).scalar()
+    got = df.select("v", ranks.score_by_edges(F.col("v"), arr, 5, higher_is_better).alias("s")).collect()
+    assert all(r.s == by_rank[r.v] for r in got)
