@@ -17,8 +17,10 @@ class Labels:
     refunded: str = "Refunded"
 
     categories: tuple[str, ...] = ("Home", "Electronics", "Fashion", "Groceries", "Beauty")
-    seller_types: tuple[str, ...] = ("Company", "Individual")
-    logistics: tuple[str, ...] = ("FBS", "Standard")
+    company: str = "Company"
+    individual: str = "Individual"
+    fbs: str = "FBS"
+    standard: str = "Standard"
 
     tenure_recent: str = "Recent (<3mo tenure)"
     tenure_established: str = "Established"
@@ -37,6 +39,14 @@ class Labels:
     seg_b5: str = "B5: One-time buyer"
     seg_b6: str = "B6: One-time buyer, inactive"
 
+    @property
+    def seller_types(self) -> tuple[str, ...]:
+        return (self.company, self.individual)
+
+    @property
+    def logistics(self) -> tuple[str, ...]:
+        return (self.fbs, self.standard)
+
     @property
     def bands(self) -> tuple[str, ...]:
         return (self.band_1, self.band_2_3, self.band_4_5, self.band_6_8, self.band_9_plus)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.config import LABELS, Labels
 from basketlens.functions import money_sum, round_half_up, safe_div, to_double
 from basketlens.operators.facts import realized_order_dim
 from basketlens.operators.ratios import share_within
@@ -129,24 +130,23 @@ def segment_mix_by(t: RetailTables, seg: DataFrame, attribute: str = "seller_typ
             .orderBy(attribute, "customer_segment"))
 
 
-def seller_ratios(metrics: DataFrame) -> DataFrame:
+def seller_ratios(metrics: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Group-to-group ratios of the seller means (r3): Company / Individual per product
     and per customer, Standard / FBS raw revenue and per product."""
     def mean_where(col, attr, value):
         hit = F.col(attr) == value
         return to_double(F.sum(F.when(hit, F.col(col)))) / F.count(F.when(hit, F.col(col)))
+
+    def ratio(col, attr, a, b):
+        return round_half_up(mean_where(col, attr, a) / mean_where(col, attr, b), 3)
+
     return metrics.agg(
-        round_half_up(mean_where("revenue_per_product", "seller_type", "Company")
-                      / mean_where("revenue_per_product", "seller_type", "Individual"), 3)
+        ratio("revenue_per_product", "seller_type", labels.company, labels.individual)
         .alias("company_over_individual_per_product"),
-        round_half_up(mean_where("revenue_per_customer", "seller_type", "Company")
-                      / mean_where("revenue_per_customer", "seller_type", "Individual"), 3)
+        ratio("revenue_per_customer", "seller_type", labels.company, labels.individual)
         .alias("company_over_individual_per_customer"),
-        round_half_up(mean_where("revenue", "fbs_standard", "Standard")
-                      / mean_where("revenue", "fbs_standard", "FBS"), 3)
-        .alias("standard_over_fbs_raw"),
-        round_half_up(mean_where("revenue_per_product", "fbs_standard", "Standard")
-                      / mean_where("revenue_per_product", "fbs_standard", "FBS"), 3)
+        ratio("revenue", "fbs_standard", labels.standard, labels.fbs).alias("standard_over_fbs_raw"),
+        ratio("revenue_per_product", "fbs_standard", labels.standard, labels.fbs)
         .alias("standard_over_fbs_per_product"),
     )
 
