@@ -23,15 +23,23 @@ def order_seller(t: RetailTables) -> DataFrame:
     return t.derived("order_seller", lambda tt: realized_order_dim(tt, "seller_id"))
 
 
+def order_seller_status(t: RetailTables) -> DataFrame:
+    """All items (every status) per (order, seller, status): ``order_id, seller_id,
+    item_status, n_items`` -- the grain of the sample floor and the outcome mixes."""
+    def build(tt):
+        return (tt.order_items.select("order_id", "product_id", "item_status")
+                .join(tt.products.select("product_id", "seller_id"), "product_id")
+                .groupBy("order_id", "seller_id", "item_status")
+                .agg(F.count(F.lit(1)).alias("n_items")))
+    return t.derived("order_seller_status", build)
+
+
 def seller_floor(t: RetailTables) -> DataFrame:
     """Smallest item count and distinct-customer count over sellers, all item statuses.
 
     ``(min_items_per_seller, min_customers_per_seller)``.
     """
-    per_order = (t.order_items.select("order_id", "product_id")
-                 .join(t.products.select("product_id", "seller_id"), "product_id")
-                 .groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n_items")))
-    per_customer = (per_order.join(t.orders.select("order_id", "customer_id"), "order_id")
+    per_customer = (order_seller_status(t).join(t.orders.select("order_id", "customer_id"), "order_id")
                     .groupBy("seller_id", "customer_id").agg(F.sum("n_items").alias("n_items")))
     per_seller = per_customer.groupBy("seller_id").agg(
         F.sum("n_items").alias("item_count"),
@@ -105,11 +113,17 @@ def logistics_means(metrics: DataFrame) -> DataFrame:
 def status_mix_by(t: RetailTables, attribute: str) -> DataFrame:
     """Item status mix within a seller attribute, all statuses: ``attribute, item_status, pct``.
 
-    Items are counted per (seller, status) before the seller attributes are attached.
+    Items are counted per (seller, status) before the seller attributes are attached:
+    from the materialized (order, seller, status) grain when the tables persist
+    their derived grains, else directly from the items.
     """
-    per_seller = (t.order_items.select("product_id", "item_status")
-                  .join(t.products.select("product_id", "seller_id"), "product_id")
-                  .groupBy("seller_id", "item_status").agg(F.count(F.lit(1)).alias("n")))
+    if t.persist_derived:
+        per_seller = (order_seller_status(t).groupBy("seller_id", "item_status")
+                      .agg(F.sum("n_items").alias("n")))
+    else:
+        per_seller = (t.order_items.select("product_id", "item_status")
+                      .join(t.products.select("product_id", "seller_id"), "product_id")
+                      .groupBy("seller_id", "item_status").agg(F.count(F.lit(1)).alias("n")))
     tagged = per_seller.join(t.sellers.select("seller_id", attribute), "seller_id")
     return (share_within(tagged, attribute, "item_status", value="n")
             .orderBy(attribute, "item_status"))

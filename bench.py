@@ -40,6 +40,7 @@ SHARED = (
     ("customer_category", ca.customer_category),
     ("product_customer", ca.product_customer),
     ("order_seller", se.order_seller),
+    ("order_seller_status", se.order_seller_status),
     ("seller_metrics", se.seller_metrics),
 )
 

@@ -76,11 +76,18 @@ if __name__ == "__main__":
     from basketlens.plans import catalog, oracle
     from basketlens.session import local_session
 
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(catalog.registry())
+    args = [a for a in sys.argv[1:] if a != "--suite"]
+    suite = "--suite" in sys.argv           # run over one RetailTables with materialized grains
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or list(catalog.registry())
     spark = local_session()
     con = duck(sf_dir)
     reg = catalog.registry()
+    if suite:
+        from basketlens.sources.tables import RetailTables
+        shared = RetailTables.from_test_tables(spark, sf_dir)
+        shared.persist_derived = True
+        reg = {n: (lambda s, d, _n=n: catalog.run(_n, s, d, tables=shared)) for n in reg}
     bad = 0
     for n in names:
         if n not in oracle.SQL:
