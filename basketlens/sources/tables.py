@@ -64,6 +64,18 @@ class RetailTables:
             customers.customer_segments(self).createOrReplaceTempView(f"{prefix}customer_segments")
             sellers.seller_metrics(self).createOrReplaceTempView(f"{prefix}seller_metrics")
 
+    def stored(self) -> "RetailTables":
+        """The five tables written once to the shared folder and read back as Parquet.
+
+        The import step of the analysis: later scans read plain columnar files, so
+        the status filter and column pruning reach the scan, and a source that is
+        itself a view (such as the test-table mapping) is evaluated once.
+        """
+        out = RetailTables.from_dict({name: materialize(df, f"source_{name}")
+                                      for name, df in self.as_dict().items()})
+        out.persist_derived = self.persist_derived
+        return out
+
     def derived(self, name: str, build, *, persist: bool = False,
                 bucket_by: tuple[str, ...] = ()) -> DataFrame:
         """Memoize a derived table on this object.

@@ -87,6 +87,7 @@ if __name__ == "__main__":
         from basketlens.sources.tables import RetailTables
         shared = RetailTables.from_test_tables(spark, sf_dir)
         shared.persist_derived = True
+        shared = shared.stored()
         reg = {n: (lambda s, d, _n=n: catalog.run(_n, s, d, tables=shared)) for n in reg}
     bad = 0
     for n in names:

@@ -81,3 +81,11 @@ def test_drop_materialized_tables(spark, small_tables):
     dropped = drop_materialized_tables(spark, prefix="basketlens_droptest_")
     assert any(n.startswith("basketlens_droptest_") for n in dropped)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("basketlens_droptest_")]
+
+
+def test_stored_sources_match_the_mapping(spark, small_tables):
+    stored = small_tables.stored()
+    for name, df in small_tables.as_dict().items():
+        back = getattr(stored, name)
+        assert back.schema == df.schema
+        assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
