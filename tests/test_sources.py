@@ -87,5 +87,5 @@ def test_stored_sources_match_the_mapping(spark, small_tables):
     stored = small_tables.stored()
     for name, df in small_tables.as_dict().items():
         back = getattr(stored, name)
-        assert back.schema == df.schema
+        assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in df.schema]
         assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
