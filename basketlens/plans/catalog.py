@@ -37,76 +37,139 @@ def _seg(t: RetailTables) -> DataFrame:
 
 TABLE_QUERIES: dict[str, TableQuery] = {
     # ---- data validation ----
+    # V1
     "dup_orders": lambda t: qa.duplicate_keys(t.orders, "order_id"),
+    # V2
     "dup_order_items": lambda t: qa.duplicate_keys(t.order_items, "order_item_id"),
+    # V3
     "orphan_items_order": lambda t: qa.orphans(t.order_items, t.orders, "order_id"),
+    # V4
     "orphan_items_product": lambda t: qa.orphans(t.order_items, t.products, "product_id"),
+    # V5
     "orphan_orders_customer": lambda t: qa.orphans(t.orders, t.customers, "customer_id"),
+    # X7
     "orphan_products_seller": lambda t: qa.orphans(t.products.select("product_id", "seller_id"),
                                                    t.sellers, "seller_id").select("seller_id"),
+    # V6
     "status_mix": qa.status_mix,
+    # V7
     "reconcile_all": lambda t: qa.mismatch_count(t, completed_only=False),
+    # V8
     "reconcile_completed": lambda t: qa.mismatch_count(t, completed_only=True),
+    # X13
     "reconcile_completed_share": qa.mismatch_share,
+    # V9
     "orders_without_completed": qa.without_match,
+    # S3
     "row_counts": lambda t: row_counts(t.as_dict()),
+    # V1-V5 as one report
     "integrity_report": qa.integrity_report,
     # ---- customers ----
+    # C1, C1a
     "rfm_base": cu.customer_rfm_base,
+    # C4, C5, C5t
     "customer_segments": _seg,
+    # C2
     "eligible_customers": lambda t: cu.eligible_customers(_seg(t)),
+    # C3
     "frequency_histogram": lambda t: cu.frequency_histogram(_seg(t)),
+    # C6
     "band_summary": lambda t: cu.band_summary(_seg(t)),
+    # C7
     "segment_summary": lambda t: cu.segment_summary(_seg(t)),
+    # C8
     "watchlist": lambda t: cu.watchlist(_seg(t)),
+    # X3
     "watchlist_revenue_share": lambda t: cu.watchlist(_seg(t), with_revenue_share=True),
+    # C9
     "headline_split": lambda t: cu.headline_split(_seg(t)),
+    # C10
     "band_counts": lambda t: cu.band_counts(_seg(t)),
+    # C11
     "band_avg_monetary": lambda t: cu.band_avg_monetary(_seg(t)),
+    # C12
     "segment_count": lambda t: cu.segment_count(_seg(t)),
     # ---- categories and products ----
+    # K1
     "category_mix": ca.category_mix,
+    # X12
     "category_pair_share": ca.category_pair_share,
+    # K2
     "segment_category_revenue": lambda t: ca.segment_category_revenue(t, _seg(t)),
+    # K2a
     "segment_totals": lambda t: ca.segment_totals(ca.segment_category_revenue(t, _seg(t))),
+    # K2b
     "overall_category_share": lambda t: ca.overall_category_share(ca.segment_category_revenue(t, _seg(t))),
+    # K2c
     "category_over_index": lambda t: ca.category_over_index(t, _seg(t)),
+    # K8
     "category_over_index_wide": lambda t: ca.over_index_wide(t, _seg(t)),
+    # X10
     "over_index_flag": lambda t: ca.over_index_flag(t, _seg(t)),
+    # K3
     "top_products": lambda t: ca.top_products(t, TEST_MIN_BUYERS),
+    # K3a
     "product_segment_revenue": lambda t: ca.product_segment_revenue(
         t, _seg(t), ca.top_products(t, TEST_MIN_BUYERS)),
+    # K3b
     "product_segment_share": lambda t: ca.product_segment_share(t, _seg(t), TEST_MIN_BUYERS),
+    # X9
     "product_share_mean": lambda t: ca.product_share_mean(t, _seg(t), TEST_MIN_BUYERS),
+    # K4
     "repeat_rate": ca.repeat_rate,
+    # K5
     "buyer_profile": lambda t: ca.buyer_profile(t, _seg(t)).drop("pct_high_frequency"),
+    # X5
     "buyer_high_frequency": lambda t: ca.buyer_profile(t, _seg(t)).select(
         "category", "customers", "pct_high_frequency"),
+    # K6
     "purchase_gaps": ca.purchase_gaps,
+    # K6a
     "gap_mid": lambda t: ca.percent_rank_mid(ca.gap_histogram(t), "category", "days_since_prev"),
+    # X8
     "gap_median": lambda t: ca.median_from_histogram(ca.gap_histogram(t), "category", "days_since_prev"),
+    # K7
     "category_aov": ca.category_aov,
     # ---- sellers ----
+    # L1
     "seller_floor": se.seller_floor,
+    # L2
     "catalog_size": se.catalog_size,
+    # L3
     "catalog_confound": lambda t: se.confound_check(t, "fbs_standard"),
+    # X4
     "catalog_confound_type": lambda t: se.confound_check(t, "seller_type"),
+    # L4
     "seller_metrics": se.seller_metrics,
+    # L5
     "seller_type_means": lambda t: se.seller_type_means(se.seller_metrics(t)),
+    # L6
     "logistics_means": lambda t: se.logistics_means(se.seller_metrics(t)),
+    # X11
     "seller_ratios": lambda t: se.seller_ratios(se.seller_metrics(t)),
+    # L7
     "status_mix_seller_type": lambda t: se.status_mix_by(t, "seller_type"),
+    # L8
     "status_mix_logistics": lambda t: se.status_mix_by(t, "fbs_standard"),
+    # L9
     "segment_mix_seller_type": lambda t: se.segment_mix_by(t, _seg(t), "seller_type"),
+    # X2
     "seller_medians": lambda t: se.seller_medians(se.seller_metrics(t)),
     # ---- described in prose: score and its tie diagnostic ----
+    # X1
     "rfm_score": lambda t: sc.rfm_score(_seg(t)),
+    # X1 diagnostic
     "rfm_score_tie_split": lambda t: sc.tie_split_report(_seg(t)),
     # ---- chart extracts ----
+    # D1
     "chart_bars": lambda t: ex.bars(cu.band_summary(_seg(t)), ca.category_mix(t)),
+    # D2
     "chart_aov_repeat": lambda t: ex.aov_repeat(ca.repeat_rate(t), ca.category_aov(t)),
+    # D3
     "chart_over_index_offset": lambda t: ex.over_index_offset(ca.category_over_index(t, _seg(t))),
+    # D4
     "chart_seller_views": lambda t: ex.seller_views(se.logistics_means(se.seller_metrics(t))),
+    # D5, D6
     "chart_band_labels": lambda t: ex.band_labels(cu.band_summary(_seg(t))),
 }
 
