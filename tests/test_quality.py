@@ -1,6 +1,5 @@
 """Data-quality operators on hand-made rows."""
 
-from pyspark.sql import functions as F
 
 from basketlens.operators import quality as qa
 from basketlens.operators import sellers as se
