@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS
@@ -39,8 +39,25 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
             .select(F.col(key).alias(output or key)))
 
 
+def order_status(t: RetailTables) -> DataFrame:
+    """All items per (order, status): ``order_id, item_status, n_items, amount``.
+
+    The grain of the status mix, the reconciliations and the realized order
+    revenue; memoized on ``t`` and, with ``persist_derived``, materialized once.
+    """
+    def build(tt):
+        return (tt.order_items.groupBy("order_id", "item_status")
+                .agg(F.count(F.lit(1)).alias("n_items"), money_sum("line_total").alias("amount")))
+    return t.derived("order_status", build)
+
+
 def status_mix(t: RetailTables) -> DataFrame:
     """``(item_status, n_items, pct_of_items)`` over all items."""
+    if t.persist_derived:
+        counted = (order_status(t).groupBy("item_status")
+                   .agg(F.sum("n_items").alias("n_items")))
+        total = F.sum("n_items").over(Window.partitionBy())
+        return counted.withColumn("pct_of_items", pct(F.col("n_items"), total, 1))
     return share_of_total(t.order_items, "item_status", count_name="n_items",
                           pct_name="pct_of_items")
 
@@ -49,14 +66,17 @@ def _item_sums(items: DataFrame, name: str) -> DataFrame:
     return items.groupBy("order_id").agg(money_sum("line_total").alias(name))
 
 
-def reconcile(orders: DataFrame, items: DataFrame, *, amount: str = "subtotal_amount",
-              tolerance: str = THRESHOLDS.reconcile_tolerance, how: str = "inner") -> DataFrame:
+def reconcile(orders: DataFrame, items: DataFrame | None = None, *, amount: str = "subtotal_amount",
+              tolerance: str = THRESHOLDS.reconcile_tolerance, how: str = "inner",
+              sums: DataFrame | None = None) -> DataFrame:
     """Orders whose ``amount`` differs from the sum of their items by more than ``tolerance``.
 
-    ``how='inner'`` skips orders without items; ``how='left'`` treats their sum as 0.
-    Returns the offending orders: ``order_id, amount, item_sum, diff``.
+    The item sums come from ``items`` (summed per order here) or, already summed,
+    from ``sums`` (``order_id, item_sum``).  ``how='inner'`` skips orders without
+    items; ``how='left'`` treats their sum as 0.  Returns the offending orders:
+    ``order_id, amount, item_sum, diff``.
     """
-    sums = _item_sums(items, "item_sum")
+    sums = sums if sums is not None else _item_sums(items, "item_sum")
     joined = orders.select("order_id", amount).join(sums, "order_id", how)
     item_sum = F.coalesce(F.col("item_sum"), F.lit(0)) if how == "left" else F.col("item_sum")
     diff = F.col(amount) - item_sum
@@ -67,9 +87,16 @@ def reconcile(orders: DataFrame, items: DataFrame, *, amount: str = "subtotal_am
 def mismatch_count(t: RetailTables, *, completed_only: bool,
                    tolerance: str = THRESHOLDS.reconcile_tolerance) -> DataFrame:
     """``(mismatched_orders)``: all items with an inner join, or completed items with a left join."""
-    items = completed_items(t) if completed_only else t.order_items
-    bad = reconcile(t.orders, items, tolerance=tolerance,
-                    how="left" if completed_only else "inner")
+    how = "left" if completed_only else "inner"
+    if t.persist_derived:
+        grain = order_status(t)
+        if completed_only:
+            grain = grain.where(F.col("item_status") == LABELS.completed)
+        sums = grain.groupBy("order_id").agg(money_sum("amount").alias("item_sum"))
+        bad = reconcile(t.orders, sums=sums, tolerance=tolerance, how=how)
+    else:
+        items = completed_items(t) if completed_only else t.order_items
+        bad = reconcile(t.orders, items, tolerance=tolerance, how=how)
     return bad.agg(F.count(F.lit(1)).alias("mismatched_orders"))
 
 
@@ -85,7 +112,10 @@ def mismatch_share(t: RetailTables, tolerance: str = THRESHOLDS.reconcile_tolera
 
 def without_match(t: RetailTables, status: str = LABELS.completed) -> DataFrame:
     """Orders with no item of ``status``: ``(orders_with_no_completed_items, pct_of_all_orders)``."""
-    have = completed_items(t, status).select("order_id").distinct()   # combined map-side
+    if t.persist_derived:
+        have = order_status(t).where(F.col("item_status") == status).select("order_id")
+    else:
+        have = completed_items(t, status).select("order_id").distinct()   # combined map-side
     missing = t.orders.select("order_id").join(have, "order_id", "left_anti")
     total = t.orders.select(F.count(F.lit(1))).scalar()
     return (missing.agg(F.count(F.lit(1)).alias("orders_with_no_completed_items"))

@@ -3,8 +3,9 @@
 The default ``suite`` mode runs the analysis the way it is meant to run on a
 cluster: the five source tables are imported once (the test-table mapping is
 written as Parquet, ``materialize:sources``), the shared derived tables
-(customer R/F/M base and segments, the order x category, order x seller,
-order x seller x status and product x customer grains, seller metrics) are each
+(the order x status grain, customer R/F/M base and segments, the order x
+category, order x seller, order x seller x status and product x customer
+grains, seller metrics) are each
 built once and materialized to the shared checkpoint folder -- the ``CREATE
 TABLE AS`` steps of the analysis, timed as ``materialize:<name>`` -- and every
 registered query then runs over them.  ``standalone`` mode runs every query from the base
@@ -30,12 +31,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketlens.operators import categories as ca  # noqa: E402
 from basketlens.operators import customers as cu  # noqa: E402
+from basketlens.operators import quality as qa  # noqa: E402
 from basketlens.operators import sellers as se  # noqa: E402
 from basketlens.plans import catalog  # noqa: E402
 from basketlens.session import local_session  # noqa: E402
 from basketlens.sources.tables import RetailTables  # noqa: E402
 
 SHARED = (
+    ("order_status", qa.order_status),
     ("customer_rfm_base", cu.customer_rfm_base),
     ("customer_segments", cu.customer_segments),
     ("order_category", ca.order_category),

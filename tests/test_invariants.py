@@ -77,7 +77,8 @@ def test_materialized_suite_matches_lazy(spark):
     eager = RetailTables.from_test_tables(spark, "/root/testdata/sf0.001")
     eager.persist_derived = True
     for name in ("segment_summary", "category_over_index", "seller_type_means", "purchase_gaps",
-                 "status_mix_seller_type", "seller_floor", "rfm_score"):
+                 "status_mix_seller_type", "seller_floor", "rfm_score", "status_mix", "reconcile_completed",
+                 "reconcile_all", "orders_without_completed", "rfm_base"):
         a = portable(catalog.TABLE_QUERIES[name](lazy)).collect()
         b = portable(catalog.TABLE_QUERIES[name](eager)).collect()
         assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr), name
