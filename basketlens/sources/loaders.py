@@ -80,9 +80,16 @@ def shared_dir(spark: SparkSession) -> str:
     error.  Only a ``local[...]`` session (one machine: tests, local runs) gets a
     scratch folder when the setting is missing.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    try:                                   # classic sessions; Spark Connect has no SparkContext
+        sc = spark.sparkContext
+    except Exception:                      # noqa: BLE001
+        sc = None
+    root = sc.getCheckpointDir() if sc is not None else None
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; materialize() needs a shared folder")
         from basketlens.session import ensure_checkpoint_dir
         root = ensure_checkpoint_dir(spark)
