@@ -1,6 +1,6 @@
 """Run the whole analysis and write every result table.
 
-    spark-submit -m basketlens.cli --parquet s3://bucket/retail --out s3://bucket/results
+    spark-submit --py-files basketlens.zip basketlens/cli.py --parquet <tables> --out <results>
     python -m basketlens.cli --test-tables /root/testdata/sf0.01 --out /tmp/results --local
 
 The shared tables are materialized once (customer R/F/M base and segments,
@@ -13,10 +13,15 @@ executors, partition by partition; nothing is collected to the driver.
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
+if __package__ in (None, ""):      # run as a script: spark-submit basketlens/cli.py ...
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from basketlens.plans import catalog
 from basketlens.plans.export import portable
 from basketlens.sources.tables import RetailTables
