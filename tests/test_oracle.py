@@ -39,3 +39,19 @@ def test_entry_smoke(spark):
     assert df.columns == ["freq_band", "customers", "pct_customers", "total_revenue", "pct_revenue",
                           "avg_revenue_per_customer"]
     assert df.count() == 5
+
+
+@pytest.fixture(scope="module")
+def suite_tables(spark):
+    from basketlens.sources.tables import RetailTables
+    t = RetailTables.from_test_tables(spark, SF)
+    t.persist_derived = True
+    return t.stored()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_duckdb_over_materialized_tables(spark, con, suite_tables, name):
+    """The same check with sources imported once and the shared grains materialized (bench suite mode)."""
+    df = catalog.run(name, spark, SF, tables=suite_tables)
+    problems, n_spark, n_duck = compare(df, con, oracle.SQL[name])
+    assert not problems, problems
