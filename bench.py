@@ -12,7 +12,8 @@ query from the base tables on its own.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_MODE (suite | standalone), BENCH_QUERIES (optional comma-separated subset),
-BENCH_REPEAT (default 1; best of the repeats), BENCH_CONCURRENT (default 1: also
+BENCH_REPEAT (default 1; best of the repeats), BENCH_WARMUP (full, the default: every
+query once on sf0.001 before timing | light: three queries), BENCH_CONCURRENT (default 1: also
 time all queries submitted from a thread pool, reported as ``concurrent_wall_sec``;
 the headline ``value`` stays the sequential sum).  Each query is executed in full
 with the ``noop`` sink: the whole plan runs, no rows are collected.
@@ -65,10 +66,18 @@ def main() -> None:
                           app="basketlens-bench")
     names = wanted or list(catalog.registry())
 
-    # warm-up on another scale factor's files: JIT and code generation, not timed
+    # warm-up on another scale factor's files (JVM JIT, generated-code cache), not timed:
+    # BENCH_WARMUP=full runs every query once there in the same mode, =light three of them
     warm_dir = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir
-    for n in ("band_summary", "category_mix", "seller_metrics"):
-        catalog.run(n, spark, warm_dir).write.format("noop").mode("overwrite").save()
+    if os.environ.get("BENCH_WARMUP", "full") == "full":
+        warm = RetailTables.from_test_tables(spark, warm_dir)
+        warm.persist_derived = mode == "suite"
+        warm = warm.stored() if mode == "suite" else warm
+        for n in names:
+            catalog.run(n, spark, warm_dir, tables=warm).write.format("noop").mode("overwrite").save()
+    else:
+        for n in ("band_summary", "category_mix", "seller_metrics"):
+            catalog.run(n, spark, warm_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     tables = None
