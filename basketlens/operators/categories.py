@@ -148,13 +148,20 @@ def product_segment_revenue(t: RetailTables, seg: DataFrame, top: DataFrame) ->
 def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
                           k: int = THRESHOLDS.top_products, labels: Labels = LABELS,
                           unrounded: bool = False) -> DataFrame:
-    """B1 and B2 share of each top product's revenue (missing -> 0)."""
+    """B1 and B2 share of each top product's revenue (missing -> 0).
+
+    The k-row top list is computed once and broadcast with all its columns; the
+    buyers of those products are matched to their segment with a left join (a
+    buyer outside the segmented base adds nothing), and one conditional
+    aggregation per product gives both shares.
+    """
     top = top_products(t, min_customers, k)
-    psr = product_segment_revenue(t, seg, top)
-    shares = psr.groupBy("product_id").agg(
-        money_sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("seg_revenue"))).alias("_b1"),
-        money_sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("seg_revenue"))).alias("_b2"))
-    joined = top.join(shares, "product_id", "left")
+    keys = ["product_id", "product_name", "category", "revenue", "customers"]
+    buyers = product_customer(t).withColumnRenamed("revenue", "_spent").join(F.broadcast(top), "product_id")
+    tagged = buyers.join(seg.select("customer_id", "customer_segment"), "customer_id", "left")
+    joined = tagged.groupBy(*keys).agg(
+        money_sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("_spent"))).alias("_b1"),
+        money_sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("_spent"))).alias("_b2"))
     b1 = pct(F.coalesce(F.col("_b1"), F.lit(0)), F.col("revenue"), None)
     b2 = pct(F.coalesce(F.col("_b2"), F.lit(0)), F.col("revenue"), None)
     if unrounded:
