@@ -141,7 +141,8 @@ def band_table(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
 def band_counts(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Customers per band in fixed band order; an empty band shows 0."""
     counts = seg.groupBy("freq_band").agg(F.count(F.lit(1)).alias("customers"))
-    return (band_table(seg, labels).join(counts, "freq_band", "left")
+    # counts has one row per band label (a fixed five-value domain): a bounded broadcast
+    return (band_table(seg, labels).join(F.broadcast(counts), "freq_band", "left")
             .select("band_order", "freq_band",
                     F.coalesce(F.col("customers"), F.lit(0).cast("bigint")).alias("customers"))
             .orderBy("band_order"))
@@ -151,7 +152,7 @@ def band_avg_monetary(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Mean monetary per band in fixed band order (NULL for an empty band)."""
     avgs = seg.groupBy("freq_band").agg(
         round_half_up(to_double(money_sum("monetary")) / F.count(F.lit(1)), 2).alias("avg_monetary"))
-    return (band_table(seg, labels).join(avgs, "freq_band", "left")
+    return (band_table(seg, labels).join(F.broadcast(avgs), "freq_band", "left")
             .select("band_order", "freq_band", "avg_monetary")
             .orderBy("band_order"))
 
