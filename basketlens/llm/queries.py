@@ -7,17 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import byte_bpe, mixing, url_filter
+from basketlens.llm import byte_bpe, mixing, pii, toxicity, url_filter
 from basketlens.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                             public_tokenizers.PATTERN)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fixed_rules(spark))
 
@@ -27,7 +35,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
 }
