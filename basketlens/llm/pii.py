@@ -324,10 +324,13 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, one row per document."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return find(docs).select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-          for k in KINDS],
+        *map(count, KINDS),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_added"),
