@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import map_batches
+
 #: Entries of the two memo tables of a Python worker; a full table is emptied.
 MEMO_PIECES = 800_000
 MEMO_PAIRS = 400_000
@@ -244,7 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     names = [id_col, "ids", "decoded"]
     schema = f"`{id_col}` {id_type}, ids binary" + ", decoded binary" * with_decoded
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -258,7 +260,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())],
                                              [id_col, "decoded"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {id_type}, decoded binary")
+    return map_batches(encoded.select(id_col, "ids"), run, f"`{id_col}` {id_type}, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.sources.loaders import shared_dir
@@ -27,3 +30,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     target = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema) -> DataFrame:
+    """``df.mapInArrow``, with this package on the Python workers' path.
+
+    Workers import the operators by name.  They inherit the driver's working folder
+    only by chance; where the package lies at the same place on all machines this
+    names it, elsewhere it is shipped with ``--py-files``.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), here])
+    return df.mapInArrow(run, schema)

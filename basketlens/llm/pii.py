@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 # --- the base rules: fixed values ------------------------------------------------
@@ -283,7 +285,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                      for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], [id_col, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, spans {SPANS}")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, spans {SPANS}")
 
 
 def mask(text: str | None) -> str | None:
@@ -312,7 +314,7 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             cols[place] = pa.array([mask(t) for t in cols[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def _joined(spans: Column) -> Column:

@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import byte_bpe, mixing, pii, toxicity, url_filter
+from basketlens.llm import byte_bpe, mixing, pii, token_counts, topk, toxicity, url_filter
 from basketlens.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +39,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
 }
 
 SQL: dict[str, str] = {
     "op7_url_filter": url_filter.SQL,
+    "op9_topk": topk.SQL,
 }

@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import map_batches
+
 #: Bounds of the training sample: documents, and characters of each (longer ones aren't drawn).
 TRAIN_DOCS = 8_000
 TRAIN_CHARS = 20_000
@@ -354,7 +356,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), spans],
                                                  [id_col, "score", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
