@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import byte_bpe, mixing, pii, token_counts, topk, toxicity, url_filter
+from basketlens.llm import byte_bpe, minhash_join, mixing, pii, token_counts, topk, toxicity, url_filter
 from basketlens.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
+    "op10_minhash_join": op10_minhash_join,
 }
 
 SQL: dict[str, str] = {

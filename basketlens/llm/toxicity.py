@@ -27,11 +27,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import map_batches
+from basketlens.llm.words import Tokens, slices, tokenize
 
 #: Bounds of the training sample: documents, and characters of each (longer ones aren't drawn).
 TRAIN_DOCS = 8_000
@@ -42,11 +42,8 @@ BUCKETS = 1 << 18
 #: ratio of rates (equal texts count once; the share keeps near copies from marking words).
 MIN_DOCS, MIN_SHARE, MIN_RATIO = 5, 0.02, 8.0
 STEPS = 16
-#: Tokens handled at once by the scorer, by bytes of text; word forms kept in a worker.
-CHUNK_BYTES = 8 << 20
+#: Word forms kept in a worker.
 MEMO_WORDS = 400_000
-#: Separators of tokens: fixed values.
-SEPARATORS = ("\n", "\t", "\r", "\x0b", "\x0c")
 EDGE = "\"'`.,;:!?()[]{}<>|*_-–—…«»„“”‘’/\\"
 
 
@@ -67,43 +64,6 @@ def forms(word: str) -> list[int]:
     return out
 
 
-@dataclass
-class Tokens:
-    """Tokens of many texts in one row: text number, offsets in code points, word form number."""
-
-    text: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    code: np.ndarray
-    words: list[str]
-    first: np.ndarray = field(init=False)        # True where a text begins
-
-    def __post_init__(self):
-        self.first = np.ones(len(self.text), bool)
-        self.first[1:] = self.text[1:] != self.text[:-1]
-
-
-def tokenize(texts: pa.Array) -> Tokens:
-    """Split at single white-space characters, so that offsets follow from token lengths."""
-    flat = pc.fill_null(texts, "")
-    for c in SEPARATORS:
-        flat = pc.replace_substring(flat, c, " ")
-    parts = pc.split_pattern(flat, " ")
-    counts = np.diff(np.asarray(parts.offsets))
-    tokens = parts.flatten()
-    length = np.asarray(pc.utf8_length(tokens)).astype(np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    end = np.cumsum(length + 1) - 1
-    text_start = np.zeros(len(counts), np.int64)
-    ends = np.cumsum(counts)
-    text_start[1:] = np.concatenate([[0], end + 1])[ends[:-1]]
-    end = end - text_start[owner]
-    enc = tokens.dictionary_encode()
-    keep = length > 0
-    return Tokens(owner[keep], (end - length)[keep], end[keep], np.asarray(enc.indices)[keep],
-                  enc.dictionary.to_pylist())
-
-
 def marginals(logit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray,
               pairs: bool = False):
     """P(toxic) of every token of all chains, given emission log-odds.
@@ -317,15 +277,6 @@ SPANS = "array<struct<start:int,end:int,p:double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``CHUNK_BYTES`` of text each."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64)
-    part = np.cumsum(size) // CHUNK_BYTES
-    for p in np.unique(part):
-        rows = np.flatnonzero(part == p)
-        yield batch.slice(rows[0], len(rows))
-
-
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text",
           tag_at: float = 0.5) -> DataFrame:
     """``(id_col, score, spans)`` for every whole text.
@@ -344,7 +295,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 t = tokenize(batch.column(1))
                 p = m.tag(t)
                 hit = np.flatnonzero(p >= tag_at)
