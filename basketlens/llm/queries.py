@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import byte_bpe, minhash_join, mixing, pii, suffix_dedup, token_counts, topk, toxicity, url_filter
+from basketlens.llm import (
+    byte_bpe, fingerprints, minhash_join, mixing, pii, suffix_dedup, token_counts, topk, toxicity, url_filter,
+)
 from basketlens.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                             public_tokenizers.PATTERN)
@@ -55,6 +61,7 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_fingerprints": op3_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
