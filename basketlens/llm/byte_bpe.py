@@ -223,12 +223,12 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
-           text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+           text_col: str = "text", with_decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode whole texts: ``(id_col, ids)``, with ``decoded`` if asked for.
 
     ``ids`` is binary, the token ids as little-endian unsigned 32-bit integers (the
     usual form of token files); ``decoded`` holds the bytes that those ids decode
-    to.  ``path`` is the rank file, readable on every executor; special tokens are
+    to; ``keep`` names columns to carry along.  ``path`` is the rank file, readable on every executor; special tokens are
     ordinary text.  A NULL text counts as empty and gives zero ids; ids may be NULL
     or repeat (a row out for each row in); other columns of ``docs`` are not read;
     an empty table gives an empty table.
@@ -239,14 +239,16 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         vocab = vocabulary(path, pattern)
         for batch in batches:
             ids = [vocab.encode(t or "") for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array(ids, pa.binary())]
+            cols = [batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary())]
             if with_decoded:
                 cols.append(pa.array([vocab.decode(i) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names[:len(cols)])
 
-    names = [id_col, "ids", "decoded"]
-    schema = f"`{id_col}` {id_type}, ids binary" + ", decoded binary" * with_decoded
-    return map_batches(docs.select(id_col, text_col), run, schema)
+    names = [id_col, *keep, "ids", "decoded"]
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"`{id_col}` {id_type}{kept}, ids binary" + ", decoded binary" * with_decoded
+    # a kept text goes in a second time, under its own place
+    return map_batches(docs.select(id_col, F.col(text_col).alias("_text"), *keep), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:

@@ -348,3 +348,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8)
     return rows.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left") \
         .select("doc_id", "n_shingles", own.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicate(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id, all columns.
+
+    Documents without words, and those with a NULL id, stay: nothing names their group.
+    Equal rows of one id and text are one document.
+    """
+    kept = near_duplicates(docs, words=words, threshold=threshold).where("kept").select("doc_id").distinct()
+    stays = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi") \
+        .withColumn("near_text", F.xxhash64("text")).dropDuplicates(["doc_id", "near_text"]).drop("near_text")
+    return stays.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -75,24 +75,30 @@ def _sources(sized: DataFrame, weights, max_repeats: int) -> DataFrame:
         "source_no int, source string, source_size long, target double")
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, uid, source, size)``; ``uid`` is a hash of id and text, equal for equal rows."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "source",
+                       word_count(F.col("text")).alias("size"))
+
+
 def positions(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document's first word in its source's stream, as ``start``.
 
-    The stream's order is (hash chunk of the id, id, size, row content); prefix sums
-    run over the chunks' totals, then inside each chunk.
+    The stream's order is (hash chunk of the id, id, uid); prefix sums run over the
+    chunks' totals, then inside each chunk.
     """
     docs = sized.join(sources, sized["source"].eqNullSafe(sources["source"])) \
-        .select("doc_id", "size", "source_no", "source_size", "target",
+        .select("doc_id", "uid", "size", "source_no", "source_size", "target",
                 F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int").alias("chunk"))
     chunk_starts = docs.groupBy("source_no", "chunk").agg(F.sum("size").alias("chunk_words")) \
         .withColumn("chunk_start", F.sum("chunk_words").over(
             Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size") \
+    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "uid", "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
     return docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))) \
         .join(chunk_starts, ["source_no", "chunk"]) \
         .withColumn("start", F.col("inside") + F.coalesce("chunk_start", F.lit(0))) \
-        .select("doc_id", "size", "source_no", "source_size", "target", "start")
+        .select("doc_id", "uid", "size", "source_no", "source_size", "target", "start")
 
 
 def permute(index: Column, count: Column, key: Column, rounds: int = 24) -> Column:
@@ -154,7 +160,7 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return placed.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / per),
                                       F.floor((F.col("start") + F.col("size") - 1) / per)))) \
-        .select("doc_id", "source_no", "start", "block",
+        .select("doc_id", "uid", "size", "source_no", "start", "block",
                 F.greatest(F.col("start") - F.col("block") * per, F.lit(0)).alias("lo"),
                 F.least(F.col("start") + F.col("size") - F.col("block") * per, per).alias("hi"))
 
@@ -163,21 +169,44 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS,
         block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Plan of the mix, a row for each piece of a document that a slot takes.
 
-    Input ``(doc_id, source, text)``; output ``(doc_id, source_no, shard, pass_no,
-    place, first_word, words)``: from word ``first_word`` (0 for the first) of the
-    document ``words`` words stand in output shard ``shard``; pieces follow each
-    other by (pass_no, source_no, place).  NULL and empty texts have no words and are
-    never taken; a NULL source is a source of its own, ordered last; repeated rows
-    are documents of their own.  The same input and seed give the same plan.
+    Input ``(doc_id, source, text)``; output ``(doc_id, uid, size, source_no, start, shard,
+    pass_no, place, first_word, words)``: from word ``first_word`` (0 for the first) of
+    the document ``words`` words stand in output shard ``shard``; pieces follow each
+    other by (pass_no, source_no, place).  ``(source_no, start)`` tells rows of one id
+    apart.  NULL and empty texts have no words and are never taken; a NULL source is a
+    source of its own, ordered last; repeated rows are documents of their own.  The same
+    input and seed give the same plan.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = stored(sizes(docs), "mix_sizes")
     sources = _sources(sized, weights, max_repeats)
     placed = positions(sized, sources)
     return _taken(placed, sources, block_words, shards, seed).select(
-        "doc_id", "source_no", "shard", "pass_no", "place",
+        "doc_id", "uid", "size", "source_no", "start", "shard", "pass_no", "place",
         (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first_word"), "words")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a row for each pass over a document.
+
+    A document that a pass takes whole keeps its text; of others the words taken stand
+    in their order, joined by spaces.  ``n_chars``, if there, counts the new text.
+    """
+    taken = mix(docs, **options).groupBy("uid", "size", "source_no", "start", "pass_no").agg(
+        F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("runs"),
+        F.sum("words").alias("mixed_words")) \
+        .select(F.col("uid").alias("mixed_uid"), F.col("size").alias("mixed_size"), "runs", "mixed_words")
+    # equal rows are one text; each has its own runs
+    texts = docs.withColumn("mixed_uid", F.xxhash64("doc_id", "text")).dropDuplicates(["mixed_uid"])
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    part = F.concat_ws(" ", F.transform(F.array(words), lambda w: F.concat_ws(" ", F.flatten(F.transform(
+        "runs", lambda r: F.slice(w, (r["first_word"] + 1).cast("int"), r["words"].cast("int"))))))[0])
+    out = texts.join(taken, "mixed_uid").withColumn(
+        "text", F.when(F.col("mixed_words") == F.col("mixed_size"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def _taken(placed: DataFrame, sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
     slots = draw(sources, block_words=block_words, shards=shards, seed=seed) \
         .withColumnRenamed("words", "slot_words")
@@ -189,7 +218,7 @@ def taken_words(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPE
                 block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every document, zeros included."""
     # the texts are counted once: three plans read these counts
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix_sizes")
+    sized = stored(sizes(docs), "mix_sizes")
     sources = _sources(sized, weights, max_repeats)
     placed = positions(sized, sources)
     used = _taken(placed, sources, block_words, shards, seed) \

@@ -310,6 +310,27 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
+def clean(docs: DataFrame, model: Model | None, at: float = 0.5, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``at``, with all their columns.
+
+    NULL and empty texts score low and stay; without a model every row stays.
+    """
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for batch in slices(whole, place):
+                t = tokenize(batch.column(place))
+                scores = m.score(summary(t, m.tag(t), batch.num_rows))
+                yield batch.filter(pa.array(scores < at))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 

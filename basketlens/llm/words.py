@@ -52,9 +52,9 @@ def tokenize(texts: pa.Array) -> Tokens:
                   enc.dictionary.to_pylist())
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``CHUNK_BYTES`` of text each."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64)
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``CHUNK_BYTES`` of text (``column``) each."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     part = np.cumsum(size) // CHUNK_BYTES
     for p in np.unique(part):
         rows = np.flatnonzero(part == p)
