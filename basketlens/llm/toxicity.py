@@ -20,7 +20,6 @@ text in vector operations and bounded memory.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -34,13 +33,13 @@ from basketlens.llm.common import map_batches
 from basketlens.llm.words import Tokens, slices, tokenize
 
 #: Bounds of the training sample: documents, and characters of each (longer ones aren't drawn).
-TRAIN_DOCS = 8_000
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 6_000
+TRAIN_CHARS = 10_000
 #: Hashed feature weights; forms a word has.
 BUCKETS = 1 << 18
 #: A form marks toxicity from this many toxic documents and this share of them on, at this
 #: ratio of rates (equal texts count once; the share keeps near copies from marking words).
-MIN_DOCS, MIN_SHARE, MIN_RATIO = 5, 0.02, 8.0
+MIN_DOCS, MIN_SHARE, MIN_RATIO = 5, 0.02, 25.0
 STEPS = 16
 #: Word forms kept in a worker.
 MEMO_WORDS = 400_000
@@ -176,19 +175,27 @@ def summary(t: Tokens, m: np.ndarray, texts: int) -> np.ndarray:
     return np.c_[np.log(total + 1e-2), top, total / np.maximum(count, 1) * 10]
 
 
-def marking_forms(t: Tokens, toxic: np.ndarray) -> set[int]:
-    """Forms found far more often in toxic texts than in clean ones (texts counted, not tokens)."""
-    seen = np.unique(np.stack([t.text, t.code]), axis=1)
-    counts = (Counter(), Counter())
-    by_text: dict[int, set[int]] = {}
-    cached = [forms(w) for w in t.words]
-    for text, code in seen.T.tolist():
-        by_text.setdefault(text, set()).update(cached[code])
-    for text, found in by_text.items():
-        counts[int(toxic[text])].update(found)
+def word_forms(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Forms of all words one after another, and where each word's begin."""
+    each = [forms(w) for w in words]
+    begin = np.cumsum([0, *map(len, each)])
+    return np.fromiter((f for e in each for f in e), np.int64, begin[-1]), begin
+
+
+def marking_forms(t: Tokens, toxic: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For every entry of ``flat``: is the form found far more often in toxic texts than in
+    clean ones (texts counted, not tokens)?"""
+    _, number = np.unique(flat, return_inverse=True)
+    counts = np.zeros((2, number.max(initial=-1) + 1))
+    ends = np.searchsorted(t.text, np.arange(len(toxic) + 1))
+    for text, label in enumerate(toxic.tolist()):
+        codes = np.unique(t.code[ends[text]:ends[text + 1]])
+        size = begin[codes + 1] - begin[codes]
+        at = np.repeat(begin[codes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        counts[label, np.unique(number[at])] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-    return {f for f, k in counts[1].items()
-            if k >= max(MIN_DOCS, MIN_SHARE * n1) and (k / n1) / ((counts[0][f] + 0.5) / n0) >= MIN_RATIO}
+    marks = (counts[1] >= max(MIN_DOCS, MIN_SHARE * n1)) & (counts[1] / n1 >= MIN_RATIO * (counts[0] + 0.5) / n0)
+    return marks[number]
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model | None:
@@ -198,13 +205,12 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model | None:
         return None
     y_text = np.array([toxic[k] for k in halves[0]])
     t = tokenize(pa.array([texts[k] for k in halves[0]], pa.string()))
-    marks = marking_forms(t, y_text)
-    marked = np.array([any(f in marks for f in forms(w)) for w in t.words], bool)
+    flat, begin = word_forms(t.words)
+    marks = marking_forms(t, y_text, flat, begin)
+    marked = np.logical_or.reduceat(marks, begin[:-1]) if len(marks) else marks
     y = (marked[t.code] & (y_text[t.text] == 1)).astype(float)
+    word_of, bucket_of = np.repeat(np.arange(len(t.words)), np.diff(begin)), flat % BUCKETS
 
-    owner = [(k, b) for k, w in enumerate(t.words) for b in forms(w)]
-    word_of, bucket_of = np.array(owner).T
-    bucket_of = bucket_of % BUCKETS
     inner = np.flatnonzero(~t.first)
     seen_pairs = np.bincount((2 * y[inner - 1] + y[inner]).astype(int), minlength=4).reshape(2, 2)
     begun = y[t.first].sum()
@@ -212,7 +218,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model | None:
 
     theta = [np.zeros(BUCKETS), np.zeros((2, 2)), np.array([0.0, -2.0])]
     theta[0][np.unique(bucket_of)] = -0.5
-    theta[0][[f % BUCKETS for f in marks]] = 2.0          # a start near the end: few steps
+    theta[0][bucket_of[marks]] = 2.0          # a start near the end: few steps
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
     for step in range(1, steps + 1):
         logit = np.bincount(word_of, theta[0][bucket_of], len(t.words))[t.code]
