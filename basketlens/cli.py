@@ -24,6 +24,7 @@ if __package__ in (None, ""):      # run as a script: spark-submit basketlens/cl
 
 from basketlens.plans import catalog
 from basketlens.plans.export import portable
+from basketlens.sources.loaders import drop_materialized_tables
 from basketlens.sources.tables import RetailTables
 
 
@@ -73,6 +74,7 @@ def main(argv=None) -> None:
     timings = run_all(tables_from_args(spark, args), args.out, names, args.format)
     for name, sec in timings.items():
         print(f"{name:32s} {sec:8.3f}s")
+    drop_materialized_tables(spark)
 
 
 if __name__ == "__main__":

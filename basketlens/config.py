@@ -47,9 +47,15 @@ class Labels:
     def logistics(self) -> tuple[str, ...]:
         return (self.fbs, self.standard)
 
+    @property
+    def band_limits(self) -> tuple[tuple[str, int, int | None], ...]:
+        """``(label, first, last)`` of every frequency band; the last one is open."""
+        return ((self.band_1, 1, 1), (self.band_2_3, 2, 3), (self.band_4_5, 4, 5),
+                (self.band_6_8, 6, 8), (self.band_9_plus, 9, None))
+
     @property
     def bands(self) -> tuple[str, ...]:
-        return (self.band_1, self.band_2_3, self.band_4_5, self.band_6_8, self.band_9_plus)
+        return tuple(label for label, _, _ in self.band_limits)
 
     @property
     def segments(self) -> tuple[str, ...]:

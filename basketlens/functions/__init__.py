@@ -4,6 +4,7 @@ from basketlens.functions.columns import (
     customer_segment,
     freq_band,
     money_sum,
+    money_total,
     pct,
     round_half_up,
     safe_div,
@@ -11,5 +12,5 @@ from basketlens.functions.columns import (
     to_double,
 )
 
-__all__ = ["customer_segment", "freq_band", "money_sum", "pct", "round_half_up", "safe_div",
+__all__ = ["customer_segment", "freq_band", "money_sum", "money_total", "pct", "round_half_up", "safe_div",
            "tenure_group", "to_double"]

@@ -6,8 +6,7 @@ Numeric rules used everywhere (so that results do not depend on partitioning):
   DOUBLE for ratios and output;
 * averages of money are ``sum / count`` in DOUBLE;
 * ratios divide by ``NULLIF(den, 0)``: a zero denominator gives NULL, never an error;
-* rounding goes through ``DECIMAL(38,6)`` and rounds half away from zero, so a
-  double that is one ulp off never flips a rounded digit.
+* results are rounded once, half away from zero.
 """
 
 from __future__ import annotations
@@ -23,16 +22,18 @@ def _c(x) -> Column:
 
 
 def money_sum(x, scale: int = 2) -> Column:
-    """Exact sum of a money column with ``scale`` decimals, as DECIMAL(38, scale).
+    """Exact sum of a source money column, as DECIMAL(38, scale).
 
-    The sum runs on the unscaled LONG value (cents): the aggregation buffer stays a
-    primitive long instead of an arbitrary-precision decimal, which is what Spark's
-    own ``DecimalAggregates`` rule does for narrow decimals.  An overflow raises
-    (ANSI mode) rather than wrapping.  The input must be a DECIMAL with at most
-    ``scale`` decimals (the schemas cast money to DECIMAL(18,2) at the source).
+    The input is cast to DECIMAL(18, scale) -- a no-op for the schemas' money columns,
+    exact cents for DOUBLE input -- and summed as DECIMAL, so no total overflows
+    before 38 digits.
     """
-    unscaled = (_c(x) * (10 ** scale)).cast("long")
-    return (F.sum(unscaled).cast("decimal(38,0)") / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")
+    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast(f"decimal(38,{scale})")
+
+
+def money_total(x, scale: int = 2) -> Column:
+    """Exact sum of amounts that are sums themselves, as DECIMAL(38, scale)."""
+    return F.sum(_c(x).cast(f"decimal(38,{scale})"))
 
 
 def to_double(x) -> Column:
@@ -40,8 +41,8 @@ def to_double(x) -> Column:
 
 
 def round_half_up(x, digits: int) -> Column:
-    """Round a numeric column to ``digits`` decimals, half away from zero, as DOUBLE."""
-    return F.round(_c(x).cast("decimal(38,6)"), digits).cast("double")
+    """Round a numeric column to ``digits`` decimals, once, half away from zero, as DOUBLE."""
+    return F.round(_c(x), digits).cast("double")
 
 
 def safe_div(num, den) -> Column:
@@ -66,11 +67,9 @@ def tenure_group(registration_date, as_of, months: int = THRESHOLDS.tenure_month
 def freq_band(frequency, labels: Labels = LABELS) -> Column:
     """Frequency band: 1 / 2-3 / 4-5 / 6-8 / 9+ (anything else, NULL included, is 9+)."""
     f = _c(frequency)
-    return (F.when(f == 1, labels.band_1)
-            .when(f.between(2, 3), labels.band_2_3)
-            .when(f.between(4, 5), labels.band_4_5)
-            .when(f.between(6, 8), labels.band_6_8)
-            .otherwise(labels.band_9_plus))
+    *limited, (open_label, _, _) = labels.band_limits
+    return F.coalesce(*[F.when(f.between(first, last), label) for label, first, last in limited],
+                      F.lit(open_label))
 
 
 def customer_segment(frequency, recency, tenure, t: Thresholds = THRESHOLDS,

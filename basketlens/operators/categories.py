@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS, Labels, Thresholds
-from basketlens.functions import money_sum, pct, round_half_up, to_double
-from basketlens.operators.facts import completed_items, realized_order_dim
+from basketlens.functions import money_total, pct, round_half_up, to_double
+from basketlens.operators.facts import realized_fact, realized_order_dim
 from basketlens.operators.ratios import over_index
 from basketlens.sources.tables import RetailTables
 
@@ -30,25 +30,30 @@ def order_category(t: RetailTables) -> DataFrame:
 
 
 def customer_category(t: RetailTables) -> DataFrame:
-    """``category, customer_id, orders_in_category, revenue``.
+    """``category, customer_id, orders_in_category, revenue``; the orders are distinct ids.
 
-    Assumes ``order_id`` is unique in orders (the duplicate-key check), so rows of
-    the (order, category) grain are distinct orders.
+    The first grouping keeps the (order, category) grain's partitioning on the order.
     """
     def build(tt):
-        return (order_category(tt).groupBy("category", "customer_id")
-                .agg(F.count(F.lit(1)).alias("orders_in_category"),
-                     money_sum("revenue").alias("revenue")))
+        return (order_category(tt).groupBy("order_id", "category", "customer_id")
+                .agg(money_total("revenue").alias("revenue"))
+                .groupBy("category", "customer_id")
+                .agg(F.count("order_id").alias("orders_in_category"),
+                     money_total("revenue").alias("revenue")))
     return t.derived("customer_category", build, bucket_by=("customer_id",))
 
 
 # ---------------------------------------------------------------- mix
 def category_mix(t: RetailTables) -> DataFrame:
     """``category, revenue (r0), pct_revenue (r1), unique_orders, unique_customers``."""
-    agg = (customer_category(t).groupBy("category")
-           .agg(money_sum("revenue").alias("_rev"),
-                F.sum("orders_in_category").alias("unique_orders"),
-                F.count(F.lit(1)).alias("unique_customers")))
+    orders = (order_category(t).groupBy("order_id", "category").agg(money_total("revenue").alias("revenue"))
+              .groupBy("category").agg(money_total("revenue").alias("_rev"),
+                                       F.count("order_id").alias("unique_orders")))
+    buyers = (customer_category(t).groupBy("category")
+              .agg(F.count("customer_id").alias("unique_customers")))       # NULL is no customer
+    # one row a category on both sides
+    agg = orders.join(buyers.withColumnRenamed("category", "_category"),
+                      F.col("category").eqNullSafe(F.col("_category")))
     total = F.sum("_rev").over(Window.partitionBy())
     return (agg.select("category",
                        to_double(F.round("_rev", 0)).alias("revenue"),
@@ -61,8 +66,8 @@ def category_pair_share(t: RetailTables, pair: Sequence[str] = THRESHOLDS.pair_c
     """Combined share of revenue of a set of categories: ``(pct_revenue)``."""
     cc = customer_category(t)
     inside = F.col("category").isin(list(pair))
-    return cc.agg(pct(money_sum(F.when(inside, F.col("revenue")).otherwise(F.lit(0))),
-                      money_sum("revenue"), 1).alias("pct_revenue"))
+    return cc.agg(pct(money_total(F.when(inside, F.col("revenue")).otherwise(F.lit(0))),
+                      money_total("revenue"), 1).alias("pct_revenue"))
 
 
 # ---------------------------------------------------------------- over-index
@@ -70,16 +75,16 @@ def segment_category_revenue(t: RetailTables, seg: DataFrame) -> DataFrame:
     """``customer_segment, category, revenue`` (DECIMAL): one join at customer grain."""
     return (customer_category(t).join(seg.select("customer_id", "customer_segment"), "customer_id")
             .groupBy("customer_segment", "category")
-            .agg(money_sum("revenue").alias("revenue")))
+            .agg(money_total("revenue").alias("revenue")))
 
 
 def segment_totals(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("customer_segment").agg(money_sum("revenue").alias("segment_revenue"))
+    return cells.groupBy("customer_segment").agg(money_total("revenue").alias("segment_revenue"))
 
 
 def overall_category_share(cells: DataFrame) -> DataFrame:
     """``category, category_revenue, overall_share`` over all segmented customers."""
-    agg = cells.groupBy("category").agg(money_sum("revenue").alias("category_revenue"))
+    agg = cells.groupBy("category").agg(money_total("revenue").alias("category_revenue"))
     return agg.withColumn("overall_share", to_double("category_revenue")
                           / F.nullif(to_double(F.sum("category_revenue").over(Window.partitionBy())),
                                      F.lit(0.0)))
@@ -114,10 +119,8 @@ def over_index_wide(t: RetailTables, seg: DataFrame, labels: Labels = LABELS) ->
 def product_customer(t: RetailTables) -> DataFrame:
     """``product_id, customer_id, revenue`` for completed items."""
     def build(tt):
-        return (completed_items(tt).select("order_id", "product_id", "line_total")
-                .join(tt.orders.select("order_id", "customer_id"), "order_id")
-                .groupBy("product_id", "customer_id")
-                .agg(money_sum("line_total").alias("revenue")))
+        return (realized_fact(tt).groupBy("product_id", "customer_id")
+                .agg(money_total("revenue").alias("revenue")))
     return t.derived("product_customer", build)
 
 
@@ -129,7 +132,7 @@ def top_products(t: RetailTables, min_customers: int = THRESHOLDS.min_product_bu
     The result is bounded by ``k`` rows (``TakeOrderedAndProject``).
     """
     per_product = (product_customer(t).groupBy("product_id")
-                   .agg(money_sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("customers"))
+                   .agg(money_total("revenue").alias("revenue"), F.count("customer_id").alias("customers"))
                    .where(F.col("customers") >= min_customers))
     return (per_product.join(t.products.select("product_id", "product_name", "category"), "product_id")
             .select("product_id", "product_name", "category", "revenue", "customers")
@@ -138,11 +141,14 @@ def top_products(t: RetailTables, min_customers: int = THRESHOLDS.min_product_bu
 
 
 def product_segment_revenue(t: RetailTables, seg: DataFrame, top: DataFrame) -> DataFrame:
-    """``product_id, customer_segment, seg_revenue`` for the (k-row, broadcast) top products."""
-    return (product_customer(t).join(F.broadcast(top.select("product_id")), "product_id")
+    """``product_id, customer_segment, seg_revenue`` for the products of ``top``.
+
+    Spark broadcasts ``top`` when its measured size allows it; nothing is assumed of it.
+    """
+    return (product_customer(t).join(top.select("product_id"), "product_id")
             .join(seg.select("customer_id", "customer_segment"), "customer_id")
             .groupBy("product_id", "customer_segment")
-            .agg(money_sum("revenue").alias("seg_revenue")))
+            .agg(money_total("revenue").alias("seg_revenue")))
 
 
 def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
@@ -150,18 +156,17 @@ def product_segment_share(t: RetailTables, seg: DataFrame, min_customers: int,
                           unrounded: bool = False) -> DataFrame:
     """B1 and B2 share of each top product's revenue (missing -> 0).
 
-    The k-row top list is computed once and broadcast with all its columns; the
-    buyers of those products are matched to their segment with a left join (a
+    The k-row top list is computed once and carries all its columns; the buyers of those products are matched to their segment with a left join (a
     buyer outside the segmented base adds nothing), and one conditional
     aggregation per product gives both shares.
     """
     top = top_products(t, min_customers, k)
     keys = ["product_id", "product_name", "category", "revenue", "customers"]
-    buyers = product_customer(t).withColumnRenamed("revenue", "_spent").join(F.broadcast(top), "product_id")
+    buyers = product_customer(t).withColumnRenamed("revenue", "_spent").join(top, "product_id")
     tagged = buyers.join(seg.select("customer_id", "customer_segment"), "customer_id", "left")
     joined = tagged.groupBy(*keys).agg(
-        money_sum(F.when(F.col("customer_segment") == labels.seg_b1, F.col("_spent"))).alias("_b1"),
-        money_sum(F.when(F.col("customer_segment") == labels.seg_b2, F.col("_spent"))).alias("_b2"))
+        money_total(F.when(F.col("customer_segment") == labels.seg_b1, F.col("_spent"))).alias("_b1"),
+        money_total(F.when(F.col("customer_segment") == labels.seg_b2, F.col("_spent"))).alias("_b2"))
     b1 = pct(F.coalesce(F.col("_b1"), F.lit(0)), F.col("revenue"), None)
     b2 = pct(F.coalesce(F.col("_b2"), F.lit(0)), F.col("revenue"), None)
     if unrounded:
@@ -200,9 +205,9 @@ def repeat_rate(t: RetailTables) -> DataFrame:
 
 def category_aov(t: RetailTables) -> DataFrame:
     """Average order value in category: mean of the per-(order, category) sums (r2)."""
-    oc = order_category(t)
+    oc = order_category(t).groupBy("order_id", "category").agg(money_total("revenue").alias("revenue"))
     return oc.groupBy("category").agg(
-        round_half_up(to_double(money_sum("revenue")) / F.count(F.lit(1)), 2).alias("aov"))
+        round_half_up(to_double(money_total("revenue")) / F.count(F.lit(1)), 2).alias("aov"))
 
 
 def buyer_profile(t: RetailTables, seg: DataFrame,
@@ -218,7 +223,7 @@ def buyer_profile(t: RetailTables, seg: DataFrame,
     joined = buyers.join(seg.select("customer_id", "frequency", "monetary"), "customer_id")
     agg = joined.groupBy("category").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum("frequency").alias("_f"), money_sum("monetary").alias("_m"),
+        F.sum("frequency").alias("_f"), money_total("monetary").alias("_m"),
         F.count_if(F.col("frequency") >= th.high_frequency).alias("_hi"))
     return agg.select("category", "customers",
                       round_half_up(to_double("_f") / F.col("customers"), 2).alias("avg_overall_frequency"),

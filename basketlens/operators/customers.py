@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS, Labels, Thresholds
-from basketlens.functions import customer_segment, freq_band, money_sum, pct, round_half_up, tenure_group, to_double
+from basketlens.functions import customer_segment, freq_band, money_total, pct, round_half_up, tenure_group, to_double
 from basketlens.operators.facts import as_of_date, realized_orders
 from basketlens.sources.tables import RetailTables
 
@@ -26,10 +26,10 @@ def rfm_base(t: RetailTables, as_of=None, th: Thresholds = THRESHOLDS) -> DataFr
     as_of = as_of_date(t) if as_of is None else as_of
     per_order = (realized_orders(t)
                  .groupBy("customer_id", "order_id")
-                 .agg(money_sum("revenue").alias("revenue"), F.max("order_date").alias("order_date")))
+                 .agg(money_total("revenue").alias("revenue"), F.max("order_date").alias("order_date")))
     per_customer = (per_order.groupBy("customer_id")
                     .agg(F.count(F.lit(1)).alias("frequency"),
-                         money_sum("revenue").alias("monetary"),
+                         money_total("revenue").alias("monetary"),
                          F.max("order_date").alias("last_order")))
     return (t.customers.select("customer_id", "registration_date")
             .join(per_customer, "customer_id")
@@ -75,7 +75,7 @@ def value_summary(seg: DataFrame, by: str, *, revenue_name: str, avg_name: str,
     ``order='revenue'`` by rounded revenue, descending, then the group key.
     """
     grouped = seg.groupBy(by).agg(F.count(F.lit(1)).alias("customers"),
-                                  money_sum("monetary").alias("_rev"),
+                                  money_total("monetary").alias("_rev"),
                                   F.min("frequency").alias("_minf"))
     everyone = Window.partitionBy()
     out = grouped.select(
@@ -110,9 +110,9 @@ def watchlist(seg: DataFrame, th: Thresholds = THRESHOLDS, with_revenue_share: b
     """
     member = (F.col("frequency") >= th.high_frequency) & (F.col("recency") > th.watchlist_days)
     agg = seg.agg(F.count_if(member).alias("watchlist_customers"),
-                  money_sum(F.when(member, F.col("monetary"))).alias("_rev"),
+                  money_total(F.when(member, F.col("monetary"))).alias("_rev"),
                   F.count(F.lit(1)).alias("_all"),
-                  money_sum("monetary").alias("_all_rev"))
+                  money_total("monetary").alias("_all_rev"))
     cols = [F.col("watchlist_customers"),
             to_double(F.round("_rev", 0)).alias("watchlist_revenue"),
             pct(F.col("watchlist_customers"), F.col("_all"), 2).alias("pct_of_eligible_customers")]
@@ -125,8 +125,8 @@ def headline_split(seg: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
     """Share of customers and of revenue with frequency >= 6: ``(pct_customers, pct_revenue)``."""
     high = F.col("frequency") >= th.high_frequency
     agg = seg.agg(F.count_if(high).alias("_n"), F.count(F.lit(1)).alias("_all"),
-                  money_sum(F.when(high, F.col("monetary")).otherwise(F.lit(0))).alias("_rev"),
-                  money_sum("monetary").alias("_all_rev"))
+                  money_total(F.when(high, F.col("monetary")).otherwise(F.lit(0))).alias("_rev"),
+                  money_total("monetary").alias("_all_rev"))
     return agg.select(pct(F.col("_n"), F.col("_all"), 1).alias("pct_customers"),
                       pct(F.col("_rev"), F.col("_all_rev"), 1).alias("pct_revenue"))
 
@@ -151,7 +151,7 @@ def band_counts(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
 def band_avg_monetary(seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """Mean monetary per band in fixed band order (NULL for an empty band)."""
     avgs = seg.groupBy("freq_band").agg(
-        round_half_up(to_double(money_sum("monetary")) / F.count(F.lit(1)), 2).alias("avg_monetary"))
+        round_half_up(to_double(money_total("monetary")) / F.count(F.lit(1)), 2).alias("avg_monetary"))
     return (band_table(seg, labels).join(F.broadcast(avgs), "freq_band", "left")
             .select("band_order", "freq_band", "avg_monetary")
             .orderBy("band_order"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, THRESHOLDS
@@ -39,25 +41,8 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
             .select(F.col(key).alias(output or key)))
 
 
-def order_status(t: RetailTables) -> DataFrame:
-    """All items per (order, status): ``order_id, item_status, n_items, amount``.
-
-    The grain of the status mix, the reconciliations and the realized order
-    revenue; memoized on ``t`` and, with ``persist_derived``, materialized once.
-    """
-    def build(tt):
-        return (tt.order_items.groupBy("order_id", "item_status")
-                .agg(F.count(F.lit(1)).alias("n_items"), money_sum("line_total").alias("amount")))
-    return t.derived("order_status", build)
-
-
 def status_mix(t: RetailTables) -> DataFrame:
     """``(item_status, n_items, pct_of_items)`` over all items."""
-    if t.persist_derived:
-        counted = (order_status(t).groupBy("item_status")
-                   .agg(F.sum("n_items").alias("n_items")))
-        total = F.sum("n_items").over(Window.partitionBy())
-        return counted.withColumn("pct_of_items", pct(F.col("n_items"), total, 1))
     return share_of_total(t.order_items, "item_status", count_name="n_items",
                           pct_name="pct_of_items")
 
@@ -66,17 +51,14 @@ def _item_sums(items: DataFrame, name: str) -> DataFrame:
     return items.groupBy("order_id").agg(money_sum("line_total").alias(name))
 
 
-def reconcile(orders: DataFrame, items: DataFrame | None = None, *, amount: str = "subtotal_amount",
-              tolerance: str = THRESHOLDS.reconcile_tolerance, how: str = "inner",
-              sums: DataFrame | None = None) -> DataFrame:
+def reconcile(orders: DataFrame, items: DataFrame, *, amount: str = "subtotal_amount",
+              tolerance: str = THRESHOLDS.reconcile_tolerance, how: str = "inner") -> DataFrame:
     """Orders whose ``amount`` differs from the sum of their items by more than ``tolerance``.
 
-    The item sums come from ``items`` (summed per order here) or, already summed,
-    from ``sums`` (``order_id, item_sum``).  ``how='inner'`` skips orders without
-    items; ``how='left'`` treats their sum as 0.  Returns the offending orders:
-    ``order_id, amount, item_sum, diff``.
+    ``how='inner'`` skips orders without items; ``how='left'`` treats their sum as 0.
+    Returns the offending orders: ``order_id, amount, item_sum, diff``.
     """
-    sums = sums if sums is not None else _item_sums(items, "item_sum")
+    sums = _item_sums(items, "item_sum")
     joined = orders.select("order_id", amount).join(sums, "order_id", how)
     item_sum = F.coalesce(F.col("item_sum"), F.lit(0)) if how == "left" else F.col("item_sum")
     diff = F.col(amount) - item_sum
@@ -88,16 +70,8 @@ def mismatch_count(t: RetailTables, *, completed_only: bool,
                    tolerance: str = THRESHOLDS.reconcile_tolerance) -> DataFrame:
     """``(mismatched_orders)``: all items with an inner join, or completed items with a left join."""
     how = "left" if completed_only else "inner"
-    if t.persist_derived:
-        grain = order_status(t)
-        if completed_only:
-            grain = grain.where(F.col("item_status") == LABELS.completed)
-        sums = grain.groupBy("order_id").agg(money_sum("amount").alias("item_sum"))
-        bad = reconcile(t.orders, sums=sums, tolerance=tolerance, how=how)
-    else:
-        items = completed_items(t) if completed_only else t.order_items
-        bad = reconcile(t.orders, items, tolerance=tolerance, how=how)
-    return bad.agg(F.count(F.lit(1)).alias("mismatched_orders"))
+    items = completed_items(t) if completed_only else t.order_items
+    return reconcile(t.orders, items, tolerance=tolerance, how=how).agg(F.count(F.lit(1)).alias("mismatched_orders"))
 
 
 def mismatch_share(t: RetailTables, tolerance: str = THRESHOLDS.reconcile_tolerance) -> DataFrame:
@@ -112,10 +86,7 @@ def mismatch_share(t: RetailTables, tolerance: str = THRESHOLDS.reconcile_tolera
 
 def without_match(t: RetailTables, status: str = LABELS.completed) -> DataFrame:
     """Orders with no item of ``status``: ``(orders_with_no_completed_items, pct_of_all_orders)``."""
-    if t.persist_derived:
-        have = order_status(t).where(F.col("item_status") == status).select("order_id")
-    else:
-        have = completed_items(t, status).select("order_id").distinct()   # combined map-side
+    have = completed_items(t, status).select("order_id").distinct()   # combined map-side
     missing = t.orders.select("order_id").join(have, "order_id", "left_anti")
     total = t.orders.select(F.count(F.lit(1))).scalar()
     return (missing.agg(F.count(F.lit(1)).alias("orders_with_no_completed_items"))
@@ -137,25 +108,77 @@ def implication_violations(df: DataFrame, flag: str, ref: str) -> DataFrame:
     return df.withColumn("violation", case).where(F.col("violation").isNotNull())
 
 
+def orphan_count(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """One row ``(n)``: child rows whose ``key`` has no match in ``parent``.
+
+    Child rows are counted per key, map-side, before the anti join: a hot key is one row.
+    """
+    per_key = child.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    keys = parent.select(F.col(key).alias("_pk"))
+    return (per_key.join(keys, F.col("_k") == F.col("_pk"), "left_anti")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")))
+
+
 def integrity_report(t: RetailTables) -> DataFrame:
     """The zero-row checks of the validation step as one expectation frame:
     ``(check, n_rows, passed)`` -- duplicate keys and orphans, all expected empty."""
+    rows = F.count(F.lit(1)).alias("n")
     checks = [
-        ("duplicate order_id", duplicate_keys(t.orders, "order_id")),
-        ("duplicate order_item_id", duplicate_keys(t.order_items, "order_item_id")),
-        ("item without order", orphans(t.order_items, t.orders, "order_id")),
-        ("item without product", orphans(t.order_items, t.products, "product_id")),
-        ("order without customer", orphans(t.orders, t.customers, "customer_id")),
-        ("product without seller", orphans(t.products, t.sellers, "seller_id")),
+        ("duplicate order_id", duplicate_keys(t.orders, "order_id").agg(rows)),
+        ("duplicate order_item_id", duplicate_keys(t.order_items, "order_item_id").agg(rows)),
+        ("item without order", orphan_count(t.order_items, t.orders, "order_id")),
+        ("item without product", orphan_count(t.order_items, t.products, "product_id")),
+        ("order without customer", orphan_count(t.orders, t.customers, "customer_id")),
+        ("product without seller", orphan_count(t.products, t.sellers, "seller_id")),
     ]
-    out = None
-    for name, df in checks:
-        one = expect_empty(df, name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return reduce(DataFrame.unionByName, [
+        counted.select(F.lit(name).alias("check"), F.col("n").alias("n_rows"), (F.col("n") == 0).alias("passed"))
+        for name, counted in checks])
 
 
 def expect_empty(df: DataFrame, name: str) -> DataFrame:
     """One-row expectation frame: ``(check, n_rows, passed)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(name).alias("check"), "n_rows", (F.col("n_rows") == 0).alias("passed"))
+
+
+def expect_value(df: DataFrame, value: str, expected, name: str, tolerance: float = 0.0) -> DataFrame:
+    """Expectation frame ``(check, value, expected, passed)`` for a one-row frame's column.
+
+    ``expected`` is a number or a column of ``df``; the two may differ by ``tolerance``.
+    """
+    want = (F.col(expected) if isinstance(expected, str) else F.lit(expected)).cast("double")
+    got = F.col(value).cast("double")
+    return df.select(F.lit(name).alias("check"), got.alias("value"), want.alias("expected"),
+                     F.coalesce(F.abs(got - want) <= tolerance, F.lit(False)).alias("passed"))
+
+
+def expect_constant(df: DataFrame, low: str, high: str, label: str, name: str) -> DataFrame:
+    """Expectation frame: ``low`` equals ``high`` on every row (``label`` names the row)."""
+    return df.select(F.concat(F.lit(f"{name}: "), F.col(label).cast("string")).alias("check"),
+                     F.col(high).cast("double").alias("value"), F.col(low).cast("double").alias("expected"),
+                     F.coalesce(F.col(low) == F.col(high), F.lit(False)).alias("passed"))
+
+
+def expectations(t: RetailTables, seg: DataFrame, sized: DataFrame) -> DataFrame:
+    """The analysis' assertions as one frame ``(check, value, expected, passed)``.
+
+    Every customer has one band and one segment, shares add up to 100, the customers'
+    money is the orders' realized revenue, and the catalog size is constant per group.
+    """
+    from basketlens.operators.customers import band_summary, segment_summary
+    from basketlens.operators.facts import realized_orders
+
+    eligible = seg.select(F.count(F.lit(1))).scalar()
+    revenue = realized_orders(t).select(F.sum("revenue")).scalar()
+    bands = band_summary(seg).agg(F.sum("customers").alias("n"), F.round(F.sum("pct_revenue"), 1).alias("share"))
+    segments = segment_summary(seg).agg(F.sum("customers").alias("n"), F.round(F.sum("pct_customers"), 1).alias("share"))
+    money = seg.agg(F.sum("monetary").alias("n"))
+    return reduce(DataFrame.unionByName, [
+        expect_value(bands.withColumn("all", eligible), "n", "all", "customers of all bands"),
+        expect_value(segments.withColumn("all", eligible), "n", "all", "customers of all segments"),
+        expect_value(bands, "share", 100.0, "revenue share of all bands", 0.5),
+        expect_value(segments, "share", 100.0, "customer share of all segments", 0.5),
+        expect_value(money.withColumn("all", revenue), "n", "all", "money of all customers", 0.005),
+        expect_constant(sized, "min_products", "max_products", "fbs_standard", "catalog size"),
+    ])

@@ -5,11 +5,11 @@ exact ``percentile`` aggregate holds every distinct value of a group in one
 buffer.  :func:`value_ranks` gives the same exact answer with bounded tasks:
 
 1. ties are collapsed into a histogram ``(by..., value, n)``;
-2. approximate cut points (``percentile_approx``) split each group's distinct
-   values into ``buckets`` ranges -- their accuracy only affects balance, never
-   the result;
-3. a window per (group, bucket) gives running counts inside a bucket, and a
-   window over the tiny (group, bucket) totals gives each bucket's offset.
+2. every value falls into a range by its power of two and ``RANGES_PER_OCTAVE`` even
+   steps inside it: a rule on the value alone, in order of the values;
+3. a window per (group, range) gives running counts inside a range, and a window over
+   the (group, range) totals -- at most about half a million ranges, whatever the
+   data -- gives each range's offset.
 
 The output row for a value carries ``below`` (rows with a strictly smaller
 value), ``n`` (rows equal to it) and ``total`` (rows in the group).
@@ -18,64 +18,48 @@ value), ``n`` (rows equal to it) and ``total`` (rows in the group).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions import to_double
-from basketlens.sources.loaders import materialize
 
-RANK_BUCKETS = 64                 # ranges when the histogram size is not measured
-VALUES_PER_BUCKET = 2_000_000     # distinct values one window task sorts, at most about this
-MAX_BUCKETS = 4096
-CUT_ACCURACY = 10_000
+RANGES_PER_OCTAVE = 256
+SMALLEST_OCTAVE = -1075           # below the exponent of any double
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), *,
-                buckets: int | None = None, persist: bool = True) -> DataFrame:
+def value_range(value: Column) -> Column:
+    """The number of a value's range; never falls as the value rises.
+
+    The step inside an octave is not clipped, so a logarithm that is rounded across a
+    power of two still gives neighbouring numbers.
+    """
+    x = to_double(value)
+    octave = F.floor(F.log2(F.abs(x)))
+    step = F.floor((F.abs(x) / F.pow(F.lit(2.0), octave) - 1) * RANGES_PER_OCTAVE)
+    number = (octave - SMALLEST_OCTAVE) * RANGES_PER_OCTAVE + step
+    return F.when(x > 0, number).when(x < 0, -number).otherwise(F.lit(0)).cast("bigint")
+
+
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by..., value, n, below, total`` for every distinct ``value`` (NULLs excluded).
 
-    ``by`` is meant for a handful of groups (measures, seller types); the per-group
-    cut points and range offsets (groups x ranges rows) are joined back without a
-    broadcast hint, so Spark broadcasts them only when their measured size allows
-    it.  With ``persist`` the histogram is written
-    once to the shared checkpoint folder (the input is computed once, the lineage
-    is cut) and, unless ``buckets`` is given, its size picks the number of value
-    ranges: about ``VALUES_PER_BUCKET`` distinct values per range, so a small
-    histogram needs no cut points at all.  When there are several ranges, the
-    histogram with its range number is written again, so both reads below see the
-    same range for every value even if a lost task recomputes the approximate cut
-    points differently.  (``persist`` makes the call run its jobs eagerly.)
+    ``by`` is meant for a handful of groups (measures, seller types); NULL is a group
+    of its own.  The plan is lazy and the same for every size of input.
     """
     by = list(by)
     hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    if persist:
-        hist = materialize(hist, "value_ranks_hist")
-    if buckets is None:
-        buckets = (min(MAX_BUCKETS, -(-hist.count() // VALUES_PER_BUCKET)) if persist
-                   else RANK_BUCKETS)
-    if buckets <= 1:
-        hb = hist.withColumn("_b", F.lit(0))
-    else:
-        fractions = [i / buckets for i in range(1, buckets)]
-        cut_agg = F.percentile_approx(value, fractions, CUT_ACCURACY).alias("_cuts")
-        if by:
-            cuts = hist.groupBy(*by).agg(cut_agg)
-            hb = hist.join(cuts, by)
-        else:
-            hb = hist.withColumn("_cuts", hist.select(cut_agg).scalar())
-        below_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-        hb = hb.withColumn("_b", F.coalesce(below_cuts, F.lit(0))).drop("_cuts")
-        if persist:
-            hb = materialize(hb, "value_ranks_buckets")
-    totals = hb.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
+            .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("_b", value_range(F.col(value))))
+    totals = hist.groupBy(*by, "_b").agg(F.sum("n").alias("_bn"))
     totals = (totals.withColumn("_off", F.sum("_bn").over(Window.partitionBy(*by).orderBy("_b"))
                                 - F.col("_bn"))
               .withColumn("total", F.sum("_bn").over(Window.partitionBy(*by)))
-              .drop("_bn"))
-    running = hb.withColumn("_run", F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value)))
-    return (running.join(totals, by + ["_b"])
+              .select(*[F.col(c).alias(f"_t_{c}") for c in [*by, "_b"]], "_off", "total"))
+    running = hist.withColumn("_run", F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(value)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in [*by, "_b"]])
+    return (running.join(totals, same)
             .select(*by, value, "n", (F.col("_off") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 

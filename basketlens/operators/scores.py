@@ -36,15 +36,21 @@ def _better_when_higher():
     return ~F.col("measure").isin(list(LOWER_IS_BETTER))
 
 
-def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
+def measure_ranks(seg: DataFrame) -> DataFrame:
+    """Exact ranks of the three measures (see :func:`value_ranks`), grouped by ``measure``."""
+    return value_ranks(_long(seg), "value", ["measure"])
+
+
+def rfm_score(seg: DataFrame, k: int = 5, ranks: DataFrame | None = None) -> DataFrame:
     """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``.
 
     The exact ranks give, per measure, the ``k - 1`` values where the score steps
     up (:func:`quantile_edges`); the three short edge lists travel as one scalar
     subquery, and every customer is scored by comparing its values with them.
-    No customer-grain join or shuffle is needed for the scoring itself.
+    No customer-grain join or shuffle is needed for the scoring itself.  ``ranks`` are
+    stored :func:`measure_ranks`, if there are any.
     """
-    edges = quantile_edges(value_ranks(_long(seg), "value", ["measure"]), "value", ["measure"], k,
+    edges = quantile_edges(ranks if ranks is not None else measure_ranks(seg), "value", ["measure"], k,
                            _better_when_higher())
     edge_cols = [f"edge_{j}" for j in range(1, k)]
     packed = edges.agg(*[F.max(F.when(F.col("measure") == m, F.array(*edge_cols))).alias(m)
@@ -59,7 +65,7 @@ def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 
 
-def tie_split_report(seg: DataFrame, k: int = 5) -> DataFrame:
+def tie_split_report(seg: DataFrame, k: int = 5, ranks: DataFrame | None = None) -> DataFrame:
     """One row per measure: ``measure, distinct_values, split_values, customers_in_split_values``."""
-    report = tie_split(value_ranks(_long(seg), "value", ["measure"]), ["measure"], k, _better_when_higher())
+    report = tie_split(ranks if ranks is not None else measure_ranks(seg), ["measure"], k, _better_when_higher())
     return report.withColumnRenamed("rows_in_split_values", "customers_in_split_values")

@@ -8,11 +8,13 @@ Cross-seller comparisons use revenue per product, never raw revenue.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import LABELS, Labels
-from basketlens.functions import money_sum, round_half_up, safe_div, to_double
+from basketlens.functions import money_total, round_half_up, safe_div, to_double
 from basketlens.operators.facts import realized_order_dim
 from basketlens.operators.ratios import share_within
 from basketlens.sources.tables import RetailTables
@@ -77,9 +79,9 @@ def seller_metrics(t: RetailTables) -> DataFrame:
     """
     def build(tt):
         per_customer = (order_seller(tt).groupBy("seller_id", "customer_id")
-                        .agg(money_sum("revenue").alias("revenue")))
+                        .agg(money_total("revenue").alias("revenue")))
         per_seller = per_customer.groupBy("seller_id").agg(
-            money_sum("revenue").alias("revenue"),
+            money_total("revenue").alias("revenue"),
             F.count(F.when(F.col("customer_id").isNotNull(), F.lit(1))).alias("customers"))
         return (tt.sellers.select("seller_id", "seller_type", "fbs_standard")
                 .join(catalog_size(tt), "seller_id")
@@ -113,18 +115,11 @@ def logistics_means(metrics: DataFrame) -> DataFrame:
 def status_mix_by(t: RetailTables, attribute: str) -> DataFrame:
     """Item status mix within a seller attribute, all statuses: ``attribute, item_status, pct``.
 
-    Items are counted per (seller, status) before the seller attributes are attached:
-    from the materialized (order, seller, status) grain when the tables persist
-    their derived grains, else directly from the items.
+    Items are counted per (product, status), map-side, before the product and seller
+    attributes are attached: a hot product is a row for each status.
     """
-    if t.persist_derived:
-        per_seller = (order_seller_status(t).groupBy("seller_id", "item_status")
-                      .agg(F.sum("n_items").alias("n")))
-    else:
-        per_seller = (t.order_items.select("product_id", "item_status")
-                      .join(t.products.select("product_id", "seller_id"), "product_id")
-                      .groupBy("seller_id", "item_status").agg(F.count(F.lit(1)).alias("n")))
-    tagged = per_seller.join(t.sellers.select("seller_id", attribute), "seller_id")
+    per_product = t.order_items.groupBy("product_id", "item_status").agg(F.count(F.lit(1)).alias("n"))
+    tagged = per_product.join(t.products.select("product_id", "seller_id"), "product_id").join(t.sellers.select("seller_id", attribute), "seller_id")
     return (share_within(tagged, attribute, "item_status", value="n")
             .orderBy(attribute, "item_status"))
 
@@ -168,8 +163,8 @@ def seller_ratios(metrics: DataFrame, labels: Labels = LABELS) -> DataFrame:
 def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard")) -> DataFrame:
     """Exact medians next to the means, per seller attribute (r0).
 
-    ``dimension, group_value, median_revenue, median_revenue_per_product,
-    median_revenue_per_customer``.  Attributes and measures are stacked into one
+    ``dimension, group_value``, then ``median_<m>`` and ``mean_<m>`` for each measure
+    ``revenue``, ``revenue_per_product``, ``revenue_per_customer``.  Attributes and measures are stacked into one
     long frame and ranked in a single :func:`value_ranks` pass, so no group's
     values are gathered into one task.
     """
@@ -184,8 +179,11 @@ def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard"
     long = stacked.unpivot(["dimension", "group_value"], list(measures), "measure", "value")
     keys = ["dimension", "group_value", "measure"]
     meds = median_from_ranks(value_ranks(long, "value", keys), "value", keys, "median")
-    wide = (meds.groupBy("dimension", "group_value")
+    means = long.groupBy(*keys).agg((F.sum("value") / F.count("value")).alias("mean"))
+    both = meds.join(means.select(*[F.col(k).alias(f"_{k}") for k in keys], "mean"),
+                     reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    wide = (both.groupBy("dimension", "group_value")
             .pivot("measure", list(measures))
-            .agg(F.first(round_half_up("median", 0))))
+            .agg(F.first(round_half_up("median", 0)).alias("median"), F.first(round_half_up("mean", 0)).alias("mean")))
     return wide.select("dimension", "group_value",
-                       *[F.col(m).alias(f"median_{m}") for m in measures])
+                       *[F.col(f"{m}_{s}").alias(f"{s}_{m}") for s in ("median", "mean") for m in measures])

@@ -9,10 +9,14 @@ fixture-specific input (a reduced parent for the orphan checks) are in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from basketlens.config import THRESHOLDS
 from basketlens.operators import categories as ca
 from basketlens.operators import customers as cu
 from basketlens.operators import extracts as ex
@@ -21,7 +25,7 @@ from basketlens.operators import scores as sc
 from basketlens.operators import sellers as se
 from basketlens.plans.export import portable
 from basketlens.sources import fixture
-from basketlens.sources.loaders import row_counts
+from basketlens.sources.loaders import row_counts, run_dir
 from basketlens.sources.tables import RetailTables
 
 TableQuery = Callable[[RetailTables], DataFrame]
@@ -35,6 +39,10 @@ def _seg(t: RetailTables) -> DataFrame:
     return cu.customer_segments(t)
 
 
+def _ranks(t: RetailTables) -> DataFrame:
+    return t.derived("rfm_value_ranks", lambda tt: sc.measure_ranks(_seg(tt)))
+
+
 TABLE_QUERIES: dict[str, TableQuery] = {
     # ---- data validation ----
     # V1
@@ -64,6 +72,8 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "row_counts": lambda t: row_counts(t.as_dict()),
     # V1-V5 as one report
     "integrity_report": qa.integrity_report,
+    # the analysis' assertions as one report
+    "expectations": lambda t: qa.expectations(t, _seg(t), se.confound_check(t, "fbs_standard")),
     # ---- customers ----
     # C1, C1a
     "rfm_base": cu.customer_rfm_base,
@@ -157,9 +167,9 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "seller_medians": lambda t: se.seller_medians(se.seller_metrics(t)),
     # ---- described in prose: score and its tie diagnostic ----
     # X1
-    "rfm_score": lambda t: sc.rfm_score(_seg(t)),
+    "rfm_score": lambda t: sc.rfm_score(_seg(t), ranks=_ranks(t)),
     # X1 diagnostic
-    "rfm_score_tie_split": lambda t: sc.tie_split_report(_seg(t)),
+    "rfm_score_tie_split": lambda t: sc.tie_split_report(_seg(t), ranks=_ranks(t)),
     # ---- chart extracts ----
     # D1
     "chart_bars": lambda t: ex.bars(cu.band_summary(_seg(t)), ca.category_mix(t)),
@@ -180,8 +190,80 @@ def _reduced_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.orphans(t.order_items, fixture.reduced_products(spark, sf_dir), "product_id")
 
 
+def _table_sums(t: RetailTables) -> DataFrame:
+    """``table_name, n_rows, total``: row counts with the sum of a money or key column."""
+    total = {"orders": F.sum("subtotal_amount"), "order_items": F.sum("line_total"),
+             "customers": F.sum("customer_id"), "products": F.sum("seller_id"), "sellers": F.sum("seller_id")}
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n_rows"), total[name].cast("decimal(38,2)").alias("total"))
+        .select(F.lit(name).alias("table_name"), "n_rows", "total") for name, df in t.as_dict().items()])
+
+
+def _csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables written as CSV to the shared folder and read back through the CSV reader."""
+    folder = f"{run_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    for name, df in RetailTables.from_test_tables(spark, sf_dir).as_dict().items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return _table_sums(RetailTables.from_csv(spark, folder))
+
+
+def _catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables registered as views and read back by name."""
+    prefix = f"retail_{uuid.uuid4().hex[:12]}_"
+    t = RetailTables.from_test_tables(spark, sf_dir)
+    t.register_views(prefix)
+    return _table_sums(RetailTables.from_catalog(spark, names={n: prefix + n for n in t.as_dict()}))
+
+
+def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables imported into the shared folder."""
+    return _table_sums(RetailTables.from_test_tables(spark, sf_dir).stored())
+
+
+def _emitted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``band_summary`` written as a result table and read back."""
+    from basketlens.cli import run_all
+
+    out = f"{run_dir(spark)}/results-{uuid.uuid4().hex[:12]}"
+    run_all(RetailTables.from_test_tables(spark, sf_dir), out, ["band_summary"])
+    return spark.read.parquet(f"{out}/band_summary")
+
+
+def _flag_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose campaign flag and campaign id contradict each other, per kind."""
+    found = qa.implication_violations(fixture.campaign_orders(spark, sf_dir), "campaign_flag", "campaign_id")
+    return found.groupBy("violation").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+#: Queries that also run over the fixture with NULL customers, repeated orders and few products.
+UNTIDY = {
+    "category_mix": ca.category_mix,
+    "top_products": lambda t: ca.top_products(t),
+    "product_segment_share": lambda t: ca.product_segment_share(t, _seg(t), THRESHOLDS.min_product_buyers),
+    "repeat_rate": ca.repeat_rate,
+    "purchase_gaps": ca.purchase_gaps,
+    "gap_mid": lambda t: ca.percent_rank_mid(ca.gap_histogram(t), "category", "days_since_prev"),
+    "category_aov": ca.category_aov,
+}
+
+
+def _untidy(query: TableQuery) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(RetailTables.from_dict(fixture.untidy(fixture.load(spark, sf_dir))))
+
+
 FIXTURE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orphan_items_product_reduced": _reduced_orphans,
+    # S1
+    "csv_tables": _csv_tables,
+    # S2
+    "catalog_tables": _catalog_tables,
+    # S4
+    "stored_tables": _stored_tables,
+    # S5
+    "emitted_tables": _emitted_tables,
+    # X6
+    "flag_violations": _flag_violations,
+    **{f"untidy_{name}": _untidy(query) for name, query in UNTIDY.items()},
 }
 
 

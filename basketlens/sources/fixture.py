@@ -21,6 +21,12 @@ SUBTOTAL_OFF_EVERY = 10           # o_orderkey % 10 = 0: subtotal is o_totalpric
 P_TYPE_CATEGORY = (("STANDARD", "Electronics"), ("LARGE", "Fashion"),
                    ("PROMO", "Groceries"), ("SMALL", "Beauty"))
 OTHER_CATEGORY = "Home"
+CAMPAIGN_EVERY = 3                # orders with a campaign flag
+CAMPAIGN_ID_LOST_EVERY = 7        # of those, orders without a campaign id
+CAMPAIGN_ID_STRAY_EVERY = 11      # orders with a campaign id, flag or not
+NULL_CUSTOMER_EVERY = 9           # untidy tables: orders without a customer
+REPEATED_ORDER_EVERY = 8          # untidy tables: order rows that occur twice
+DENSE_PRODUCTS = 24               # untidy tables: items go to so many products
 REDUCED_PART_MAX_SIZE = 25        # parent with p_size <= 25 leaves orphan items
 
 
@@ -105,6 +111,24 @@ def sellers(supplier: DataFrame) -> DataFrame:
     )
 
 
+def campaign_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_id, campaign_flag, campaign_id``; the flag and the id contradict at times."""
+    key = F.col("o_orderkey")
+    return _read(spark, sf_dir, "orders").select(
+        key.alias("order_id"), (key % CAMPAIGN_EVERY == 0).alias("campaign_flag"),
+        F.when((key % CAMPAIGN_EVERY == 0) & (key % CAMPAIGN_ID_LOST_EVERY != 0) | (key % CAMPAIGN_ID_STRAY_EVERY == 0),
+               F.col("o_custkey")).alias("campaign_id"))
+
+
+def untidy(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with NULL customers, repeated order rows and a dense product table."""
+    orders_ = tables["orders"].withColumn(
+        "customer_id", F.when(F.col("order_id") % NULL_CUSTOMER_EVERY != 0, F.col("customer_id")))
+    again = orders_.where(F.col("order_id") % REPEATED_ORDER_EVERY == 0)
+    items = tables["order_items"].withColumn("product_id", F.col("product_id") % DENSE_PRODUCTS + 1)
+    return tables | {"orders": orders_.unionByName(again), "order_items": items}
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five retail tables derived from the driver's Parquet files."""
     lineitem = _read(spark, sf_dir, "lineitem")

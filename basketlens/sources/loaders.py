@@ -9,19 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.sources.schemas import TABLE_SCHEMAS
+from basketlens.sources.schemas import MONEY, OPTIONAL_COLUMNS, TABLE_SCHEMAS
+
+
+def schema_of(name: str, key_type: T.DataType | None = None) -> T.StructType:
+    """A table's schema, with ``key_type`` for its id columns if given."""
+    return T.StructType([T.StructField(f.name, key_type, f.nullable)
+                         if key_type is not None and f.name.endswith("_id") else f
+                         for f in TABLE_SCHEMAS[name].fields])
+
+
+def _typed(df: DataFrame, name: str, key_type: T.DataType | None = None) -> DataFrame:
+    """``df`` cast to the table's schema; a missing column raises, naming table and column."""
+    schema = schema_of(name, key_type)
+    missing = [f.name for f in schema.fields if f.name not in df.columns and f.name not in OPTIONAL_COLUMNS]
+    if missing:
+        raise ValueError(f"table {name} lacks {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name)
+                      for f in schema.fields if f.name in df.columns])
+
+
+def as_money(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the money columns of table ``name`` as DECIMAL(18,2)."""
+    return df.withColumns({f.name: F.col(f.name).cast(MONEY) for f in TABLE_SCHEMAS[name].fields
+                           if f.dataType == MONEY and f.name in df.columns and df.schema[f.name].dataType != MONEY})
 
 
 def read_csv_tables(spark: SparkSession, directory: str,
-                    files: dict[str, str] | None = None) -> dict[str, DataFrame]:
+                    files: dict[str, str] | None = None,
+                    key_type: T.DataType | None = None) -> dict[str, DataFrame]:
     """Read the five CSV exports with a header row and a fixed schema.
 
+    Keys are opaque: they are read as ``key_type`` (the schemas' BIGINT by default,
+    ``StringType()`` for exports with other ids).
+
     ``files`` maps table name to file name; by default ``<table>.csv``.  Dates are
     parsed by the schema (``yyyy-MM-dd`` with an optional time part is accepted).
     """
     files = files or {name: f"{name}.csv" for name in TABLE_SCHEMAS}
     out = {}
-    for name, schema in TABLE_SCHEMAS.items():
+    for name in TABLE_SCHEMAS:
+        schema = schema_of(name, key_type)
         # dates are read as text and cast, so a time part ("2024-01-31 18:02:11") is
         # dropped the same way DATEDIFF ignores it; a malformed value raises (ANSI)
         as_text = T.StructType([T.StructField(f.name, T.StringType(), f.nullable)
@@ -35,26 +63,24 @@ def read_csv_tables(spark: SparkSession, directory: str,
 
 
 def read_catalog_tables(spark: SparkSession, database: str | None = None,
-                        names: dict[str, str] | None = None) -> dict[str, DataFrame]:
+                        names: dict[str, str] | None = None,
+                        key_type: T.DataType | None = None) -> dict[str, DataFrame]:
     """Read the five tables by name from the session catalog (Hive metastore, Unity,
     Glue... whatever the cluster is configured with), cast to the fixed schema."""
     names = names or {name: name for name in TABLE_SCHEMAS}
     out = {}
-    for name, schema in TABLE_SCHEMAS.items():
+    for name in TABLE_SCHEMAS:
         ident = f"{database}.{names[name]}" if database else names[name]
-        df = spark.table(ident)
-        out[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name)
-                               for f in schema.fields if f.name in df.columns])
+        out[name] = _typed(spark.table(ident), name, key_type)
     return out
 
 
-def read_parquet_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def read_parquet_tables(spark: SparkSession, directory: str,
+                        key_type: T.DataType | None = None) -> dict[str, DataFrame]:
     """Read the five tables stored as Parquet (``<dir>/<table>.parquet``)."""
     out = {}
-    for name, schema in TABLE_SCHEMAS.items():
-        df = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
-        out[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name)
-                               for f in schema.fields if f.name in df.columns])
+    for name in TABLE_SCHEMAS:
+        out[name] = _typed(spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet"), name, key_type)
     return out
 
 
@@ -96,14 +122,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: One tag for all tables this process writes, so that a run removes its own only.
+RUN = uuid.uuid4().hex[:12]
+
+
 def materialize(df: DataFrame, name: str, *, path: str | None = None,
                 bucket_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This is the ``DROP TABLE; CREATE TABLE AS`` of the analysis: it cuts the lineage
     (a lost executor re-reads files instead of recomputing the joins) and lets later
-    queries reuse the result.  Each call writes a fresh directory, so concurrent or
-    repeated runs never overwrite each other's input.
+    queries reuse the result.  Each call writes a fresh directory in the run's folder,
+    so concurrent or repeated runs never overwrite each other's input;
+    :func:`drop_materialized_tables` removes them.
 
     With ``bucket_by`` the table is bucketed (hash-partitioned into ``buckets`` files
     per key range, default ``spark.sql.shuffle.partitions``) and registered as an
@@ -112,12 +143,12 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None,
     """
     spark = df.sparkSession
     tag = uuid.uuid4().hex[:12]
-    target = path or f"{shared_dir(spark)}/basketlens/{name}-{tag}"
+    target = path or f"{run_dir(spark)}/{name}-{tag}"
     if not bucket_by:
         df.write.mode("overwrite").parquet(target)
         return spark.read.schema(df.schema).parquet(target)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"basketlens_{name}_{tag}"
+    table = f"basketlens_{RUN}_{name}_{tag}"
     # one shuffle on the bucket key first: each task then writes exactly one bucket
     # file, instead of every task writing a file for every bucket
     (df.repartition(n, *bucket_by)
@@ -126,17 +157,22 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None,
     return spark.table(table)
 
 
-def drop_materialized_tables(spark: SparkSession, database: str | None = None,
-                             prefix: str = "basketlens_") -> list[str]:
-    """Drop the catalog entries of bucketed materializations (names starting with ``prefix``).
+def run_dir(spark: SparkSession) -> str:
+    """This run's own folder in the shared folder."""
+    return f"{shared_dir(spark)}/basketlens/{RUN}"
+
+
+def drop_materialized_tables(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Remove what this run materialized: its catalog entries and its folder.
 
-    They are external tables: the files stay in the shared folder until the
-    folder's own retention removes them.  Returns the dropped names.
+    Tables and files of other runs stay.  Returns the dropped names.
     """
     dropped = []
     for tbl in spark.catalog.listTables(database):
-        if tbl.name.startswith(prefix) and not tbl.isTemporary:
+        if tbl.name.startswith(f"basketlens_{RUN}_") and not tbl.isTemporary:
             ident = f"{database}.{tbl.name}" if database else tbl.name
             spark.sql(f"DROP TABLE IF EXISTS {ident}")
             dropped.append(tbl.name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return dropped

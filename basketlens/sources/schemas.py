@@ -38,6 +38,9 @@ SELLERS = T.StructType([
     T.StructField("fbs_standard", T.StringType(), True),
 ])
 
+#: Columns that no operator reads; an export may lack them.
+OPTIONAL_COLUMNS = frozenset({"total_amount"})
+
 TABLE_SCHEMAS = {
     "customers": CUSTOMERS,
     "orders": ORDERS,

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.sources import fixture
-from basketlens.sources.loaders import (materialize, read_catalog_tables, read_csv_tables,
+from basketlens.sources.loaders import (as_money, materialize, read_catalog_tables, read_csv_tables,
                                        read_parquet_tables)
+from basketlens.sources.schemas import TABLE_SCHEMAS
 
 
 @dataclass
@@ -24,8 +25,9 @@ class RetailTables:
     # ---- constructors -------------------------------------------------
     @classmethod
     def from_dict(cls, tables: dict[str, DataFrame]) -> "RetailTables":
-        return cls(tables["customers"], tables["orders"], tables["order_items"],
-                   tables["products"], tables["sellers"])
+        """From five frames; money columns become DECIMAL(18,2) (exact cents)."""
+        t = {name: as_money(tables[name], name) for name in TABLE_SCHEMAS}
+        return cls(t["customers"], t["orders"], t["order_items"], t["products"], t["sellers"])
 
     @classmethod
     def from_csv(cls, spark: SparkSession, directory: str, files=None) -> "RetailTables":
@@ -69,26 +71,32 @@ class RetailTables:
 
         The import step of the analysis: later scans read plain columnar files, so
         the status filter and column pruning reach the scan, and a source that is
-        itself a view (such as the test-table mapping) is evaluated once.
+        itself a view (such as the test-table mapping) is evaluated once.  Orders and
+        items are bucketed on ``order_id``: joins between them need no shuffle.
         """
-        out = RetailTables.from_dict({name: materialize(df, f"source_{name}")
+        buckets = {"orders": ("order_id",), "order_items": ("order_id",)}
+        out = RetailTables.from_dict({name: materialize(df, f"source_{name}", bucket_by=buckets.get(name, ()))
                                       for name, df in self.as_dict().items()})
         out.persist_derived = self.persist_derived
         return out
 
     def derived(self, name: str, build, *, persist: bool = False,
-                bucket_by: tuple[str, ...] = ()) -> DataFrame:
-        """Memoize a derived table on this object.
+                bucket_by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+        """Memoize a derived table on this object, under its name and whether it is stored.
+
+        ``name`` must tell different arguments of ``build`` apart.
 
         With ``persist=True`` (or ``persist_derived`` set on the object) the table
         is written to the shared folder once (see :func:`materialize`) and later
         uses read the files -- the ``CREATE TABLE AS`` step of the analysis.
         ``bucket_by`` names the key the table is bucketed on when written, so that
-        later joins on that key between tables bucketed alike need no shuffle.
+        later joins on that key between tables bucketed alike need no shuffle;
+        ``buckets`` is their number (``spark.sql.shuffle.partitions`` if unset).
         """
-        if name not in self._derived:
+        store = persist or self.persist_derived
+        if (name, store) not in self._derived:
             df = build(self)
-            if persist or self.persist_derived:
-                df = materialize(df, name, bucket_by=bucket_by)
-            self._derived[name] = df
-        return self._derived[name]
+            if store:
+                df = materialize(df, name, bucket_by=bucket_by, buckets=buckets)
+            self._derived[name, store] = df
+        return self._derived[name, store]

@@ -31,14 +31,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketlens.operators import categories as ca  # noqa: E402
 from basketlens.operators import customers as cu  # noqa: E402
-from basketlens.operators import quality as qa  # noqa: E402
+from basketlens.operators import facts as fa  # noqa: E402
 from basketlens.operators import sellers as se  # noqa: E402
 from basketlens.plans import catalog  # noqa: E402
 from basketlens.session import local_session  # noqa: E402
 from basketlens.sources.tables import RetailTables  # noqa: E402
 
 SHARED = (
-    ("order_status", qa.order_status),
+    ("realized_fact", fa.realized_fact),
     ("customer_rfm_base", cu.customer_rfm_base),
     ("customer_segments", cu.customer_segments),
     ("order_category", ca.order_category),

@@ -85,4 +85,4 @@ def test_category_revenue_sf001(spark):
     got = {r.category: r.revenue for r in ca.category_mix(t).collect()}
     assert got == {"Home": 175217314.0, "Fashion": 89837914.0, "Electronics": 89126075.0,
                    "Groceries": 87069219.0, "Beauty": 82287471.0}
-    assert facts.realized_items(t).count() == ca.order_category(t).agg(F.sum("n_items")).first()[0]
+    assert facts.completed_items(t).count() == ca.order_category(t).agg(F.sum("n_items")).first()[0]

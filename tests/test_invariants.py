@@ -12,7 +12,7 @@ from basketlens.plans import catalog
 def test_revenue_totals_agree(spark, small_tables):
     t = small_tables
     seg = cu.customer_segments(t)
-    total = facts.realized_items(t).agg(F.sum("line_total")).collect()[0][0]
+    total = facts.completed_items(t).agg(F.sum("line_total")).collect()[0][0]
     by_customer = seg.agg(F.sum("monetary")).collect()[0][0]
     by_category = ca.customer_category(t).agg(F.sum("revenue")).collect()[0][0]
     by_cell = ca.segment_category_revenue(t, seg).agg(F.sum("revenue")).collect()[0][0]

@@ -42,20 +42,21 @@ def test_percent_rank_mid_and_median_match_brute_force(spark):
     assert med == {g: float(np.median(v)) for g, v in groups.items()}
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_value_ranks_exact(spark, buckets):
+def test_value_ranks_exact(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 2000).astype(str),
-                        "v": rng.integers(0, 300, 2000) * 0.5})
+                        "v": rng.integers(-150, 150, 2000) * 0.5 * 10.0 ** rng.integers(-3, 9, 2000)})
     pdf.loc[:600, "v"] = 42.0                       # one value holds a third of the rows
     df = spark.createDataFrame(pdf)
-    got = ranks.value_ranks(df, "v", ["g"], buckets=buckets).toPandas()
+    ranked = ranks.value_ranks(df, "v", ["g"])
+    assert ranked.select(ranks.value_range(F.col("v"))).distinct().count() > 100     # many ranges
+    got = ranked.toPandas()
     for _, row in got.sample(200, random_state=1).iterrows():
         grp = pdf[pdf.g == row.g].v
         assert row.below == (grp < row.v).sum()
         assert row.n == (grp == row.v).sum()
         assert row.total == len(grp)
-    glob = ranks.value_ranks(df, "v", buckets=buckets).toPandas()
+    glob = ranks.value_ranks(df, "v").toPandas()
     assert glob.n.sum() == len(pdf)
     assert set(glob.below) == {(pdf.v < v).sum() for v in glob.v}
 
@@ -64,7 +65,7 @@ def test_median_from_ranks(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 4, 999).astype(str), "v": rng.normal(size=999)})
     df = spark.createDataFrame(pdf)
-    got = {r.g: r.med for r in ranks.median_from_ranks(ranks.value_ranks(df, "v", ["g"], buckets=8),
+    got = {r.g: r.med for r in ranks.median_from_ranks(ranks.value_ranks(df, "v", ["g"]),
                                                        "v", ["g"], "med").collect()}
     for g, grp in pdf.groupby("g"):
         assert got[g] == pytest.approx(float(np.median(grp.v)), abs=1e-12)
@@ -108,9 +109,23 @@ def test_edges_score_equals_rank_score(spark, higher_is_better):
     pdf = pd.DataFrame({"id": range(997), "v": rng.integers(0, 40, 997).astype(float)})
     pdf.loc[:300, "v"] = 7.0                         # a third of the rows share one value
     df = spark.createDataFrame(pdf)
-    rk = ranks.value_ranks(df, "v", buckets=4)
+    rk = ranks.value_ranks(df, "v")
     by_rank = {r.v: r.score for r in ranks.quantile_score(rk, 5, higher_is_better).collect()}
     edges = ranks.quantile_edges(rk, "v", (), 5, higher_is_better)
     arr = edges.select(F.array(*[f"edge_{j}" for j in range(1, 5)])).scalar()
     got = df.select("v", ranks.score_by_edges(F.col("v"), arr, 5, higher_is_better).alias("s")).collect()
     assert all(r.s == by_rank[r.v] for r in got)
+
+
+def test_value_range_rises_with_the_value(spark):
+    near = [2.0 ** e * f for e in range(-40, 41) for f in (1 - 1e-15, 1.0, 1 + 1e-15, 1.3, 1.999999)]
+    values = sorted(set(near + [-x for x in near] + [0.0]))
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    got = [r.b for r in df.select(ranks.value_range(F.col("v")).alias("b")).collect()]
+    assert got == sorted(got)
+
+
+def test_value_ranks_is_lazy(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    ranks.value_ranks(spark.range(100).withColumn("v", F.col("id") * 1.5), "v")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)

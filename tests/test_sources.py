@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from basketlens.sources.loaders import materialize, row_counts
 from basketlens.sources.tables import RetailTables
 
@@ -75,12 +77,69 @@ def test_cli_writes_every_result(spark):
             sorted(map(tuple, catalog.run(n, spark, "/root/testdata/sf0.001").collect()), key=repr)
 
 
-def test_drop_materialized_tables(spark, small_tables):
-    from basketlens.sources.loaders import drop_materialized_tables
-    materialize(small_tables.customers, "droptest", bucket_by=("customer_id",), buckets=2)
-    dropped = drop_materialized_tables(spark, prefix="basketlens_droptest_")
-    assert any(n.startswith("basketlens_droptest_") for n in dropped)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("basketlens_droptest_")]
+def test_drop_materialized_tables_removes_this_runs_only(spark, small_tables, monkeypatch):
+    from basketlens.sources import loaders
+    kept = materialize(small_tables.sellers, "kept", bucket_by=("seller_id",), buckets=2)
+    monkeypatch.setattr(loaders, "RUN", "droptest")
+    gone = materialize(small_tables.customers, "gone", bucket_by=("customer_id",), buckets=2)
+    folder = os.path.dirname(gone.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+    dropped = loaders.drop_materialized_tables(spark)
+    assert dropped and all(n.startswith("basketlens_droptest_") for n in dropped)
+    assert not os.path.exists(folder)
+    assert kept.count() == 10
+
+
+def test_missing_column_is_named(spark, small_tables):
+    small_tables.orders.drop("customer_id").createOrReplaceTempView("lacking_orders")
+    names = {n: f"cat2_{n}" for n in small_tables.as_dict()} | {"orders": "lacking_orders"}
+    for name, df in small_tables.as_dict().items():
+        df.createOrReplaceTempView(f"cat2_{name}")
+    with pytest.raises(ValueError, match="orders lacks customer_id"):
+        RetailTables.from_catalog(spark, names=names)
+
+
+def test_keys_of_any_type(spark):
+    from pyspark.sql import types as T
+
+    from basketlens.sources.loaders import read_csv_tables
+    out = tempfile.mkdtemp(prefix="basketlens-csv3-")
+    for name, text in (("customers", "customer_id,registration_date\nC-1,2024-01-31\n"),
+                       ("orders", "order_id,customer_id,order_date,subtotal_amount,total_amount\nO-7,C-1,2024-02-01,5,5\n"),
+                       ("order_items", "order_item_id,order_id,product_id,item_status,line_total\nI-1,O-7,P,Completed,5\n"),
+                       ("products", "product_id,product_name,category,seller_id\nP,p,Home,S\n"),
+                       ("sellers", "seller_id,seller_type,fbs_standard\nS,Company,FBS\n")):
+        with open(os.path.join(out, f"{name}.csv"), "w") as f:
+            f.write(text)
+    t = RetailTables.from_dict(read_csv_tables(spark, out, key_type=T.StringType()))
+    from basketlens.operators import categories as ca
+    assert [tuple(r) for r in ca.customer_category(t).collect()][0][:3] == ("Home", "C-1", 1)
+
+
+def test_money_sums_are_exact(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from basketlens.functions import money_sum, money_total
+    big = spark.createDataFrame([(Decimal("9000000000000000.01"),)] * 11, "v decimal(18,2)")
+    odd = spark.createDataFrame([(0.29,), (1.15,), (0.57,)], "v double")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            assert big.agg(money_sum("v")).first()[0] == Decimal("99000000000000000.11")
+            again = big.groupBy("v").agg(money_sum("v").alias("s")).agg(money_total(F.col("s") * 3))
+            assert again.first()[0] == Decimal("297000000000000000.33")
+            assert odd.agg(money_sum("v")).first()[0] == Decimal("2.01")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
+def test_derived_tables_are_told_apart(spark, small_tables):
+    t = RetailTables.from_dict(small_tables.as_dict())
+    lazy = t.derived("twice", lambda tt: tt.sellers)
+    stored = t.derived("twice", lambda tt: tt.sellers, persist=True)
+    assert lazy is not stored and t.derived("twice", None) is lazy
 
 
 def test_stored_sources_match_the_mapping(spark, small_tables):
