@@ -127,11 +127,12 @@ def draw(sources: DataFrame, *, block_words: int = BLOCK_WORDS, shards: int = SH
     one = sources.where("source_size > 0").select(
         "source_no", "source_size", F.round("target").cast("long").alias("goal"),
         F.ceil(F.col("source_size") / per).cast("long").alias("blocks"))
-    # slots are numbered in runs so that a huge source is expanded by many tasks
+    # slots are numbered in runs, dealt to all tasks, so that a huge source is expanded by many
     run = 4096
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = one.withColumn("slots", F.ceil(F.col("goal") / F.col("source_size")).cast("long") * F.col("blocks"))
     runs = total.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(F.col("slots") / run)))) \
-        .repartition("source_no", "run")
+        .repartition(tasks, "source_no", "run")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.col("run") * run + run - 1))) \
         .where(F.col("slot") < F.col("slots"))
     slots = slots.withColumn("pass_no", F.floor(F.col("slot") / F.col("blocks")).cast("long")) \
@@ -210,7 +211,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def _taken(placed: DataFrame, sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
     slots = draw(sources, block_words=block_words, shards=shards, seed=seed) \
         .withColumnRenamed("words", "slot_words")
-    return pieces(placed, block_words).join(slots, ["source_no", "block"]) \
+    # the slots come from a few rows, which hides their number from the planner: a
+    # merge join, as they grow with the input and must not be broadcast
+    return pieces(placed, block_words).join(slots.hint("merge"), ["source_no", "block"]) \
         .withColumn("words", F.least("hi", "slot_words") - F.col("lo")).where("words > 0")
 
 
