@@ -10,12 +10,12 @@ Documents are sets of word shingles; two are linked when their Jaccard similarit
   similarity, unrelated ones part at once.  A node is only branched while it is too
   large to compare and not yet one component, so links are lost only along the few
   steps that were needed; independent trees make up for that (``TREES``).
-* In a node every class first meets the node's pivot.  A node of near copies is then
-  mostly one component, and pairs inside a component need no comparison.  What is
-  left is compared exhaustively in small nodes, by signature, skipping pairs of one
-  component; nodes that stay large are branched.
-* Candidates are confirmed on the full sets.  Only classes that share a node with
-  another class have their sets written; the rest never leave their scan task.
+* Small nodes are compared exhaustively by sketch, which names the classes that have a
+  likely partner; only their sets are written, all others never leave their scan task.
+  Then each node confirms its likely pairs on the full sets, the likeliest first, and
+  skips pairs that its links have joined already: a node gives at most one link less
+  than it has members.  A pair that meets in several trees is confirmed in one of them,
+  chosen by a hash of the pair, so the work on a large group is spread over its nodes.
 
 Nothing is collected on the driver but row counts; steps are cut by written tables.
 """
@@ -38,10 +38,10 @@ from basketlens.llm.words import slices, tokenize
 
 TREES, LEVELS = 10, 4
 #: Minwise hashes of a sketch: one for each tree and level, and more for estimates only.
-TOKENS, HASHES = TREES * LEVELS, 128
+TOKENS, HASHES = TREES * LEVELS, 256
 #: Pairs whose sketches agree in fewer places aren't confirmed.  At similarity 0.8 the mean
-#: is 102.4 with a deviation of 4.5, so this loses one borderline pair in some ten million.
-AGREE_SIGMAS = 5.3
+#: is 204.8 with a deviation of 6.4, so this loses one borderline pair in a million.
+AGREE_SIGMAS = 4.75
 #: Classes compared exhaustively in one node.
 NODE_ROWS = 2000
 #: Ids are broadcast below this many bytes (their number is counted first), else joined by shuffle.
@@ -158,116 +158,112 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 _PAIR = "a binary, b binary"
 
 
-def _pairs(a: list[bytes], b: list[bytes | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _near_pivot(least: int):
-    """Rows with their node's pivot: those that may be linked to it."""
+def _likely(group: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a node's rows that may be linked and are this node's to confirm, with their
+    agreement.  ``leaves`` holds each class's small node in every tree."""
+    low = low_bytes(group.column("sketch").to_pylist())
+    leaves = np.frombuffer(b"".join(group.column("leaves").to_pylist()), ">i8").reshape(len(low), TREES)
+    mark = np.frombuffer(b"".join(c[:8] for c in group.column("cls").to_pylist()), np.uint64)
+    tree = group.column("tree")[0].as_py()
+    left, right, agree = [], [], []
+    for i in range(len(low) - 1):
+        same = (low[i + 1:] == low[i]).sum(1)
+        hit = np.flatnonzero(same >= least)
+        if not len(hit):
+            continue
+        j = hit + i + 1
+        met = (leaves[j] == leaves[i]) & (leaves[i] != 0)
+        met[:, tree] = True
+        turn = _scramble(mark[j] ^ mark[i]) % met.sum(1).astype(np.uint64) + np.uint64(1)
+        own = met.cumsum(1)[:, tree] == turn.astype(np.int64)
+        left.append(np.full(own.sum(), i))
+        right.append(j[own])
+        agree.append(same[hit][own])
+    if not left:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+
+
+def _roles(least: int):
+    """``(node, tree, cls)`` of the classes that have a pair to confirm in a node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = low_bytes(batch.column(1).to_pylist()), low_bytes(batch.column(3).to_pylist())
-            hit = np.flatnonzero((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(hit)),
-                                              batch.column(0).take(pa.array(hit))], ["a", "b"])
+        for group in _groups(batches, "node"):
+            left, right, _ = _likely(group, least)
+            if len(left):
+                at = pa.array(np.unique(np.concatenate([left, right])))
+                for part in group.select(["node", "tree", "cls"]).take(at).to_batches():
+                    yield part
     return run
 
 
-def _in_node(least: int, across: bool):
-    """Exhaustive comparison of small nodes, by sketch.
+def _linked(least: int, threshold: float):
+    """Links ``(a, b)`` of a node that join what was apart, confirmed on the full sets."""
+    part, whole = round(threshold * 10_000), 10_000
+
+    def confirmed(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate([x, y])
+        both.sort()
+        same = int((both[1:] == both[:-1]).sum())
+        return whole * same >= part * (len(both) - same)
 
-    First call: the classes that have any likely partner, as ``(class, NULL)``.  With
-    ``across``: likely pairs whose labels differ.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[bytes] = []
-        b: list[bytes | None] = []
         for group in _groups(batches, "node"):
-            if group.num_rows < 2:
-                continue
+            left, right, agree = _likely(group, least)
             keys = group.column("cls").to_pylist()
-            low = low_bytes(group.column("sketch").to_pylist())
-            label = None
-            if across:
-                names = group.column("label").to_pylist()
-                if len(set(names)) < 2:
-                    continue
-                number = {x: i for i, x in enumerate(set(names))}
-                label = np.array([number[x] for x in names])
-            for i in range(len(keys) - 1):
-                near = (low[i + 1:] == low[i]).sum(1) >= least
-                if across:
-                    near &= label[i + 1:] != label[i]
-                for j in (np.flatnonzero(near) + i + 1).tolist():
-                    if across:
-                        a.append(min(keys[i], keys[j]))
-                        b.append(max(keys[i], keys[j]))
-                    else:
-                        a += (keys[i], keys[j])
-                        b += (None, None)
-                if len(a) >= 20_000:
-                    yield _pairs(a, b)
-                    a, b = [], []
-        yield _pairs(a, b)
+            sets = [np.frombuffer(b, np.uint64) for b in group.column("items").to_pylist()]
+            up = list(range(len(keys)))
+            a, b = [], []
+            for k in np.argsort(-agree, kind="stable").tolist():
+                i, j = int(left[k]), int(right[k])
+                x, y = i, j
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                short, long = sorted((len(sets[i]), len(sets[j])))
+                if x != y and whole * short >= part * long and confirmed(sets[i], sets[j]):
+                    up[x] = y
+                    a.append(keys[i])
+                    b.append(keys[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
     return run
 
 
-def _confirm(threshold: float):
-    part, whole = (int(x) for x in (round(threshold * 10_000), 10_000))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if whole * same >= part * (len(both) - same):
-                    keep.append(k)
-            yield _pairs([a[k] for k in keep], [b[k] for k in keep])
-    return run
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose full sets reach the threshold."""
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items")), "b")
-    both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")), "a") \
-        .select("a", "a_items", "b", "b_items")
-    return map_batches(both, _confirm(threshold), _PAIR)
-
-
-def _nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trees: ``(node, cls, sketch)`` of nodes small enough to compare, and of all nodes.
+def _nodes(classes: DataFrame) -> DataFrame:
+    """The trees' nodes that are small enough to compare: ``(node, tree, cls, whole)``.
 
     A node of more than ``NODE_ROWS`` classes is branched by the next minwise token.
     Nodes that are still too large at the last level are cut into parts, and every pair
-    of parts becomes a small node: exact, in bounded tasks.
+    of parts becomes a small node (``whole`` is false): exact, in bounded tasks.
     """
     token = [F.substring("sketch", 4 * k + 1, 4) for k in range(TOKENS)]
     level = classes.select("cls", F.posexplode(F.array(*token[::LEVELS])).alias("tree", "token")) \
         .select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
-    small, every = [], []
+    small = []
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        now = stored(level.join(sizes, "node").join(classes, "cls")
-                     .select("node", "rows", "tree", "cls", "sketch"), f"near_nodes_{depth}")
-        every.append(now.select("node", "cls", "sketch"))
-        small.append(now.where(F.col("rows") <= NODE_ROWS).select("node", "cls", "sketch"))
+        now = stored(level.join(sizes, "node"), f"near_nodes_{depth}")
+        small.append(now.where(F.col("rows") <= NODE_ROWS).select("node", "tree", "cls", F.lit(True).alias("whole")))
         large = now.where(F.col("rows") > NODE_ROWS)
         if large.isEmpty():
             break
         if depth < LEVELS:
             at = 4 * (F.col("tree") * LEVELS + depth) + 1
-            level = large.select("cls", "tree", F.xxhash64("node", F.substr("sketch", at, F.lit(4))).alias("node"))
+            level = large.join(classes, "cls").select(
+                "cls", "tree", F.xxhash64("node", F.substr("sketch", at, F.lit(4))).alias("node"))
         else:
             parts = F.ceil(F.col("rows") / (NODE_ROWS // 2))
             own = F.pmod(F.xxhash64("cls"), parts)
             cut = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             small.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-                                    .alias("node"), "cls", "sketch"))
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, every)
+                                    .alias("node"), "tree", "cls", F.lit(False).alias("whole")))
+    return reduce(DataFrame.unionByName, small)
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,36 +306,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8)
                   "near_sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("cls")
                      .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "near_classes")
-    small, every = _nodes(classes.select("cls", "sketch"))
-    small = small.repartition("node").sortWithinPartitions("node")
-
-    # every class against its node's pivot; which classes have a likely partner at all
-    pivot = every.groupBy("node").agg(F.min(F.struct("cls", "sketch")).alias("p"))
-    beside = every.join(pivot, "node").where(F.col("cls") != F.col("p.cls")) \
-        .select("cls", "sketch", F.col("p.cls").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
-    likely = stored(map_batches(beside, _near_pivot(least), _PAIR)
-                    .union(map_batches(small, _in_node(least, False), _PAIR)).distinct(), "near_likely")
-    needed = stored(likely.select(F.col("a").alias("cls")).union(likely.where("b IS NOT NULL").select("b")).distinct()
-                    .join(classes, "cls").select("cls", F.col("first_id").alias("doc_id")), "near_needed")
+    nodes = _nodes(classes.select("cls", "sketch"))
+    # a class's small node in each tree, 8 bytes a tree: tells where a pair meets
+    own = [F.coalesce(F.max(F.when((F.col("tree") == k) & F.col("whole"), F.col("node"))), F.lit(0)) for k in range(TREES)]
+    leaves = nodes.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in own]).alias("leaves"))
+    members = nodes.drop("whole").join(classes.join(leaves, "cls").select("cls", "sketch", "leaves"), "cls")
+    roles = stored(map_batches(_by_node(members.select("node", "tree", "cls", "sketch", "leaves")), _roles(least),
+                               "node long, tree int, cls binary"), "near_roles")
+
+    needed = stored(roles.select("cls").distinct().join(classes.join(leaves, "cls"), "cls")
+                    .select("cls", F.col("first_id").alias("doc_id"), "sketch", "leaves"), "near_needed")
+    wanted = needed.select("cls", "doc_id")
     if needed.count() * 64 <= BROADCAST_BYTES:
-        needed = F.broadcast(needed)
+        wanted = F.broadcast(wanted)
     # a class may be named by several rows of one id: one of them has its set
-    with_text = texts.join(needed, texts["doc_id"].eqNullSafe(needed["doc_id"])) \
+    with_text = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])) \
         .select(texts["doc_id"], "text", "cls")
     sets = stored(map_batches(with_text, _sets(words), "cls binary, items binary")
                   .groupBy("cls").agg(F.first("items").alias("items")), "near_sets")
-    stars = likely.where("b IS NOT NULL")
-    linked = stored(_confirmed(stars, sets, threshold), "near_links")
-
-    # pairs inside one star need no comparison; all others of a node do
-    label = linked.select(F.col("b").alias("cls"), F.col("a").alias("label")).union(linked.select("a", "a")) \
-        .groupBy("cls").agg(F.min("label").alias("label"))
-    named = small.join(label, "cls", "left").select("node", "cls", "sketch", F.coalesce("label", "cls").alias("label"))
-    across = map_batches(named.repartition("node").sortWithinPartitions("node"), _in_node(least, True), _PAIR).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_confirmed(across.join(tried, ["a", "b"], "left_anti"), sets, threshold), "near_more")
-
-    reached = components(linked.union(more))
+    ready = roles.join(needed.select("cls", "sketch", "leaves").join(sets, "cls"), "cls") \
+        .select("node", "tree", "cls", "sketch", "leaves", "items")
+    links = stored(map_batches(_by_node(ready), _linked(least, threshold), _PAIR), "near_links")
+
+    reached = components(links)
     grouped = classes.join(reached, classes["cls"] == reached["node"], "left") \
         .select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
     ids = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
