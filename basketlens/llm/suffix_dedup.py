@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import map_batches, stored
+from basketlens.llm.words import slices
 
 WINDOW = 50
 #: Bytes of an anchor gram: more make fewer chance repeats, less make fewer anchors.
 GRAM = 26
-#: Bytes of text handled at once, and for each bucket and page.
-CHUNK, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bytes of text handled at once, and for each bucket and page; entries sent at once.
+CHUNK, BUCKET_BYTES, SEND = 1 << 19, 8 << 20, 250_000
 KEY_BITS, POSITION_BITS = 44, 26
 
 _RNG = np.random.default_rng(987654321)
@@ -241,6 +242,21 @@ def _announce(key, check, doc, buckets: int) -> Iterator[pa.RecordBatch]:
     yield _rows(place=places, entries=blobs)
 
 
+def _announce_all(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int
+                  ) -> Iterator[pa.RecordBatch]:
+    """The digits of many chunks, announced in large parts."""
+    parts, size = [], 0
+    for entry in found:
+        parts.append(entry)
+        size += len(entry[0])
+        if size >= SEND:
+            yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets)
+            parts, size = [], 0
+    if size:
+        yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets)
+    pa.default_memory_pool().release_unused()        # the worker goes on to other stages
+
+
 def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = struct.unpack_from("<I", blob)[0]
     docs = np.cumsum(unpacked(blob[4:4 + n], "<i8")[0])
@@ -296,14 +312,14 @@ def _resolve(buckets: int, edges: bool):
 
 
 def _first_digits(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def digits(batches: Iterator[pa.RecordBatch]):
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0).to_numpy()
             for chunk in chunks([t or b"" for t in batch.column(1).to_pylist()]):
                 zones = chunk.zones()
-                key, check = chunk.zone_digits(*zones)
-                yield from _announce(key, check, ids[chunk.doc[chunk.piece(zones[0])]], buckets)
-    return run
+                yield *chunk.zone_digits(*zones), ids[chunk.doc[chunk.piece(zones[0])]]
+
+    return lambda batches: _announce_all(digits(batches), buckets)
 
 
 class Page:
@@ -327,7 +343,18 @@ class Page:
         """Which of the folds were answered for their documents; NULL ids never are."""
         number = np.array([0 if i is None else i for i in self.ids], np.int64)
         known = np.array([i is not None for i in self.ids], bool)
-        return known[doc] & np.isin(_mark(number[doc], folds), self.answers[column])
+        answers, marks = self.answers[column], _mark(number[doc], folds)
+        if not len(answers):
+            return np.zeros(len(doc), bool)
+        at = np.minimum(np.searchsorted(answers, marks), len(answers) - 1)
+        return known[doc] & (answers[at] == marks)
+
+    def edge_windows(self, chunk: Chunk, first, last, doc, folds) -> tuple[np.ndarray, np.ndarray]:
+        """All windows of the zones that share their gram with other zones, and their documents."""
+        on = self.hit("edge", doc, folds)
+        size = (last - first + 1)[on]
+        at = np.repeat(first[on] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return at, np.repeat(doc[on], size)
 
 
 def _mark(docs: np.ndarray, folds: np.ndarray) -> np.ndarray:
@@ -336,22 +363,19 @@ def _mark(docs: np.ndarray, folds: np.ndarray) -> np.ndarray:
 
 def _last_digits(buckets: int):
     """All windows of the zones that share their gram with other zones."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digits(batches: Iterator[pa.RecordBatch]):
         for group in _groups(batches):
             page = Page(group)
             if not len(page.answers["edge"]):
                 continue
             ids = np.array([0 if i is None else i for i in page.ids], np.int64)
             for chunk in chunks(page.texts):
-                first, last, anchor = chunk.zones()
-                doc = chunk.doc[chunk.piece(first)]
-                on = page.hit("edge", doc, fold(*chunk.zone_digits(first, last, anchor)))
-                size = (last - first + 1)[on]
-                at = np.repeat(first[on] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                if len(at):
-                    key, check = chunk.window_digits(at)
-                    yield from _announce(key, check, ids[np.repeat(doc[on], size)], buckets)
-    return run
+                zones = chunk.zones()
+                doc = chunk.doc[chunk.piece(zones[0])]
+                at, doc = page.edge_windows(chunk, *zones[:2], doc, fold(*chunk.zone_digits(*zones)))
+                yield *chunk.window_digits(at), ids[doc]
+
+    return lambda batches: _announce_all(digits(batches), buckets)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,12 +387,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(page.texts):
                 first, last, anchor = chunk.zones()
                 doc = chunk.doc[chunk.piece(first)]
-                on = page.hit("removed", doc, fold(*chunk.zone_digits(first, last, anchor)))
-                first, last = first[on], last[on]
-                at = np.arange(max(0, chunk.n - WINDOW + 1))
-                at = at[at + WINDOW <= chunk.end[chunk.piece(at)]]
-                on = page.hit("removed", chunk.doc[chunk.piece(at)], fold(*chunk.window_digits(at)))
-                first, last = np.concatenate([first, at[on]]), np.concatenate([last, at[on]])
+                folds = fold(*chunk.zone_digits(first, last, anchor))
+                at, owner = page.edge_windows(chunk, first, last, doc, folds)
+                at = at[page.hit("removed", owner, fold(*chunk.window_digits(at)))]
+                on = page.hit("removed", doc, folds)
+                first, last = np.concatenate([first[on], at]), np.concatenate([last[on], at])
                 piece = chunk.piece(first)
                 shift = chunk.offset[piece] - chunk.begin[piece]
                 for d, a, b in zip(chunk.doc[piece].tolist(), (first + shift).tolist(),
@@ -389,7 +412,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shrink(pages: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             write = zstandard.ZstdCompressor(level=3)
             ids = batch.column(0)
             place = page_of(ids.fill_null(0).to_numpy(), pages)
@@ -424,7 +447,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     paged = map_batches(texts, _shrink(buckets), _ROW)
     last = _dealt(paged.unionByName(zones.where("edge IS NOT NULL")), _last_digits(buckets), parts, _ROW)
     windows = _dealt(last, _resolve(buckets, False), parts, _ROW)
-    return _dealt(paged.unionByName(zones.where("removed IS NOT NULL")).unionByName(windows), _cut_out, parts,
+    return _dealt(paged.unionByName(zones).unionByName(windows), _cut_out, parts,
                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: White space that, with the space, separates words: fixed values.
 SEPARATORS = ("\n", "\t", "\r", "\x0b", "\x0c")
 #: Bytes of text handled at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 
 
 @dataclass
@@ -52,10 +52,10 @@ def tokenize(texts: pa.Array) -> Tokens:
                   enc.dictionary.to_pylist())
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``CHUNK_BYTES`` of text (``column``) each."""
+def slices(batch: pa.RecordBatch, column: int = 1, chunk: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``chunk`` bytes of text (``column``) each."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    part = np.cumsum(size) // CHUNK_BYTES
+    part = np.cumsum(size) // chunk
     for p in np.unique(part):
         rows = np.flatnonzero(part == p)
         yield batch.slice(rows[0], len(rows))
