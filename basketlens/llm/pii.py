@@ -64,9 +64,15 @@ WORDS = re.compile(
     rf"|(?P<spelled>(?<![A-Za-z0-9])(?:plus[ -])?(?:{_W}|[0-9]+)(?:(?:[ ,.()-]{{1,3}}|[ ]dot[ ])(?:{_W}|[0-9]+)(?![A-Za-z0-9]))+)",
     re.IGNORECASE | re.ASCII)
 BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]", re.IGNORECASE | re.ASCII)
-JOINED_DOT = re.compile(r"\.[A-Za-z0-9]")
-HANDLE_AT = re.compile(r"\sat\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9]", re.IGNORECASE | re.ASCII)
-PAIR = re.compile(rf"{_W}(?:[ ,.()-]{{1,3}}|[ ]dot[ ])(?:{_W}|[0-9])", re.IGNORECASE | re.ASCII)
+JOINED_DOT = re.compile(r"\.[A-Za-z0-9-]")
+HANDLE_AT = re.compile(r"\sat\s{1,3}[a-z0-9-]{1,63}\.[a-z0-9-]", re.IGNORECASE | re.ASCII)
+LONE_DOT = re.compile(r"\.(?<=\s\.)\s", re.ASCII)
+LONE_DOT_WORD = re.compile(r"\sdot\s", re.ASCII)
+_GAP = r"(?:[ ,.()-]{1,3}|[ ]dot[ ])"
+PAIR = re.compile(rf"{_W}{_GAP}(?:{_W}|[0-9])|[0-9]{_GAP}{_W}", re.IGNORECASE | re.ASCII)
+#: Characters to either side of a digit word that hold all of a pair it is part of.
+PAIR_REACH = 24
+ASCII_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 AT = re.compile(r"\s+at\s+|\s*@\s*", re.IGNORECASE | re.ASCII)
 DOT = re.compile(r"\s+dot\s+|\s+\.\s+", re.IGNORECASE | re.ASCII)
 SPELLED = re.compile(rf"(?P<plus>plus[ -])|(?P<dot> dot )|(?P<word>{_W})|(?P<gap>[ -])|(?P<rest>[0-9]+|.)",
@@ -236,22 +242,30 @@ def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
 
 
 def may_be_disguised(text: str) -> bool:
-    """False if the word transducer cannot change the text; by plain substring searches,
-    so that an ordinary text is never scanned by the large pattern."""
-    if "@" in text and (" @" in text or "@ " in text) or " . " in text:
+    """False only if the word transducer cannot change the text; by plain substring searches
+    where these do, so that an ordinary text is never scanned by the large pattern.
+
+    Every alternative of ``WORDS`` needs one of: an entity; a bracketed joint; a dot or
+    ``dot`` between white space; `` at `` before a dotted host; a digit word beside a digit
+    or another digit word.
+    """
+    low = text.lower()
+    if len(low) != len(text):                   # places in it are not those of the text
         return True
-    if "&" in text and ("&#" in text or "&commat;" in text or "&period;" in text):
+    if "&" in low and ("&#" in low or "&commat;" in low or "&period;" in low):
         return True
     if any(b in text for b in "[({<") and BRACKETED.search(text):
         return True
-    low = text.lower()
-    if " dot " in low or JOINED_DOT.search(text) and HANDLE_AT.search(text):
+    if LONE_DOT.search(text) or "dot" in low and LONE_DOT_WORD.search(low):
+        return True
+    if JOINED_DOT.search(text) and HANDLE_AT.search(text):
         return True
     for word in DIGIT_WORDS:
         at = low.find(word)
         while at >= 0:
             end = at + len(word)
-            if (at == 0 or not low[at - 1].isalnum()) and not low[end:end + 1].isalnum() and PAIR.match(low, at):
+            if (at == 0 or text[at - 1] not in ASCII_ALNUM) and text[end:end + 1] not in ASCII_ALNUM \
+                    and PAIR.search(text, max(0, at - PAIR_REACH), end + PAIR_REACH):
                 return True
             at = low.find(word, end)
     return False

@@ -142,6 +142,33 @@ def test_disguised_spans_are_mapped_back(text, kind, found):
     assert (kind, found, False) in spans
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("+1 415 555 267 one", "phone", "+1 415 555 267 one"),
+    ("at 192.168.1.five!", "ip", "192.168.1.five"),
+    ("pay 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ("john at example\ndot com", "email", "john at example\ndot com"),
+    ("john at mail\tdot\texample\tdot\tcom", "email", "john at mail\tdot\texample\tdot\tcom"),
+    ("john&COMMAT;example&Period;com", "email", "john&COMMAT;example&Period;com"),
+])
+def test_disguises_pass_the_gate(text, kind, found):
+    assert (kind, found, False) in [(pii.KINDS[k], text[a:b], base) for k, a, b, base in pii.all_spans(text)]
+
+
+def test_spans_are_the_same_without_the_gate(monkeypatch):
+    r = random.Random(6)
+    parts = ["john", "b.1", "mail", "example", "com", "at", "AT", "dot", "Dot", ".", "@", "[at]", "( dot )", "&#64;", "&Period;", "&commat;",
+             "one", "Five", "double", "triple two", "plus", "oh", "192", "168", "1", "+1", "4111 1111 1111 111", "é", "İ", "\u212a",
+             ",", "-", " ", " ", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "x"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " ", "\n", "-"]) for _ in range(r.randint(1, 14))) for _ in range(20000)]
+    gated = [pii.all_spans(t) for t in texts]
+    edited = [bool(pii._word_edits(t)) for t in texts]
+    passed = [pii.may_be_disguised(t) for t in texts]
+    assert sum(edited) > 2000 and passed.count(False) > 2000
+    assert [t for t, e, p in zip(texts, edited, passed) if e and not p] == []
+    monkeypatch.setattr(pii, "may_be_disguised", lambda text: True)
+    assert [t for t, s in zip(texts, gated) if pii.all_spans(t) != s] == []
+
+
 def test_plain_prose_has_no_spans():
     for t in ("the cat sat on a mat. One two three, four!", "3.5 of 100 at noon", "Ünïcödé wörds — ok", LONG):
         assert pii.all_spans(t) == []
