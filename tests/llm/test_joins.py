@@ -42,6 +42,34 @@ def test_syncmers_do_not_depend_on_their_context(spark):
     assert len(shift) < 5                       # shared anchors stand at one distance
 
 
+def plain_links(found):
+    found = [(p, h & 0xFFFFFFFF) for p, h in sorted(found)]
+    return {(h1, p2 - p1, h2) for (p1, h1), (p2, h2) in zip(found, found[1:])} or {h for _, h in found}
+
+
+def test_likeness_is_of_all_anchors_by_position(spark):
+    r = random.Random(8)
+    text = [" ".join(str(r.randrange(10 ** 6)) for _ in range(n)) for n in (9000, 120, 8000)]
+    passage = text[1] + " " + " ".join(text[0].split()[:20])
+    scattered = " ".join(w for k in range(100) for w in [*text[2].split()[70 * k:70 * k + 4], str(r.random())])
+    rows = [(1, text[0] + " " + passage + " " + text[2][:900]), (2, text[2][-20000:] + " " + passage), (3, text[2]), (4, scattered),
+            (5, "a"), (6, "one two three four five six seven"), (7, "seven six five four three two one"), (8, text[1])]
+    found = {i: [] for i, _ in rows}
+    for a in fingerprints.anchors(docs(spark, rows)).collect():
+        found[a.doc_id].append((a.position, a.hash))
+    want = {i: plain_links(f) for i, f in found.items()}
+    got = {x.doc_id: x for x in fingerprints.report(docs(spark, rows)).collect()}
+    for i, _ in rows:
+        a, b = want[i], want[i % len(rows) + 1]
+        assert got[i].near_next == len(a & b) / len(a | b), i
+        prints, at, place = got[i].fingerprint, 0, []
+        for k in range(0, len(prints), 9):
+            at += int(prints[k], 16)
+            place.append((at, int(prints[k + 1:k + 9], 16)))
+        assert place == [(p, h & 0xFFFFFFFF) for p, h in sorted(found[i])]
+    assert 0 < got[1].near_next < 0.02 and got[2].near_next > 0.2 and got[6].near_next == 0
+
+
 def test_next_rows_over_many_buckets(spark):
     r = random.Random(2)
     ids = r.sample(range(10 ** 12), 500)
