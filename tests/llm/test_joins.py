@@ -70,6 +70,24 @@ def test_likeness_is_of_all_anchors_by_position(spark):
     assert 0 < got[1].near_next < 0.02 and got[2].near_next > 0.2 and got[6].near_next == 0
 
 
+@pytest.mark.parametrize("alphabet", [
+    "".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x20000, 0x20400))),
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abc.(){};=&?%/"], ids=["han", "thai", "rare", "base64", "code"])
+def test_near_copies_of_unspaced_texts_are_alike(spark, alphabet):
+    r = random.Random(9)
+    text = "".join(r.choices(alphabet, k=600))
+    rows = [(1, text), (2, text[0] + text), (3, "".join(r.choices(alphabet, k=300)) + text)]
+    got = {x.doc_id: x.near_next for x in fingerprints.report(docs(spark, rows)).collect()}
+    assert 0.95 < got[1] <= 1 and 0.5 < got[2] < 0.8
+
+
+def test_unspaced_characters_are_tokens(spark):
+    rows = [("abcdefg hi",), ("ab漢字cdefg\u0e01😀x",), ("x" * 24,), ("ab " + "y" * 25 + "漢 abcde",), (" \t",)]
+    got = [x[0] for x in spark.createDataFrame(rows, "text string").coalesce(1).select(fingerprints.tokens(F.col("text"))).collect()]
+    assert got == [["abcd", "efg", "hi"], ["ab", "漢", "字", "cdef", "g", "\u0e01", "😀", "x"], ["xxxx"] * 6,
+                   ["ab", *"y" * 25, "漢", "abcd", "e"], []]
+
+
 def test_next_rows_over_many_buckets(spark):
     r = random.Random(2)
     ids = r.sample(range(10 ** 12), 500)
