@@ -8,8 +8,10 @@ Documents are sets of word shingles; two are linked when their Jaccard similarit
   of a node hold the classes whose smallest token under the node's own hash function
   is the same.  Two sets stay together at a step with a probability equal to their
   similarity, unrelated ones part at once.  A node is only branched while it is too
-  large to compare and not yet one component, so links are lost only along the few
-  steps that were needed; independent trees make up for that (``TREES``).
+  large to compare, so links are lost only along the few steps that were needed;
+  independent trees make up for that.  Their number follows from ``LOSS`` and the depth:
+  those that depth 1 needs have all classes, the others, which the full depth needs,
+  those classes that were in a node too large at depth 1.
 * Small nodes are compared exhaustively by sketch, which names the classes that have a
   likely partner; only their sets are written, all others never leave their scan task.
   Then each node confirms its likely pairs on the full sets, the likeliest first, and
@@ -36,9 +38,11 @@ from pyspark.sql import functions as F
 from basketlens.llm.common import map_batches, stored
 from basketlens.llm.words import slices, tokenize
 
-TREES, LEVELS = 10, 4
+#: Chance that all trees part a pair at the threshold, at most.
+LOSS = 1e-6
+TREES, LEVELS = 10, 4                            # trees at least, levels at most
 #: Minwise hashes of a sketch: one for each tree and level, and more for estimates only.
-TOKENS, HASHES = TREES * LEVELS, 256
+HASHES = 256
 #: Pairs whose sketches agree in fewer places aren't confirmed.  At similarity 0.8 the mean
 #: is 204.8 with a deviation of 6.4, so this loses one borderline pair in a million.
 AGREE_SIGMAS = 4.75
@@ -84,7 +88,22 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(owner, np.arange(n_texts + 1))
 
 
-def sketches(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def trees_for(threshold: float, depth: int) -> int:
+    """Trees that keep a pair at the threshold but for ``LOSS``, if all reach ``depth``."""
+    if threshold >= 1:
+        return TREES
+    return max(TREES, int(np.ceil(np.log(LOSS) / np.log1p(-threshold ** depth))))
+
+
+def levels_for(threshold: float) -> int:
+    """Levels for whose trees a sketch has enough hashes; larger nodes are cut into parts."""
+    fit = [d for d in range(1, LEVELS + 1) if trees_for(threshold, d) * d <= HASHES]
+    if not fit:
+        raise ValueError(f"threshold {threshold} is too low for sketches of {HASHES} hashes")
+    return max(fit)
+
+
+def sketches(sets: np.ndarray, offsets: np.ndarray, n_tokens: int) -> list[bytes]:
     """Sketch of each set: the smallest hash under every function; 4 bytes of those that
     trees branch by, then the low byte of all, for estimates."""
     n = len(offsets) - 1
@@ -94,12 +113,12 @@ def sketches(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         for k in range(HASHES):
             v = ((sets * _MULT[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
             out[full, k] = np.minimum.reduceat(v, offsets[full])
-    tokens = np.ascontiguousarray(out[:, :TOKENS].astype(">u4")).view(np.uint8).reshape(n, 4 * TOKENS)
+    tokens = np.ascontiguousarray(out[:, :n_tokens].astype(">u4")).view(np.uint8).reshape(n, 4 * n_tokens)
     return [r.tobytes() for r in np.hstack([tokens, out.astype(np.uint8)])]
 
 
 def low_bytes(sketch: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)[:, 4 * TOKENS:]
+    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)[:, -HASHES:]
 
 
 def least_agreement(threshold: float) -> int:
@@ -107,7 +126,7 @@ def least_agreement(threshold: float) -> int:
     return int(HASHES * threshold - AGREE_SIGMAS * np.sqrt(HASHES * threshold * (1 - threshold)))
 
 
-def _sketch(words: int):
+def _sketch(words: int, n_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -116,7 +135,7 @@ def _sketch(words: int):
                         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(keys, pa.binary()),
-                     pa.array(sketches(sets, offsets), pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+                     pa.array(sketches(sets, offsets, n_tokens), pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
     return run
 
 
@@ -162,7 +181,7 @@ def _likely(group: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Pairs of a node's rows that may be linked and are this node's to confirm, with their
     agreement.  ``leaves`` holds each class's small node in every tree."""
     low = low_bytes(group.column("sketch").to_pylist())
-    leaves = np.frombuffer(b"".join(group.column("leaves").to_pylist()), ">i8").reshape(len(low), TREES)
+    leaves = np.frombuffer(b"".join(group.column("leaves").to_pylist()), ">i8").reshape(len(low), -1)
     mark = np.frombuffer(b"".join(c[:8] for c in group.column("cls").to_pylist()), np.uint64)
     tree = group.column("tree")[0].as_py()
     left, right, agree = [], [], []
@@ -231,35 +250,51 @@ def _linked(least: int, threshold: float):
     return run
 
 
-def _nodes(classes: DataFrame) -> DataFrame:
-    """The trees' nodes that are small enough to compare: ``(node, tree, cls, whole)``.
+def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """The trees' nodes that are small enough to compare, ``(node, tree, cls, whole)``, and
+    the number of trees.
 
     A node of more than ``NODE_ROWS`` classes is branched by the next minwise token.
     Nodes that are still too large at the last level are cut into parts, and every pair
     of parts becomes a small node (``whole`` is false): exact, in bounded tasks.
     """
-    token = [F.substring("sketch", 4 * k + 1, 4) for k in range(TOKENS)]
-    level = classes.select("cls", F.posexplode(F.array(*token[::LEVELS])).alias("tree", "token")) \
-        .select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
+    levels = levels_for(threshold)
+    first, most = trees_for(threshold, 1), trees_for(threshold, levels)
     small = []
-    for depth in range(1, LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        now = stored(level.join(sizes, "node"), f"near_nodes_{depth}")
-        small.append(now.where(F.col("rows") <= NODE_ROWS).select("node", "tree", "cls", F.lit(True).alias("whole")))
-        large = now.where(F.col("rows") > NODE_ROWS)
-        if large.isEmpty():
-            break
-        if depth < LEVELS:
-            at = 4 * (F.col("tree") * LEVELS + depth) + 1
-            level = large.join(classes, "cls").select(
-                "cls", "tree", F.xxhash64("node", F.substr("sketch", at, F.lit(4))).alias("node"))
-        else:
-            parts = F.ceil(F.col("rows") / (NODE_ROWS // 2))
-            own = F.pmod(F.xxhash64("cls"), parts)
-            cut = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            small.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-                                    .alias("node"), "tree", "cls", F.lit(False).alias("whole")))
-    return reduce(DataFrame.unionByName, small)
+
+    def grow(rows: DataFrame, begin: int, end: int) -> DataFrame | None:
+        """Adds the small nodes of some trees; returns the rows that were in large ones, if any."""
+        token = [F.substring("sketch", 4 * t * levels + 1, 4) for t in range(begin, end)]
+        level = rows.select("cls", F.posexplode(F.array(*token)).alias("k", "token")) \
+            .withColumn("tree", F.col("k") + F.lit(begin)) \
+            .select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
+        crowded = None
+        for depth in range(1, levels + 1):
+            sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+            now = stored(level.join(sizes, "node"), f"near_nodes_{depth}")
+            small.append(now.where(F.col("rows") <= NODE_ROWS)
+                         .select("node", "tree", "cls", F.lit(True).alias("whole")))
+            large = now.where(F.col("rows") > NODE_ROWS)
+            if large.isEmpty():
+                break
+            crowded = crowded or large
+            if depth < levels:
+                at = 4 * (F.col("tree") * levels + depth) + 1
+                level = large.join(rows, "cls").select(
+                    "cls", "tree", F.xxhash64("node", F.substr("sketch", at, F.lit(4))).alias("node"))
+            else:
+                parts = F.ceil(F.col("rows") / (NODE_ROWS // 2))
+                own = F.pmod(F.xxhash64("cls"), parts)
+                cut = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+                small.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+                                        .alias("node"), "tree", "cls", F.lit(False).alias("whole")))
+        return crowded
+
+    crowded = grow(classes, 0, first)
+    if crowded is None or most == first:
+        return reduce(DataFrame.unionByName, small), first
+    grow(stored(classes.join(crowded.select("cls").distinct(), "cls"), "near_crowded"), first, most)
+    return reduce(DataFrame.unionByName, small), most
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -302,13 +337,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8)
     least = least_agreement(threshold)
     texts = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(map_batches(texts, _sketch(words), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"),
+    n_tokens = trees_for(threshold, levels_for(threshold)) * levels_for(threshold)
+    rows = stored(map_batches(texts, _sketch(words, n_tokens), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"),
                   "near_sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("cls")
                      .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "near_classes")
-    nodes = _nodes(classes.select("cls", "sketch"))
+    nodes, n_trees = _nodes(classes.select("cls", "sketch"), threshold)
     # a class's small node in each tree, 8 bytes a tree: tells where a pair meets
-    own = [F.coalesce(F.max(F.when((F.col("tree") == k) & F.col("whole"), F.col("node"))), F.lit(0)) for k in range(TREES)]
+    own = [F.coalesce(F.max(F.when((F.col("tree") == k) & F.col("whole"), F.col("node"))), F.lit(0)) for k in range(n_trees)]
     leaves = nodes.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in own]).alias("leaves"))
     members = nodes.drop("whole").join(classes.join(leaves, "cls").select("cls", "sketch", "leaves"), "cls")
     roles = stored(map_batches(_by_node(members.select("node", "tree", "cls", "sketch", "leaves")), _roles(least),

@@ -300,6 +300,25 @@ def test_near_duplicates_equal_exhaustive_search(spark, monkeypatch, n, threshol
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_trees_keep_links_at_every_depth(spark, monkeypatch):
+    for threshold in (0.5, 0.6, 0.8, 0.9):
+        for depth in range(1, minhash_join.levels_for(threshold) + 1):
+            n = minhash_join.trees_for(threshold, depth)
+            assert (1 - threshold ** depth) ** n <= 1e-6 and n * depth <= minhash_join.HASHES
+    monkeypatch.setattr(minhash_join, "NODE_ROWS", 20)
+    n = minhash_join.trees_for(0.8, 4)
+    assert n >= 26
+    rows = [(bytes([1, k]), bytes(4 * 4 * n + 256)) for k in range(50)]           # one node down to the last level
+    rows += [(bytes([2, k]), bytes([k + 1]) * (4 * 4 * n + 256)) for k in range(10)]
+    rows += [(bytes([3, k]), bytes([k + 1]) * (4 * 4 * n + 256)) for k in range(10)]     # pairs of classes
+    nodes, most = minhash_join._nodes(spark.createDataFrame(rows, "cls binary, sketch binary"), 0.8)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(bytes(r.cls), set()).add(r.tree)
+    assert most == n and len(trees) == 70
+    assert all(trees[c] == set(range(n if c[0] == 1 else 10)) for c in trees)
+
+
 def test_near_duplicates_by_shuffled_ids(spark, monkeypatch):
     monkeypatch.setattr(minhash_join, "BROADCAST_BYTES", 0)
     rows = near_rows(12)
