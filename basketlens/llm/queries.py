@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.llm import (
-    byte_bpe, fingerprints, minhash_join, mixing, pii, suffix_dedup, token_counts, topk, toxicity, url_filter,
+    byte_bpe, fingerprints, minhash_join, mixing, pii, ranked_search, role_repair, seed_extend, suffix_dedup, token_counts,
+    topk, toxicity, url_filter,
 )
 from basketlens.llm.common import table
 
@@ -58,6 +59,18 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.report(table(spark, sf_dir, "documents"))
+
+
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -69,9 +82,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_minhash_join": op10_minhash_join,
+    "op11_seed_extend": op11_seed_extend,
+    "op12_role_repair": op12_role_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
     "op7_url_filter": url_filter.SQL,
     "op9_topk": topk.SQL,
+    "op11_seed_extend": seed_extend.SQL,
+    "op13_ranked_search": ranked_search.SQL,
 }

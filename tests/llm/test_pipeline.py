@@ -71,7 +71,7 @@ def test_stages_take_awkward_rows(spark, at):
 def test_queries_are_registered():
     import __spark_entry__ as e
     assert set(queries.QUERIES) | {"pipeline"} <= set(e.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
