@@ -105,12 +105,29 @@ def over_index_flag(t: RetailTables, seg: DataFrame, th: Thresholds = THRESHOLDS
                      (F.abs(F.col("_over_index") - 1.0) > th.over_index_band).alias("outside_band"))
 
 
-def over_index_wide(t: RetailTables, seg: DataFrame, labels: Labels = LABELS) -> DataFrame:
-    """Segment rows x category columns of the over-index (all segments)."""
+#: Columns that the wide over-index may have; more categories than that are an error.
+MOST_CATEGORIES = 200
+
+
+def over_index_wide(t: RetailTables, seg: DataFrame, categories: Sequence[str] | None = None,
+                    most: int = MOST_CATEGORIES) -> DataFrame:
+    """Segment rows x category columns of the over-index (all segments).
+
+    The columns are all categories that were sold, in order of their names, or those that
+    ``categories`` names.  Finding them runs the roll-up to one row for each segment and
+    category; more than ``most`` raise an error, as a frame can't have columns without end.
+    A NULL category has no column.
+    """
     cells = segment_category_revenue(t, seg)
+    if categories is None:
+        found = [r.category for r in cells.where(F.col("category").isNotNull())
+                 .select("category").distinct().limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"more than {most} categories; name those that are wanted")
+        categories = sorted(found)
     long = over_index(cells, "customer_segment", "category", "revenue", None)
     return (long.groupBy("customer_segment")
-            .pivot("category", list(labels.categories))
+            .pivot("category", list(categories))
             .agg(F.first("over_index"))
             .orderBy("customer_segment"))
 

@@ -13,11 +13,16 @@ buffer.  :func:`value_ranks` gives the same exact answer with bounded tasks:
 
 The output row for a value carries ``below`` (rows with a strictly smaller
 value), ``n`` (rows equal to it) and ``total`` (rows in the group).
+
+Cut points and medians need a few positions of the sorted values, not all ranks:
+:func:`order_statistics` counts ranges, cuts only the ranges that hold a position into
+finer ones, and looks at single values only there.  What it shuffles depends on the
+number of groups and positions, not on how many distinct values there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +68,89 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
             .select(*by, value, "n", (F.col("_off") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 
+#: Parts that a range with a wanted position is cut into.
+CELLS = 4096
+
+
+def _same(by: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of the groups on both sides of a join (a constant for no groups)."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
+
+
+def order_statistics(df: DataFrame, value: str, positions: dict[str, Callable[[Column], Column]],
+                     by: Sequence[str]) -> DataFrame:
+    """``by..., total`` and a DOUBLE column for each position: exact order statistics.
+
+    ``positions`` maps a name to a function of ``total`` (the group's rows; it may read
+    the columns of ``by``) that gives a 0-based place among the sorted values; a place
+    outside gives NULL.  NULL values are left out; values are finite and compared as DOUBLE.
+
+    Three passes over ``df``, each with partial aggregation: rows per range; rows per cell
+    of the few ranges that hold a wanted place (their true bounds are known by then); single
+    values of the few cells that hold one.  ``by`` is meant for a handful of groups: the
+    wanted ranges, one row for each group and position, are broadcast.
+    """
+    by = list(by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, to_double(value).alias("_x"))
+    size = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")]
+    first = rows.groupBy(*by, value_range(F.col("_x")).alias("_key")).agg(*size)
+    first = (first.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_key")))
+             .withColumn("total", F.sum("_n").over(Window.partitionBy(*by))))
+    asked = [F.struct(F.lit(name).alias("name"), place(F.col("total")).cast("bigint").alias("place"))
+             for name, place in positions.items()]
+    before = F.col("_upto") - F.col("_n")
+    cells = (first.withColumn("_ask", F.explode(F.array(*asked)))
+             .where((before <= F.col("_ask.place")) & (F.col("_ask.place") < F.col("_upto")))
+             .select(*by, "total", F.col("_ask.name").alias("_name"), (F.col("_ask.place") - before).alias("_rest"), "_low", "_high"))
+    inside = (F.col("_x") >= F.col("_t_low")) & (F.col("_x") <= F.col("_t_high"))
+    finer = F.floor((F.col("_x") - F.col("_t_low")) / (F.col("_t_high") - F.col("_t_low")) * CELLS)
+    for key in (F.when(F.col("_t_high") > F.col("_t_low"), finer).otherwise(F.lit(0)).cast("bigint"), F.col("_x")):
+        wanted = cells.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_low").alias("_t_low"),
+                              F.col("_high").alias("_t_high")).distinct()
+        parts = (rows.join(F.broadcast(wanted), _same(by, "_t_") & inside)
+                 .groupBy(*[f"_t_{c}" for c in by], "_t_low", "_t_high", key.alias("_key"))
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+                 .withColumn("_upto", F.sum("_n").over(
+                     Window.partitionBy(*[f"_t_{c}" for c in by], "_t_low", "_t_high").orderBy("_key"))))
+        cells = (parts.join(F.broadcast(cells), _same(by, "_t_") & (F.col("_low") == F.col("_t_low")) & (F.col("_high") == F.col("_t_high")))
+                 .where((before <= F.col("_rest")) & (F.col("_rest") < F.col("_upto")))
+                 .select(*by, "total", "_name", (F.col("_rest") - before).alias("_rest"), F.col("_from").alias("_low"),
+                         F.col("_to").alias("_high")))
+    return cells.groupBy(*by, "total").agg(*[F.max(F.when(F.col("_name") == n, F.col("_low"))).alias(n) for n in positions])
+
+
+def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
+    """Exact interpolated median per group (DOUBLE), by :func:`order_statistics`."""
+    half = {"_below": lambda total: F.floor((total - 1) / 2), "_above": lambda total: F.ceil((total - 1) / 2)}
+    return order_statistics(df, value, half, by).select(*by, ((F.col("_below") + F.col("_above")) / 2.0).alias(name))
+
+
+def selected_edges(df: DataFrame, value: str, by: Sequence[str], k: int = 5, higher_is_better=True) -> DataFrame:
+    """The edges of :func:`quantile_edges`, as DOUBLE, without ranking every value.
+
+    ``edge_j`` is the first value with at least ``c = ceil(j * total / k)`` rows strictly worse
+    than it: the next value past the ``c``-th worst row.  The ``c``-th worst rows are order
+    statistics; one more aggregate finds what comes next.
+    """
+    hib = F.lit(higher_is_better) if isinstance(higher_is_better, bool) else higher_is_better
+
+    def worst(j: int) -> Callable[[Column], Column]:
+        def place(total: Column) -> Column:
+            c = F.ceil(total * j / k)
+            return F.when(hib, c - 1).otherwise(total - c)
+        return place
+
+    found = order_statistics(df, value, {f"_w{j}": worst(j) for j in range(1, k)}, by)
+    known = found.select(*[F.col(c).alias(f"_e_{c}") for c in by], *[f"_w{j}" for j in range(1, k)])
+    x = to_double(value)
+    rows = df.where(F.col(value).isNotNull()).join(F.broadcast(known), _same(by, "_e_"))      # a row a group
+    edges = []
+    for j in range(1, k):
+        up, down = F.min(F.when(hib & (x > F.col(f"_w{j}")), x)), F.max(F.when(~hib & (x < F.col(f"_w{j}")), x))
+        edges.append(F.coalesce(up, down).alias(f"edge_{j}"))
+    return rows.groupBy(*by).agg(*edges)
+
+
 def _worse(higher_is_better):
     """Rows with a strictly worse value; ``higher_is_better`` is a bool or a boolean Column."""
     above = F.col("total") - F.col("below") - F.col("n")

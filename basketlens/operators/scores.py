@@ -12,8 +12,9 @@ values straddle quintile edges.  No formula is given; ours is:
 :func:`tie_split_report` counts the tie groups that a position-based
 ``NTILE(5)`` would cut in two -- the reason the score was rejected.
 
-The three measures are stacked into one long frame so that a single
-:func:`value_ranks` pass (grouped by measure) ranks all of them.
+The three measures are stacked into one long frame, grouped by measure.  The score needs
+only the few values where it steps up (:func:`selected_edges`); the tie report needs the
+ranks of all values (:func:`value_ranks`).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.operators.ranks import quantile_edges, score_by_edges, tie_split, value_ranks
+from basketlens.operators.ranks import score_by_edges, selected_edges, tie_split, value_ranks
 
 MEASURES = ("recency", "frequency", "monetary")
 LOWER_IS_BETTER = ("recency",)
@@ -41,17 +42,15 @@ def measure_ranks(seg: DataFrame) -> DataFrame:
     return value_ranks(_long(seg), "value", ["measure"])
 
 
-def rfm_score(seg: DataFrame, k: int = 5, ranks: DataFrame | None = None) -> DataFrame:
+def rfm_score(seg: DataFrame, k: int = 5) -> DataFrame:
     """``customer_id, r_score, f_score, m_score, rfm_score`` for every customer of ``seg``.
 
-    The exact ranks give, per measure, the ``k - 1`` values where the score steps
-    up (:func:`quantile_edges`); the three short edge lists travel as one scalar
+    Exact selection gives, per measure, the ``k - 1`` values where the score steps
+    up (:func:`selected_edges`); the three short edge lists travel as one scalar
     subquery, and every customer is scored by comparing its values with them.
-    No customer-grain join or shuffle is needed for the scoring itself.  ``ranks`` are
-    stored :func:`measure_ranks`, if there are any.
+    No customer-grain join or shuffle is needed, neither for the edges nor for the scoring.
     """
-    edges = quantile_edges(ranks if ranks is not None else measure_ranks(seg), "value", ["measure"], k,
-                           _better_when_higher())
+    edges = selected_edges(_long(seg), "value", ["measure"], k, _better_when_higher())
     edge_cols = [f"edge_{j}" for j in range(1, k)]
     packed = edges.agg(*[F.max(F.when(F.col("measure") == m, F.array(*edge_cols))).alias(m)
                          for m in MEASURES])

@@ -164,11 +164,11 @@ def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard"
     """Exact medians next to the means, per seller attribute (r0).
 
     ``dimension, group_value``, then ``median_<m>`` and ``mean_<m>`` for each measure
-    ``revenue``, ``revenue_per_product``, ``revenue_per_customer``.  Attributes and measures are stacked into one
-    long frame and ranked in a single :func:`value_ranks` pass, so no group's
-    values are gathered into one task.
+    ``revenue``, ``revenue_per_product``, ``revenue_per_customer``.  Attributes and measures
+    are stacked into one long frame; the middle values are selected (:func:`medians`), so no
+    group's values are gathered into one task or sorted.
     """
-    from basketlens.operators.ranks import median_from_ranks, value_ranks
+    from basketlens.operators.ranks import medians
 
     measures = ("revenue", "revenue_per_product", "revenue_per_customer")
     stacked = None
@@ -178,7 +178,7 @@ def seller_medians(metrics: DataFrame, dimensions=("seller_type", "fbs_standard"
         stacked = part if stacked is None else stacked.unionByName(part)
     long = stacked.unpivot(["dimension", "group_value"], list(measures), "measure", "value")
     keys = ["dimension", "group_value", "measure"]
-    meds = median_from_ranks(value_ranks(long, "value", keys), "value", keys, "median")
+    meds = medians(long, "value", keys)
     means = long.groupBy(*keys).agg((F.sum("value") / F.count("value")).alias("mean"))
     both = meds.join(means.select(*[F.col(k).alias(f"_{k}") for k in keys], "mean"),
                      reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))

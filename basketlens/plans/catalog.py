@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens.config import THRESHOLDS
 from basketlens.operators import categories as ca
@@ -24,14 +25,14 @@ from basketlens.operators import quality as qa
 from basketlens.operators import scores as sc
 from basketlens.operators import sellers as se
 from basketlens.plans.export import portable
-from basketlens.sources import fixture
+from basketlens.sources import fixture, published
 from basketlens.sources.loaders import row_counts, run_dir
 from basketlens.sources.tables import RetailTables
 
 TableQuery = Callable[[RetailTables], DataFrame]
 
-# No product of the test tables reaches 100 distinct buyers at any scale factor, so the
-# registered product-level queries use 5 (the operator default stays at 100).
+# No product of the test tables reaches 100 distinct buyers at any scale factor, so over
+# those tables the product-level queries use 5 (see TEST_QUERIES); nothing else does.
 TEST_MIN_BUYERS = 5
 
 
@@ -43,6 +44,22 @@ def _ranks(t: RetailTables) -> DataFrame:
     return t.derived("rfm_value_ranks", lambda tt: sc.measure_ranks(_seg(tt)))
 
 
+def _top_products(t: RetailTables, buyers: int = THRESHOLDS.min_product_buyers) -> DataFrame:
+    return ca.top_products(t, buyers)
+
+
+def _product_segment_revenue(t: RetailTables, buyers: int = THRESHOLDS.min_product_buyers) -> DataFrame:
+    return ca.product_segment_revenue(t, _seg(t), ca.top_products(t, buyers))
+
+
+def _product_segment_share(t: RetailTables, buyers: int = THRESHOLDS.min_product_buyers) -> DataFrame:
+    return ca.product_segment_share(t, _seg(t), buyers)
+
+
+def _product_share_mean(t: RetailTables, buyers: int = THRESHOLDS.min_product_buyers) -> DataFrame:
+    return ca.product_share_mean(t, _seg(t), buyers)
+
+
 TABLE_QUERIES: dict[str, TableQuery] = {
     # ---- data validation ----
     # V1
@@ -72,6 +89,8 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "row_counts": lambda t: row_counts(t.as_dict()),
     # V1-V5 as one report
     "integrity_report": qa.integrity_report,
+    # V1-V9 in one pass
+    "validation_report": qa.validation_report,
     # the analysis' assertions as one report
     "expectations": lambda t: qa.expectations(t, _seg(t), se.confound_check(t, "fbs_standard")),
     # ---- customers ----
@@ -117,14 +136,13 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     # X10
     "over_index_flag": lambda t: ca.over_index_flag(t, _seg(t)),
     # K3
-    "top_products": lambda t: ca.top_products(t, TEST_MIN_BUYERS),
+    "top_products": _top_products,
     # K3a
-    "product_segment_revenue": lambda t: ca.product_segment_revenue(
-        t, _seg(t), ca.top_products(t, TEST_MIN_BUYERS)),
+    "product_segment_revenue": _product_segment_revenue,
     # K3b
-    "product_segment_share": lambda t: ca.product_segment_share(t, _seg(t), TEST_MIN_BUYERS),
+    "product_segment_share": _product_segment_share,
     # X9
-    "product_share_mean": lambda t: ca.product_share_mean(t, _seg(t), TEST_MIN_BUYERS),
+    "product_share_mean": _product_share_mean,
     # K4
     "repeat_rate": ca.repeat_rate,
     # K5
@@ -167,7 +185,7 @@ TABLE_QUERIES: dict[str, TableQuery] = {
     "seller_medians": lambda t: se.seller_medians(se.seller_metrics(t)),
     # ---- described in prose: score and its tie diagnostic ----
     # X1
-    "rfm_score": lambda t: sc.rfm_score(_seg(t), ranks=_ranks(t)),
+    "rfm_score": lambda t: sc.rfm_score(_seg(t)),
     # X1 diagnostic
     "rfm_score_tie_split": lambda t: sc.tie_split_report(_seg(t), ranks=_ranks(t)),
     # ---- chart extracts ----
@@ -184,6 +202,20 @@ TABLE_QUERIES: dict[str, TableQuery] = {
 }
 
 
+#: The product-level queries over the test tables.
+TEST_QUERIES: dict[str, TableQuery] = {
+    name: (lambda t, _query=query: _query(t, TEST_MIN_BUYERS))
+    for name, query in {"top_products": _top_products, "product_segment_revenue": _product_segment_revenue,
+                        "product_segment_share": _product_segment_share, "product_share_mean": _product_share_mean}.items()}
+
+#: Queries whose rows stand in an order; written results carry it as ``position``.
+ORDERED = frozenset({
+    "frequency_histogram", "band_summary", "segment_summary", "band_counts", "band_avg_monetary", "category_mix",
+    "category_over_index", "category_over_index_wide", "top_products", "product_segment_share", "repeat_rate",
+    "catalog_confound", "catalog_confound_type", "seller_type_means", "logistics_means", "status_mix_seller_type",
+    "status_mix_logistics", "segment_mix_seller_type"})
+
+
 def _reduced_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose product is missing from a reduced parent (parts with p_size <= 25)."""
     t = RetailTables.from_test_tables(spark, sf_dir)
@@ -221,7 +253,7 @@ def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emitted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``band_summary`` written as a result table and read back."""
+    """``band_summary`` written as a result table in its order and read back."""
     from basketlens.cli import run_all
 
     out = f"{run_dir(spark)}/results-{uuid.uuid4().hex[:12]}"
@@ -229,6 +261,43 @@ def _emitted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/band_summary")
 
 
+def _csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV exports with lettered ids and lines that don't fit: rows loaded and set aside."""
+    folder = f"{run_dir(spark)}/messy-{uuid.uuid4().hex[:12]}"
+    fixture.write_messy_csv(fixture.load(spark, sf_dir), folder)
+    return qa.quarantine_report(RetailTables.from_csv(spark, folder, key_type=T.StringType(), set_bad_rows_aside=True))
+
+
+def _published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer segments published by name, replaced by those of repeat buyers while another
+    session reads them: what the first and a later reader of that session see."""
+    name = f"segments_{uuid.uuid4().hex[:12]}"
+    seg = _seg(RetailTables.from_test_tables(spark, sf_dir))
+    other = spark.newSession()
+    readers = []
+    for reader, rows in (("before", seg), ("after", seg.where("frequency > 1"))):
+        published.publish(rows, name, bucket_by=("customer_id",), buckets=2)
+        readers.append((reader, published.read(other, name)))
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("customers"), F.sum("frequency").alias("orders"),
+               F.sum("monetary").cast("decimal(38,2)").alias("monetary"))
+        .select(F.lit(reader).alias("reader"), "customers", "orders", "monetary") for reader, df in readers])
+
+
+def _collated(query: TableQuery, label: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over labels in mixed case under a collation that ignores it."""
+    def run_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = RetailTables.from_dict(fixture.mixed_case(fixture.load(spark, sf_dir))).collated("UTF8_LCASE")
+        return query(t).withColumn(label, F.initcap(label))
+    return run_collated
+
+
+def _sixth_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide over-index where a sixth category is sold."""
+    t = RetailTables.from_dict(fixture.sixth_category(fixture.load(spark, sf_dir)))
+    return ca.over_index_wide(t, _seg(t))
+
+
 def _flag_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose campaign flag and campaign id contradict each other, per kind."""
     found = qa.implication_violations(fixture.campaign_orders(spark, sf_dir), "campaign_flag", "campaign_id")
@@ -238,8 +307,11 @@ def _flag_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries that also run over the fixture with NULL customers, repeated orders and few products.
 UNTIDY = {
     "category_mix": ca.category_mix,
-    "top_products": lambda t: ca.top_products(t),
-    "product_segment_share": lambda t: ca.product_segment_share(t, _seg(t), THRESHOLDS.min_product_buyers),
+    "top_products": _top_products,
+    "product_segment_revenue": _product_segment_revenue,
+    "product_segment_share": _product_segment_share,
+    "product_share_mean": _product_share_mean,
+    "validation_report": qa.validation_report,
     "repeat_rate": ca.repeat_rate,
     "purchase_gaps": ca.purchase_gaps,
     "gap_mid": lambda t: ca.percent_rank_mid(ca.gap_histogram(t), "category", "days_since_prev"),
@@ -261,6 +333,16 @@ FIXTURE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_tables": _stored_tables,
     # S5
     "emitted_tables": _emitted_tables,
+    # S1, lines that do not fit
+    "csv_quarantine": _csv_quarantine,
+    # S4, by name
+    "published_tables": _published_tables,
+    # K8 with a category that no list names
+    "open_category_over_index_wide": _sixth_category,
+    # equality filters under the collation of the analysis' database
+    "collated_status_mix": _collated(qa.status_mix, "item_status"),
+    "collated_category_mix": _collated(ca.category_mix, "category"),
+    "collated_repeat_rate": _collated(ca.repeat_rate, "category"),
     # X6
     "flag_violations": _flag_violations,
     **{f"untidy_{name}": _untidy(query) for name, query in UNTIDY.items()},
@@ -272,7 +354,7 @@ def run(name: str, spark: SparkSession, sf_dir: str, tables: RetailTables | None
     if name in FIXTURE_QUERIES:
         return portable(FIXTURE_QUERIES[name](spark, sf_dir))
     t = tables or RetailTables.from_test_tables(spark, sf_dir)
-    return portable(TABLE_QUERIES[name](t))
+    return portable((TABLE_QUERIES | TEST_QUERIES)[name](t))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,5 +24,7 @@ def portable(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.FloatType):
             c = c.cast("double")
+        elif isinstance(f.dataType, T.StringType) and f.dataType != T.StringType():
+            c = F.collate(c, "UTF8_BINARY")          # a collation is a rule of the analysis, not of its results
         cols.append(c.alias(f.name))
     return df.select(*cols)

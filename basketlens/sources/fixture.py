@@ -6,7 +6,7 @@ mapping as SQL CTEs, so both engines see identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import money_sum
@@ -28,6 +28,10 @@ NULL_CUSTOMER_EVERY = 9           # untidy tables: orders without a customer
 REPEATED_ORDER_EVERY = 8          # untidy tables: order rows that occur twice
 DENSE_PRODUCTS = 24               # untidy tables: items go to so many products
 REDUCED_PART_MAX_SIZE = 25        # parent with p_size <= 25 leaves orphan items
+GARDEN_EVERY = 7                  # open categories: products of a sixth category
+BAD_ITEM_EVERY = 40               # messy CSV: items whose amount is no number
+BAD_ORDER_EVERY = 60              # messy CSV: orders with an impossible date
+BAD_CUSTOMER_EVERY = 25           # messy CSV: customers without an id
 
 
 # Schemas of the driver tables that the mapping reads (only the columns it uses).  Giving
@@ -129,6 +133,39 @@ def untidy(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"orders": orders_.unionByName(again), "order_items": items}
 
 
+def sixth_category(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with a category that no fixed list knows."""
+    category = F.when(F.col("product_id") % GARDEN_EVERY == 0, "Garden").otherwise(F.col("category"))
+    return tables | {"products": tables["products"].withColumn("category", category)}
+
+
+def mixed_case(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with statuses and categories in lower, upper and mixed case."""
+    def cased(label: str, key: str) -> Column:
+        return F.when(F.col(key) % 3 == 0, F.upper(label)).when(F.col(key) % 3 == 1, F.lower(label)).otherwise(F.col(label))
+
+    return tables | {"order_items": tables["order_items"].withColumn("item_status", cased("item_status", "order_item_id")),
+                     "products": tables["products"].withColumn("category", cased("category", "product_id"))}
+
+
+def write_messy_csv(tables: dict[str, DataFrame], folder: str) -> None:
+    """The tables as CSV exports with lettered ids and lines that don't fit their schema."""
+    def lettered(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.concat(F.upper(F.substring(F.lit(c), 1, 1)), F.lit("-"), F.col(c).cast("string"))
+                               for c in df.columns if c.endswith("_id")})
+
+    def broken(df: DataFrame, key: str, every: int, column: str, value: str | None) -> DataFrame:
+        return lettered(df.withColumn("_bad", F.col(key) % every == 0)) \
+            .withColumn(column, F.when(~F.col("_bad"), F.col(column).cast("string")).otherwise(F.lit(value))).drop("_bad")
+
+    out = {name: lettered(df) for name, df in tables.items()}
+    out["order_items"] = broken(tables["order_items"], "order_item_id", BAD_ITEM_EVERY, "line_total", "n/a")
+    out["orders"] = broken(tables["orders"], "order_id", BAD_ORDER_EVERY, "order_date", "someday")
+    out["customers"] = broken(tables["customers"], "customer_id", BAD_CUSTOMER_EVERY, "customer_id", None)
+    for name, df in out.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five retail tables derived from the driver's Parquet files."""
     lineitem = _read(spark, sf_dir, "lineitem")

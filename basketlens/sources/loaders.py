@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +38,28 @@ def as_money(df: DataFrame, name: str) -> DataFrame:
                            if f.dataType == MONEY and f.name in df.columns and df.schema[f.name].dataType != MONEY})
 
 
+#: The column that holds a CSV line which did not fit its schema.
+BAD_RECORD = "_bad_record"
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
+    reader = spark.read.schema(schema).option("header", True).option("mode", mode)
+    if mode == "PERMISSIVE":
+        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
+    return reader.csv(path)
+
+
+def _csv_path(directory: str, files: dict[str, str] | None, name: str) -> str:
+    return f"{directory.rstrip('/')}/{(files or {}).get(name, f'{name}.csv')}"
+
+
+def _dates_as_text(schema: T.StructType) -> T.StructType:
+    """Dates are read as text and cast, so a time part ("2024-01-31 18:02:11") is dropped the
+    same way DATEDIFF ignores it."""
+    return T.StructType([T.StructField(f.name, T.StringType(), f.nullable) if isinstance(f.dataType, T.DateType) else f
+                         for f in schema.fields])
+
+
 def read_csv_tables(spark: SparkSession, directory: str,
                     files: dict[str, str] | None = None,
                     key_type: T.DataType | None = None) -> dict[str, DataFrame]:
@@ -44,24 +69,45 @@ def read_csv_tables(spark: SparkSession, directory: str,
     ``StringType()`` for exports with other ids).
 
     ``files`` maps table name to file name; by default ``<table>.csv``.  Dates are
-    parsed by the schema (``yyyy-MM-dd`` with an optional time part is accepted).
+    parsed by the schema (``yyyy-MM-dd`` with an optional time part is accepted).  A line
+    that does not fit stops the load; see :func:`read_csv_checked` for the other way.
     """
-    files = files or {name: f"{name}.csv" for name in TABLE_SCHEMAS}
     out = {}
     for name in TABLE_SCHEMAS:
         schema = schema_of(name, key_type)
-        # dates are read as text and cast, so a time part ("2024-01-31 18:02:11") is
-        # dropped the same way DATEDIFF ignores it; a malformed value raises (ANSI)
-        as_text = T.StructType([T.StructField(f.name, T.StringType(), f.nullable)
-                                if isinstance(f.dataType, T.DateType) else f for f in schema.fields])
-        raw = (spark.read.schema(as_text)
-               .option("header", True)
-               .option("mode", "FAILFAST")
-               .csv(f"{directory.rstrip('/')}/{files[name]}"))
+        raw = _csv(spark, _csv_path(directory, files, name), _dates_as_text(schema), "FAILFAST")
         out[name] = raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     return out
 
 
+def read_csv_checked(spark: SparkSession, directory: str, files: dict[str, str] | None = None,
+                     key_type: T.DataType | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The five CSV exports without the lines that do not fit, and those lines:
+    ``(tables, quarantine)``, the latter ``(table_name, record)``.
+
+    A line is set aside when it has too few or too many fields, a value that its column's
+    type can't hold, an impossible date, or no value in a column that must have one.
+    Lines are judged whole, whichever columns a query reads.  Both results are lazy and
+    split the lines between them: none is in both, none is lost.
+    """
+    good, bad = {}, []
+    for name in TABLE_SCHEMAS:
+        schema = schema_of(name, key_type)
+        # read as text: the reader converts, and so checks, only the columns that a query reads
+        text = T.StructType([*[T.StructField(f.name, T.StringType(), True) for f in schema.fields],
+                             T.StructField(BAD_RECORD, T.StringType(), True)])
+        raw = _csv(spark, _csv_path(directory, files, name), text, "PERMISSIVE")
+        wrong = F.col(BAD_RECORD).isNotNull()            # too few or too many fields
+        for f in schema.fields:
+            wrong = wrong | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+            if not f.nullable:
+                wrong = wrong | F.col(f.name).isNull()
+        good[name] = raw.where(~wrong).select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        line = F.coalesce(F.col(BAD_RECORD), F.to_csv(F.struct(*[f.name for f in schema.fields])))
+        bad.append(raw.where(wrong).select(F.lit(name).alias("table_name"), line.alias("record")))
+    return good, reduce(DataFrame.unionByName, bad)
+
+
 def read_catalog_tables(spark: SparkSession, database: str | None = None,
                         names: dict[str, str] | None = None,
                         key_type: T.DataType | None = None) -> dict[str, DataFrame]:
@@ -157,6 +203,57 @@ def materialize(df: DataFrame, name: str, *, path: str | None = None,
     return spark.table(table)
 
 
+#: Bytes of a bucket: wanted at scale, and least while there are more cores than buckets.
+BUCKET_BYTES, LEAST_BUCKET_BYTES = 128 << 20, 1 << 20
+#: Files whose sizes are asked one by one; of more, their folders'.
+FILES_ASKED = 1000
+
+
+def measured_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads; None if it reads none (or they can't be found).
+
+    Folders with other files too count whole where there are more than ``FILES_ASKED`` files."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return None
+    many = len(files) > FILES_ASKED
+    total, conf = 0, spark._jsc.hadoopConfiguration()
+    for name in {f.rsplit("/", 1)[0] for f in files} if many else set(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        total += fs.getContentSummary(path).getLength() if many else fs.getFileStatus(path).getLen()
+    return total
+
+
+def bucket_count(n_bytes: int | None, cores: int, default: int) -> int:
+    """Buckets for so many bytes: ``BUCKET_BYTES`` each; small data are spread over the cores
+    as long as buckets have ``LEAST_BUCKET_BYTES``.  A power of two, so that counts divide
+    each other; ``default`` if the size is not known."""
+    if n_bytes is None:
+        return default
+    wanted = max(n_bytes / BUCKET_BYTES, min(cores, n_bytes / LEAST_BUCKET_BYTES), 1)
+    return 1 << math.ceil(math.log2(wanted))
+
+
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df``, which ends in ``orderBy``, with each row's place in that order, from 1.
+
+    A sorted frame's partitions follow each other, so a row's place is the size of the
+    partitions before its own and its place inside.  Rows are written once in between: their
+    order is settled by the time the sizes are counted.  The sizes, one row for each
+    partition, are the only thing that meets in one task.
+    """
+    row = "_row_id"
+    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright(F.col(row), 33), F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
+    starts = sizes.select(F.col("_part"), before.alias("_before"))
+    return kept.join(F.broadcast(starts), part == F.col("_part")) \
+        .select((F.col("_before") + inside + 1).cast("bigint").alias(name), *df.columns)
+
+
 def run_dir(spark: SparkSession) -> str:
     """This run's own folder in the shared folder."""
     return f"{shared_dir(spark)}/basketlens/{RUN}"

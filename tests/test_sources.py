@@ -73,6 +73,11 @@ def test_cli_writes_every_result(spark):
     assert set(timings) == set(names)
     for n in names:
         back = spark.read.parquet(os.path.join(out, n))
+        if n in catalog.ORDERED:                 # written results carry their order
+            back = back.orderBy("position")
+            assert [r.position for r in back.collect()] == list(range(1, back.count() + 1))
+            back = back.drop("position")
+            assert list(map(tuple, back.collect())) == list(map(tuple, catalog.run(n, spark, "/root/testdata/sf0.001").collect()))
         assert sorted(map(tuple, back.collect()), key=repr) == \
             sorted(map(tuple, catalog.run(n, spark, "/root/testdata/sf0.001").collect()), key=repr)
 
@@ -148,3 +153,150 @@ def test_stored_sources_match_the_mapping(spark, small_tables):
         back = getattr(stored, name)
         assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in df.schema]
         assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+
+
+# ---------------------------------------------------------------- lines that do not fit
+CSV = {
+    "customers": ["customer_id,registration_date", "C-1,2024-01-31 10:00:00", ",2024-01-01", "C-2,2024-02-30", "C-3,"],
+    "orders": ["order_id,customer_id,order_date,subtotal_amount,total_amount", "O-1,C-1,2024-02-01,5,5",
+               "O-2,C-1,2024-02-01,five,5", "O-3,C-1,2024-02-01", "O-4,C-1,2024-02-01,5,5,6"],
+    "order_items": ["order_item_id,order_id,product_id,item_status,line_total", "I-1,O-1,P,Completed,5"],
+    "products": ["product_id,product_name,category,seller_id", 'P,"a, b",Home,S'],
+    "sellers": ["seller_id,seller_type,fbs_standard", "S,Company,FBS"],
+}
+
+
+@pytest.fixture()
+def messy_folder():
+    out = tempfile.mkdtemp(prefix="basketlens-csv4-")
+    for name, lines in CSV.items():
+        with open(os.path.join(out, f"{name}.csv"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    return out
+
+
+def test_bad_lines_are_set_aside(spark, messy_folder):
+    from pyspark.sql import types as T
+
+    from basketlens.operators import quality as qa
+    t = RetailTables.from_csv(spark, messy_folder, key_type=T.StringType(), set_bad_rows_aside=True)
+    assert sorted((r.customer_id, str(r.registration_date)) for r in t.customers.collect()) == [("C-1", "2024-01-31"), ("C-3", "None")]
+    assert [r.order_id for r in t.orders.select("order_id").collect()] == ["O-1"]        # judged whole
+    assert t.products.first().product_name == "a, b"
+    aside = sorted(map(tuple, t.quarantine.collect()))
+    assert [(n, r.split(",")[0].strip('"')) for n, r in aside] == [
+        ("customers", ""), ("customers", "C-2"), ("orders", "O-2"), ("orders", "O-3"), ("orders", "O-4")]
+    got = {r.table_name: (r.n_rows, r.n_set_aside, r.passed) for r in qa.quarantine_report(t).collect()}
+    assert got == {"customers": (2, 2, False), "orders": (1, 3, False), "order_items": (1, 0, True),
+                   "products": (1, 0, True), "sellers": (1, 0, True)}
+
+
+def test_bad_lines_stop_the_load_otherwise(spark, messy_folder):
+    from pyspark.sql import types as T
+    t = RetailTables.from_csv(spark, messy_folder, key_type=T.StringType())
+    with pytest.raises(Exception, match="Malformed records"):
+        t.orders.collect()
+
+
+# ---------------------------------------------------------------- published by name
+def test_published_versions(spark):
+    from basketlens.sources import published
+    name = f"pub_{os.getpid()}"
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "x long")
+    first = published.publish(frame(1, 2), name, bucket_by=("x",), buckets=2)
+    other = spark.newSession()
+    before = published.read(other, name)
+    published.publish(frame(3), name)
+    assert sorted(r.x for r in before.collect()) == [1, 2]            # goes on with its version
+    assert [r.x for r in published.read(other, name).collect()] == [3]
+    third = published.publish(frame(4, 5, 6), name)
+    assert published.retire(spark, name, keep=2) == [first]
+    assert len(published.versions(spark, name)) == 2 and published.versions(spark, name)[-1] == third
+    published.roll_back(spark, name, published.versions(spark, name)[0])
+    assert [r.x for r in published.read(other, name).collect()] == [3]
+    with pytest.raises(ValueError):
+        published.roll_back(spark, name, first)
+    published.unpublish(spark, name)
+    assert published.versions(spark, name) == [] and not spark.catalog.tableExists(name)
+
+
+def test_analysis_tables_are_published(spark, small_tables):
+    from basketlens.operators import customers as cu
+    from basketlens.sources import published
+    t = RetailTables.from_dict(small_tables.as_dict())
+    names = t.publish(prefix=f"p{os.getpid()}_")
+    assert set(names) == {"customer_rfm_base", "customer_segments", "seller_metrics"}
+    back = spark.newSession().table(f"p{os.getpid()}_customer_segments")
+    assert back.exceptAll(cu.customer_segments(t)).count() == 0
+    joined = spark.table(f"p{os.getpid()}_customer_rfm_base").join(
+        spark.table(f"p{os.getpid()}_customer_segments").select("customer_id", "customer_segment"), "customer_id").hint("merge")
+    assert joined.count() == back.count()
+    for name in names:
+        published.unpublish(spark, f"p{os.getpid()}_{name}")
+
+
+# ---------------------------------------------------------------- bucket planning
+def test_bucket_counts():
+    from basketlens.sources.loaders import BUCKET_BYTES, bucket_count
+    assert bucket_count(None, 8, 200) == 200
+    assert bucket_count(0, 8, 200) == bucket_count(900_000, 8, 200) == 1
+    assert bucket_count(5 << 20, 8, 200) == 8 and bucket_count(300 << 20, 8, 200) == 8
+    assert bucket_count(100 * BUCKET_BYTES, 8, 200) == 128
+
+
+def test_buckets_follow_from_bytes_and_joins_need_no_shuffle(spark):
+    from basketlens.operators import categories as ca
+    from basketlens.operators import customers as cu
+    from basketlens.sources.loaders import measured_bytes
+    t = RetailTables.from_test_tables(spark, "/root/testdata/sf0.01")
+    assert measured_bytes(t.customers) == os.path.getsize("/root/testdata/sf0.01/customer.parquet")
+    assert measured_bytes(spark.range(3)) is None
+    stored = t.stored()
+    stored.persist_derived = True
+    assert stored._buckets == {"order_id": 1, "customer_id": 1} and len(stored.order_items.inputFiles()) == 1
+    seg, cc = cu.customer_segments(stored), ca.customer_category(stored)
+    assert len(seg.inputFiles()) == 1
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cc.join(seg.select("customer_id", "customer_segment"), "customer_id")._jdf.queryExecution().executedPlan().toString()
+        items = stored.order_items.join(stored.orders, "order_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert "Exchange" not in plan and "Exchange" not in items
+
+
+def test_positions_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from basketlens.sources.loaders import with_position
+    df = spark.range(5000).select(F.xxhash64("id").alias("v")).repartition(13).orderBy("v")
+    got = [(r.position, r.v) for r in with_position(df).orderBy("position").collect()]
+    assert [p for p, _ in got] == list(range(1, 5001)) and [v for _, v in got] == sorted(v for _, v in got)
+
+
+def test_collated_labels(spark, small_tables):
+    from basketlens.operators import customers as cu
+    from basketlens.operators import sellers as se
+    from basketlens.sources import fixture
+    t = RetailTables.from_dict(fixture.mixed_case(small_tables.as_dict())).collated("UTF8_LCASE")
+    want, got = cu.rfm_base(small_tables).collect(), cu.rfm_base(t).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 10
+    plain = RetailTables.from_dict(fixture.mixed_case(small_tables.as_dict()))
+    assert cu.rfm_base(plain).agg({"frequency": "sum"}).first()[0] < sum(r.frequency for r in want)
+    assert se.seller_ratios(se.seller_metrics(t)).first() == se.seller_ratios(se.seller_metrics(small_tables)).first()
+
+
+def test_test_threshold_stays_in_the_registry(spark, small_tables):
+    from basketlens.plans import catalog
+    assert catalog.TABLE_QUERIES["top_products"](small_tables).count() == 0       # no product has 100 buyers
+    assert catalog.run("top_products", spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_category_columns_are_bounded(spark, small_tables):
+    from basketlens.operators import categories as ca
+    from basketlens.operators import customers as cu
+    seg = cu.customer_segments(small_tables)
+    with pytest.raises(ValueError, match="more than 3 categories"):
+        ca.over_index_wide(small_tables, seg, most=3)
+    assert ca.over_index_wide(small_tables, seg, ["Home", "Garden"]).columns == ["customer_segment", "Home", "Garden"]
