@@ -14,17 +14,25 @@ Documents are sets of word shingles; two are linked when their Jaccard similarit
   those classes that were in a node too large at depth 1.
 * Small nodes are compared exhaustively by sketch, which names the classes that have a
   likely partner; only their sets are written, all others never leave their scan task.
+  A sketch holds the first token of the first trees and one byte of every minwise hash;
+  deeper tokens are made only for classes of nodes that are too large.
   Then each node confirms its likely pairs on the full sets, the likeliest first, and
   skips pairs that its links have joined already: a node gives at most one link less
   than it has members.  A pair that meets in several trees is confirmed in one of them,
   chosen by a hash of the pair, so the work on a large group is spread over its nodes.
+* A node that is too large at the last level is a family of near copies: its members meet
+  a few pivots and each other in parts of bounded size.  Only members that this has not
+  joined to the node's first pivot meet all the others, part by part.
+
+Rows are named by a key of id and text, never by the id alone: NULL and repeated ids
+are rows like all others.
 
 Nothing is collected on the driver but row counts; steps are cut by written tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -32,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_batches, stored
+from basketlens.llm.common import map_batches, row_key, stored, unused
 from basketlens.llm.words import slices, tokenize
 
 #: Chance that all trees part a pair at the threshold, at most.
@@ -46,10 +54,10 @@ HASHES = 256
 #: Pairs whose sketches agree in fewer places aren't confirmed.  At similarity 0.8 the mean
 #: is 204.8 with a deviation of 6.4, so this loses one borderline pair in a million.
 AGREE_SIGMAS = 4.75
-#: Classes compared exhaustively in one node.
-NODE_ROWS = 2000
-#: Ids are broadcast below this many bytes (their number is counted first), else joined by shuffle.
-BROADCAST_BYTES = 64 << 20
+#: Row keys are broadcast below this many bytes (their number is counted first), else joined by shuffle.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 64
+#: Classes compared exhaustively in one node, pivots of a node too large at the last level.
+NODE_ROWS, PIVOTS = 2000, 8
 
 _RNG = np.random.default_rng(20240613)
 _MULT = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,22 +111,29 @@ def levels_for(threshold: float) -> int:
     return max(fit)
 
 
-def sketches(sets: np.ndarray, offsets: np.ndarray, n_tokens: int) -> list[bytes]:
-    """Sketch of each set: the smallest hash under every function; 4 bytes of those that
-    trees branch by, then the low byte of all, for estimates."""
-    n = len(offsets) - 1
-    out = np.zeros((n, HASHES), np.uint32)
-    full = np.flatnonzero(np.diff(offsets))
+def _least_hash(sets: np.ndarray, offsets: np.ndarray, function: int) -> np.ndarray:
+    """The smallest hash of every set under a function; 0 for empty sets."""
+    out, full = np.zeros(len(offsets) - 1, np.uint32), np.flatnonzero(np.diff(offsets))
     if len(full):
-        for k in range(HASHES):
-            v = ((sets * _MULT[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
-            out[full, k] = np.minimum.reduceat(v, offsets[full])
-    tokens = np.ascontiguousarray(out[:, :n_tokens].astype(">u4")).view(np.uint8).reshape(n, 4 * n_tokens)
-    return [r.tobytes() for r in np.hstack([tokens, out.astype(np.uint8)])]
+        v = ((sets * _MULT[function] + _ADD[function]) >> np.uint64(32)).astype(np.uint32)
+        out[full] = np.minimum.reduceat(v, offsets[full])
+    return out
+
 
+def _packed_tokens(columns: list[np.ndarray]) -> list[bytes]:
+    return [r.tobytes() for r in np.stack(columns, 1).astype(">u4")]
 
-def low_bytes(sketch: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)[:, -HASHES:]
+
+def sketches(sets: np.ndarray, offsets: np.ndarray, first_trees: int, levels: int) -> tuple[list[bytes], list[bytes]]:
+    """Each set's first token in the first trees (4 bytes each), and the low byte of the
+    smallest hash under every function, for estimates."""
+    tokens, low = [], np.zeros((len(offsets) - 1, HASHES), np.uint8)
+    for k in range(HASHES):
+        least = _least_hash(sets, offsets, k)
+        low[:, k] = least.astype(np.uint8)
+        if k % levels == 0 and k // levels < first_trees:
+            tokens.append(least)
+    return _packed_tokens(tokens), [r.tobytes() for r in low]
 
 
 def least_agreement(threshold: float) -> int:
@@ -126,34 +141,41 @@ def least_agreement(threshold: float) -> int:
     return int(HASHES * threshold - AGREE_SIGMAS * np.sqrt(HASHES * threshold * (1 - threshold)))
 
 
-def _sketch(words: int, n_tokens: int):
+def _sketch(words: int, first_trees: int, levels: int):
+    names = ["row_key", "doc_id", "n_shingles", "cls", "tokens", "low"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                sets, offsets = shingle_sets(batch.column(1), words)
+            for batch in slices(whole, 2):
+                sets, offsets = shingle_sets(batch.column(2), words)
                 keys = [blake2b(sets[a:b].tobytes(), digest_size=16).digest()
                         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                tokens, low = sketches(sets, offsets, first_trees, levels)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(keys, pa.binary()),
-                     pa.array(sketches(sets, offsets, n_tokens), pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+                    [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(keys, pa.binary()),
+                     pa.array(tokens, pa.binary()), pa.array(low, pa.binary())], names)
+    return run
+
+
+def _deep_tokens(words: int, n_tokens: int):
+    """``(cls, tokens)``: a class's tokens for all trees and levels, 4 bytes each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets, offsets = shingle_sets(batch.column(1), words)
+                tokens = _packed_tokens([_least_hash(sets, offsets, k) for k in range(n_tokens)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["cls", "tokens"])
     return run
 
 
 def _sets(words: int):
-    """``(cls, items)``: a class's sorted shingle hashes, from any text that has them."""
+    """``(cls, items)``: a class's sorted shingle hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets, offsets = shingle_sets(batch.column(1), words)
-                keys, items = [], []
-                for want, a, b in zip(batch.column(2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(),
-                                      strict=True):
-                    raw = sets[a:b].tobytes()
-                    if blake2b(raw, digest_size=16).digest() == want:
-                        keys.append(want)
-                        items.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.binary())],
-                                                 ["cls", "items"])
+                items = [sets[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["cls", "items"])
     return run
 
 
@@ -180,7 +202,7 @@ _PAIR = "a binary, b binary"
 def _likely(group: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a node's rows that may be linked and are this node's to confirm, with their
     agreement.  ``leaves`` holds each class's small node in every tree."""
-    low = low_bytes(group.column("sketch").to_pylist())
+    low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(group.num_rows, HASHES)
     leaves = np.frombuffer(b"".join(group.column("leaves").to_pylist()), ">i8").reshape(len(low), -1)
     mark = np.frombuffer(b"".join(c[:8] for c in group.column("cls").to_pylist()), np.uint64)
     tree = group.column("tree")[0].as_py()
@@ -250,51 +272,93 @@ def _linked(least: int, threshold: float):
     return run
 
 
-def _nodes(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """The trees' nodes that are small enough to compare, ``(node, tree, cls, whole)``, and
+def _crowds(classes: DataFrame, deep_of: Callable[[DataFrame], DataFrame], threshold: float
+            ) -> tuple[DataFrame, DataFrame | None, int]:
+    """The trees' nodes that are small enough to compare, ``(node, tree, cls, whole)``; the
+    rows ``(node, tree, cls, rows)`` of those that are too large at the last level, if any;
     the number of trees.
 
     A node of more than ``NODE_ROWS`` classes is branched by the next minwise token.
-    Nodes that are still too large at the last level are cut into parts, and every pair
-    of parts becomes a small node (``whole`` is false): exact, in bounded tasks.
+    ``deep_of`` gives ``(cls, tokens)`` for all trees and levels of some classes.
     """
     levels = levels_for(threshold)
     first, most = trees_for(threshold, 1), trees_for(threshold, levels)
-    small = []
-
-    def grow(rows: DataFrame, begin: int, end: int) -> DataFrame | None:
-        """Adds the small nodes of some trees; returns the rows that were in large ones, if any."""
-        token = [F.substring("sketch", 4 * t * levels + 1, 4) for t in range(begin, end)]
-        level = rows.select("cls", F.posexplode(F.array(*token)).alias("k", "token")) \
-            .withColumn("tree", F.col("k") + F.lit(begin)) \
-            .select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
-        crowded = None
-        for depth in range(1, levels + 1):
-            sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-            now = stored(level.join(sizes, "node"), f"near_nodes_{depth}")
-            small.append(now.where(F.col("rows") <= NODE_ROWS)
-                         .select("node", "tree", "cls", F.lit(True).alias("whole")))
-            large = now.where(F.col("rows") > NODE_ROWS)
-            if large.isEmpty():
-                break
-            crowded = crowded or large
-            if depth < levels:
-                at = 4 * (F.col("tree") * levels + depth) + 1
-                level = large.join(rows, "cls").select(
-                    "cls", "tree", F.xxhash64("node", F.substr("sketch", at, F.lit(4))).alias("node"))
-            else:
-                parts = F.ceil(F.col("rows") / (NODE_ROWS // 2))
-                own = F.pmod(F.xxhash64("cls"), parts)
-                cut = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-                small.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-                                        .alias("node"), "tree", "cls", F.lit(False).alias("whole")))
-        return crowded
-
-    crowded = grow(classes, 0, first)
-    if crowded is None or most == first:
-        return reduce(DataFrame.unionByName, small), first
-    grow(stored(classes.join(crowded.select("cls").distinct(), "cls"), "near_crowded"), first, most)
-    return reduce(DataFrame.unionByName, small), most
+    small: list[DataFrame] = []
+    late: list[DataFrame] = []
+
+    def sized(level: DataFrame, depth: int) -> DataFrame | None:
+        """Adds a level's small nodes; returns the rows of its large ones, if any."""
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        now = stored(level.join(sizes, "node"), f"near_nodes_{depth}")
+        small.append(now.where(F.col("rows") <= NODE_ROWS).select("node", "tree", "cls", F.lit(True).alias("whole")))
+        large = now.where(F.col("rows") > NODE_ROWS)
+        return None if large.isEmpty() else large
+
+    def branch(large: DataFrame | None, deep: DataFrame, depth: int) -> None:
+        while large is not None and depth < levels:
+            at = 4 * (F.col("tree") * levels + depth) + 1
+            level = large.join(deep, "cls").select(
+                "cls", "tree", F.xxhash64("node", F.substr("tokens", at, F.lit(4))).alias("node"))
+            depth += 1
+            large = sized(level, depth)
+        if large is not None:
+            late.append(large.select("node", "tree", "cls", "rows"))
+
+    def planted(rows: DataFrame, tokens: list, begin: int) -> DataFrame:
+        return rows.select("cls", F.posexplode(F.array(*tokens)).alias("k", "token")) \
+            .withColumn("tree", F.col("k") + F.lit(begin)).select("cls", "tree", F.xxhash64("tree", "token").alias("node"))
+
+    crowded = sized(planted(classes, [F.substring("tokens", 4 * t + 1, 4) for t in range(first)], 0), 1)
+    if crowded is not None and levels > 1:
+        deep = stored(deep_of(crowded.select("cls").distinct()), "near_deep")
+        branch(crowded, deep, 1)
+        more = [F.substring("tokens", 4 * t * levels + 1, 4) for t in range(first, most)]
+        if more:
+            branch(sized(planted(deep, more, first), 1), deep, 1)
+    elif crowded is not None:
+        late.append(crowded.select("node", "tree", "cls", "rows"))
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, late) if late else None, \
+        most if crowded is not None else first
+
+
+def _part(rows: str = "rows") -> Column:
+    """The part of a large node that a class falls into, one of :func:`_parts`."""
+    return F.pmod(F.xxhash64("cls"), _parts(rows))
+
+
+def _parts(rows: str = "rows") -> Column:
+    return F.ceil(F.col(rows) / (NODE_ROWS // 2))
+
+
+def _pivoted(late: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes as nodes of bounded size: each part of the members with the node's pivots.
+    And the first pivot of every node, ``(node, pivot)``."""
+    pick = late.groupBy("node", "tree", "rows", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(PIVOTS)).alias("pick")) \
+        .agg(F.min("cls").alias("cls"))
+    first = pick.groupBy("node").agg(F.min("cls").alias("pivot"))
+    members = late.select("node", "tree", "cls", _part().alias("part")).unionByName(
+        pick.select("node", "tree", "cls", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts() - 1)).alias("part")))
+    nodes = members.select(F.xxhash64("node", F.lit("pivots"), "part").alias("node"), "tree", "cls",
+                           F.lit(False).alias("whole")).distinct()
+    return nodes, first
+
+
+def _rest(late: DataFrame, first: DataFrame, reached: DataFrame) -> DataFrame:
+    """Members that are not joined to their node's first pivot, against all other members."""
+    label = reached.select(F.col("node").alias("known"), "label")
+    of_pivot = first.join(label, F.col("pivot") == F.col("known"), "left").select("node", F.col("label").alias("pivot_label"))
+    told = late.join(label, F.col("cls") == F.col("known"), "left").join(of_pivot, "node") \
+        .select("node", "tree", "cls", "rows", F.coalesce(F.col("label") != F.col("pivot_label"), F.lit(True)).alias("apart"))
+    apart = told.where("apart")
+    lone = apart.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    # apart members in parts of their own, each beside every part of the whole node
+    left = apart.join(lone, "node").select("node", "tree", "cls", "rows", _part("lone").alias("own")) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts() - 1)))
+    right = told.join(lone, "node").select("node", "tree", "cls", _part().alias("part"), _parts("lone").alias("lone_parts")) \
+        .withColumn("own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lone_parts") - 1)))
+    both = left.select("node", "tree", "cls", "own", "part").unionByName(right.select("node", "tree", "cls", "own", "part"))
+    return both.select(F.xxhash64("node", F.lit("rest"), "own", "part").alias("node"), "tree", "cls",
+                       F.lit(False).alias("whole")).distinct()
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -322,6 +386,67 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
+class _Join:
+    """The steps of one similarity join; ``rows`` and ``classes`` are written tables."""
+
+    def __init__(self, docs: DataFrame, words: int, threshold: float):
+        self.words, self.threshold, self.least = words, threshold, least_agreement(threshold)
+        levels = levels_for(threshold)
+        self.n_tokens = trees_for(threshold, levels) * levels
+        self.texts = docs.select(row_key("doc_id", "text").alias("row_key"), "doc_id", "text")
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        self.rows = stored(map_batches(
+            self.texts, _sketch(words, trees_for(threshold, 1), levels),
+            f"row_key binary, doc_id {id_type}, n_shingles long, cls binary, tokens binary, low binary"), "near_sketches")
+        self.classes = stored(self.rows.where("n_shingles > 0").groupBy("cls").agg(
+            F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("tokens").alias("tokens"),
+            F.first("low").alias("low")), "near_classes")
+
+    def texts_of(self, classes: DataFrame) -> DataFrame:
+        """``(cls, text)`` of one row of each class (and its equal copies).  Few classes are
+        broadcast, by their counted number, so that the texts of all others stay where they are."""
+        wanted = stored(classes.join(self.classes.select("cls", "row_key"), "cls").select("cls", "row_key"), "near_wanted")
+        if wanted.count() * KEY_BYTES <= BROADCAST_BYTES:
+            wanted = F.broadcast(wanted)
+        return self.texts.join(wanted, "row_key").select("cls", "text")
+
+    def deep(self, classes: DataFrame) -> DataFrame:
+        return map_batches(self.texts_of(classes), _deep_tokens(self.words, self.n_tokens), "cls binary, tokens binary") \
+            .groupBy("cls").agg(F.first("tokens").alias("tokens"))
+
+    def compare(self, nodes: DataFrame, n_trees: int, step: str) -> DataFrame:
+        """Confirmed links of the pairs that meet in some nodes, stored."""
+        # a class's small node in each tree, 8 bytes a tree: tells where a pair meets
+        own = [F.coalesce(F.max(F.when((F.col("tree") == k) & F.col("whole"), F.col("node"))), F.lit(0)) for k in range(n_trees)]
+        leaves = nodes.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in own]).alias("leaves"))
+        marked = self.classes.select("cls", "low").join(leaves, "cls")
+        members = nodes.drop("whole").join(marked, "cls")
+        roles = stored(map_batches(_by_node(members.select("node", "tree", "cls", "low", "leaves")), _roles(self.least),
+                                   "node long, tree int, cls binary"), f"near_roles_{step}")
+        needed = stored(roles.select("cls").distinct().join(marked, "cls"), f"near_needed_{step}")
+        sets = stored(map_batches(self.texts_of(needed.select("cls")), _sets(self.words), "cls binary, items binary")
+                      .groupBy("cls").agg(F.first("items").alias("items")), f"near_sets_{step}")
+        ready = roles.join(needed.join(sets, "cls"), "cls").select("node", "tree", "cls", "low", "leaves", "items")
+        return stored(map_batches(_by_node(ready), _linked(self.least, self.threshold), _PAIR), f"near_links_{step}")
+
+    def components(self) -> DataFrame:
+        """``(cls, label, component_id)`` of every class that has words."""
+        small, late, n_trees = _crowds(self.classes.select("cls", "tokens"), self.deep, self.threshold)
+        if late is None:
+            reached = components(self.compare(small, n_trees, "all"))
+        else:
+            pivoted, first = _pivoted(late)
+            links = self.compare(small.unionByName(pivoted), n_trees, "all")
+            rest = stored(_rest(late, first, components(links)), "near_rest")
+            if not rest.isEmpty():
+                links = links.unionByName(self.compare(rest, n_trees, "rest"))
+            reached = components(links)
+        grouped = self.classes.join(reached, self.classes["cls"] == reached["node"], "left") \
+            .select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
+        ids = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        return grouped.join(ids, "label").select("cls", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -334,54 +459,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8)
     unless all of its component is NULL, and such rows are not kept.  Other columns
     are not read.  Shingles are compared by 64-bit hashes.
     """
-    least = least_agreement(threshold)
-    texts = docs.select("doc_id", "text")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    n_tokens = trees_for(threshold, levels_for(threshold)) * levels_for(threshold)
-    rows = stored(map_batches(texts, _sketch(words, n_tokens), f"doc_id {id_type}, n_shingles long, cls binary, sketch binary"),
-                  "near_sketches")
-    classes = stored(rows.where("n_shingles > 0").groupBy("cls")
-                     .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "near_classes")
-    nodes, n_trees = _nodes(classes.select("cls", "sketch"), threshold)
-    # a class's small node in each tree, 8 bytes a tree: tells where a pair meets
-    own = [F.coalesce(F.max(F.when((F.col("tree") == k) & F.col("whole"), F.col("node"))), F.lit(0)) for k in range(n_trees)]
-    leaves = nodes.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in own]).alias("leaves"))
-    members = nodes.drop("whole").join(classes.join(leaves, "cls").select("cls", "sketch", "leaves"), "cls")
-    roles = stored(map_batches(_by_node(members.select("node", "tree", "cls", "sketch", "leaves")), _roles(least),
-                               "node long, tree int, cls binary"), "near_roles")
-
-    needed = stored(roles.select("cls").distinct().join(classes.join(leaves, "cls"), "cls")
-                    .select("cls", F.col("first_id").alias("doc_id"), "sketch", "leaves"), "near_needed")
-    wanted = needed.select("cls", "doc_id")
-    if needed.count() * 64 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    # a class may be named by several rows of one id: one of them has its set
-    with_text = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])) \
-        .select(texts["doc_id"], "text", "cls")
-    sets = stored(map_batches(with_text, _sets(words), "cls binary, items binary")
-                  .groupBy("cls").agg(F.first("items").alias("items")), "near_sets")
-    ready = roles.join(needed.select("cls", "sketch", "leaves").join(sets, "cls"), "cls") \
-        .select("node", "tree", "cls", "sketch", "leaves", "items")
-    links = stored(map_batches(_by_node(ready), _linked(least, threshold), _PAIR), "near_links")
-
-    reached = components(links)
-    grouped = classes.join(reached, classes["cls"] == reached["node"], "left") \
-        .select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
-    ids = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = grouped.join(ids, "label").select("cls", "component_id")
+    join = _Join(docs, words, threshold)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left") \
+    return join.rows.select("doc_id", "n_shingles", "cls").join(join.components(), "cls", "left") \
         .select("doc_id", "n_shingles", own.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicate(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id, all columns.
+    """One row of each group of near-duplicates, all columns: that of the smallest id (NULL
+    ids last), of equal ids that with the smallest key of id and text.
 
-    Documents without words, and those with a NULL id, stay: nothing names their group.
-    Equal rows of one id and text are one document.
+    Rows without words are near nothing and stay.  Equal rows (id and text) are one document.
     """
-    kept = near_duplicates(docs, words=words, threshold=threshold).where("kept").select("doc_id").distinct()
-    stays = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi") \
-        .withColumn("near_text", F.xxhash64("text")).dropDuplicates(["doc_id", "near_text"]).drop("near_text")
-    return stays.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    join = _Join(docs, words, threshold)
+    grouped = join.rows.join(join.components().select("cls", "label"), "cls", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row_key"))
+    chosen = grouped.where("n_shingles > 0").groupBy("label").agg(F.min(order)["row_key"].alias("row_key")).select("row_key") \
+        .unionByName(grouped.where("n_shingles = 0").select("row_key").distinct())
+    key = unused("near_key", docs.columns)
+    return docs.withColumn(key, row_key("doc_id", "text")).join(chosen.withColumnRenamed("row_key", key), key, "left_semi") \
+        .dropDuplicates([key]).select(*docs.columns)
