@@ -20,8 +20,10 @@ text in vector operations and bounded memory.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_batches
+from basketlens.llm.common import Memo, map_batches
 from basketlens.llm.words import Tokens, slices, tokenize
 
-#: Bounds of the training sample: documents, and characters of each (longer ones aren't drawn).
-TRAIN_DOCS = 6_000
+#: Bounds of the training sample: documents of each label, and characters of each (longer
+#: ones aren't drawn).
+TRAIN_TOXIC, TRAIN_PLAIN = 1_500, 3_500
 TRAIN_CHARS = 10_000
 #: Hashed feature weights; forms a word has.
 BUCKETS = 1 << 18
@@ -41,8 +44,6 @@ BUCKETS = 1 << 18
 #: ratio of rates (equal texts count once; the share keeps near copies from marking words).
 MIN_DOCS, MIN_SHARE, MIN_RATIO = 5, 0.02, 25.0
 STEPS = 16
-#: Word forms kept in a worker.
-MEMO_WORDS = 400_000
 EDGE = "\"'`.,;:!?()[]{}<>|*_-–—…«»„“”‘’/\\"
 
 
@@ -141,20 +142,15 @@ class Model:
     trans: np.ndarray
     start: np.ndarray
     curve: np.ndarray
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
+    memo: Memo = field(default_factory=Memo, repr=False)
 
     def logits(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         memo, weight, mask = self.memo, self.emission, BUCKETS - 1
         out = []
         for w in words:
             v = memo.get(w)
             if v is None:
-                v = memo[w] = sum([weight[f & mask] for f in forms(w)])
+                v = memo.put(w, sum([weight[f & mask] for f in forms(w)]))
             out.append(v)
         return np.array(out)
 
@@ -198,11 +194,16 @@ def marking_forms(t: Tokens, toxic: np.ndarray, flat: np.ndarray, begin: np.ndar
     return marks[number]
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model | None:
-    """Fit on labelled texts; None if a half lacks one of the two labels."""
-    halves = [[k for k in range(len(texts)) if k % 2 == h] for h in (0, 1)]
-    if any({toxic[k] for k in h} != {0, 1} for h in halves):
+def fit(texts: list[str], toxic: list[int], steps: int = STEPS, share: float | None = None) -> Model | None:
+    """Fit on labelled texts; None if a label has fewer than two texts.
+
+    ``share`` is the share of toxic documents that scores are to reckon with (that of the
+    texts if None): the sample may hold another one, as it is drawn by label.
+    """
+    by_label = [[k for k in range(len(texts)) if toxic[k] == label] for label in (0, 1)]
+    if min(map(len, by_label)) < 2:
         return None
+    halves = [sorted(k for own in by_label for k in own[h::2]) for h in (0, 1)]
     y_text = np.array([toxic[k] for k in halves[0]])
     t = tokenize(pa.array([texts[k] for k in halves[0]], pa.string()))
     flat, begin = word_forms(t.words)
@@ -236,6 +237,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model | None:
     held = tokenize(pa.array([texts[k] for k in halves[1]], pa.string()))
     model.curve = _curve(summary(held, model.tag(held), len(halves[1])),
                          np.array([toxic[k] for k in halves[1]], float))
+    if share is not None:
+        drawn = len(by_label[1][1::2]) / len(halves[1])
+        model.curve[0] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
     model.memo.clear()
     return model
 
@@ -251,14 +255,17 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *,
-          max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model | None:
-    """Fit a model on at most ``max_docs`` labelled documents of at most ``max_chars`` characters.
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, max_toxic: int = TRAIN_TOXIC,
+          max_plain: int = TRAIN_PLAIN, max_chars: int = TRAIN_CHARS) -> Model | None:
+    """Fit a model on at most ``max_toxic`` and ``max_plain`` documents of either label, of at
+    most ``max_chars`` characters.
 
     ``labels`` is ``(doc_id, toxic)``; a label that is neither 0 nor 1, or contradicts
-    another of its document, is not used.  ``learn`` limits the rows that may teach
-    (a condition on ``doc_id``).  The sample is drawn by a hash of the id, so it is the
-    same in every run.
+    another of its document, is not used, nor are equal texts with different labels.
+    ``learn`` limits the rows that may teach (a condition on ``doc_id``).  Each label's
+    documents are drawn by a hash of the id, the same in every run; however rare the toxic
+    ones are, they are in the sample, and the scores reckon with their true share.  Warns
+    and returns None if there are labels but a label has fewer than two texts.
     """
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if learn is not None:
@@ -270,13 +277,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *,
     if learn is not None:
         texts = texts.where(learn)
     # the ids are drawn first: only the sample's texts travel
-    drawn = known.join(texts.select("doc_id").distinct(), "doc_id") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    usable = known.join(texts.select("doc_id").distinct(), "doc_id")
+    counts = {int(r.toxic): r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = reduce(DataFrame.unionByName, [
+        usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        for label, most in ((1, max_toxic), (0, max_plain))])
     rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id") \
         .agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: crc32(str(r["doc_id"]).encode()))
-    distinct = {r["text"]: int(r["toxic"]) for r in rows}
-    return fit(list(distinct), list(distinct.values()))
+    told: dict[str, set[int]] = {}
+    for r in rows:
+        told.setdefault(r["text"], set()).add(int(r["toxic"]))
+    sample = [(text, min(own)) for text, own in told.items() if len(own) == 1]
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    model = fit([t for t, _ in sample], [y for _, y in sample], share=share) if 0 < share < 1 else None
+    if model is None and counts:
+        warnings.warn(f"no toxicity model: labelled documents by label {counts}", stacklevel=2)
+    return model
 
 
 SPANS = "array<struct<start:int,end:int,p:double>>"
