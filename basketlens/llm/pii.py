@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import map_batches
+from basketlens.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -57,7 +58,7 @@ _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 WORDS = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}(?:at|@){_SHUT}\s{{0,3}}|&#0*64;|&#x0*40;|&commat;)"
     rf"|(?P<dot>\s{{0,3}}{_OPEN}(?:dot|\.){_SHUT}\s{{0,3}}|&#0*46;|&#x0*2e;|&period;)"
-    rf"|(?P<worded>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
+    rf"|(?P<worded>(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]{{1,64}}\s{{1,3}}dot\s{{1,3}}){{0,3}}[A-Za-z0-9._%+-]{{1,64}}(?:\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
     rf"[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*(?:(?:\s{{1,3}}dot\s{{1,3}}|\s{{1,3}}\.\s{{1,3}})[A-Za-z0-9-]{{1,63}})+)"
     rf"|(?P<handle>(?<![A-Za-z0-9._%+-])(?=[A-Za-z-]*[0-9._%+])[A-Za-z0-9._%+-]{{2,64}}\s{{1,3}}at\s{{1,3}}"
     rf"[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})+)"
@@ -75,6 +76,7 @@ PAIR_REACH = 24
 ASCII_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 AT = re.compile(r"\s+at\s+|\s*@\s*", re.IGNORECASE | re.ASCII)
 DOT = re.compile(r"\s+dot\s+|\s+\.\s+", re.IGNORECASE | re.ASCII)
+WORD_COMMA = re.compile(r"(?<=[a-z]),[ ]?(?=[a-z])", re.IGNORECASE | re.ASCII)
 SPELLED = re.compile(rf"(?P<plus>plus[ -])|(?P<dot> dot )|(?P<word>{_W})|(?P<gap>[ -])|(?P<rest>[0-9]+|.)",
                      re.IGNORECASE | re.ASCII)
 
@@ -172,14 +174,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _plain_number(run: str) -> str | None:
-    """A run of spelled and written digits as digits; None if nothing is spelled in it."""
+    """A run of spelled and written digits as digits; None if nothing is spelled in it, be it
+    a digit or a dot."""
     out, spelled, last = [], False, ""
-    tokens = list(SPELLED.finditer(run))
+    tokens = list(SPELLED.finditer(WORD_COMMA.sub(" ", run)))
     for k, m in enumerate(tokens):
         kind, s = m.lastgroup, m.group().lower()
         if kind == "plus":
             out.append("+")
         elif kind == "dot":
+            spelled = True
             out.append(".")
         elif kind == "word":
             spelled = True
@@ -203,11 +207,11 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
             if (to := _plain_number(m.group())) is not None:
                 edits.append((start, end, to))
         else:                                   # only the disguised joints change
-            joints = [AT.search(text, start, end)]
+            at = AT.search(text, start, end)
+            joints = [(at.start(), at.end(), "@")] if at.group() != "@" else []
             if m.lastgroup == "worded":
-                joints += DOT.finditer(text, joints[0].end(), end)
-            edits += [(j.start(), j.end(), "." if k else "@") for k, j in enumerate(joints)
-                      if j.group() != "@"]
+                joints += [(j.start(), j.end(), ".") for j in DOT.finditer(text, start, end) if not at.start() < j.end() <= at.end()]
+            edits += sorted(joints)
     return edits
 
 
@@ -229,13 +233,19 @@ def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
     found = [(*s, True) for s in base]
     if steps:
         taken = set(base)
+        starts, ends = [], []                   # base spans of a kind ascend and don't overlap
+        for k in range(len(KINDS)):
+            starts.append([s for kind, s, _ in base if kind == k])
+            ends.append([e for kind, _, e in base if kind == k])
         for kind, start, end in base_spans(now.text):
             changed = False
             for step in reversed(steps):
                 start, end, touched = step.back(start, end)
                 changed |= touched
-            inside = any(k == kind and s <= start and end <= e for k, s, e in base)
-            if changed and not inside and (kind, start, end) not in taken:
+            if not changed or (kind, start, end) in taken:
+                continue
+            before = bisect_right(starts[kind], start) - 1
+            if before < 0 or end > ends[kind][before]:
                 taken.add((kind, start, end))
                 found.append((kind, start, end, False))
     return sorted(found)
@@ -294,7 +304,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in all_spans(t or "")]
                      for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], [id_col, "spans"])
@@ -323,7 +333,7 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             cols = list(batch.columns)
             cols[place] = pa.array([mask(t) for t in cols[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
