@@ -30,30 +30,31 @@ def order_category(t: RetailTables) -> DataFrame:
 
 
 def customer_category(t: RetailTables) -> DataFrame:
-    """``category, customer_id, orders_in_category, revenue``; the orders are distinct ids.
+    """``category, customer_id, orders_in_category, own_orders, revenue``; the orders are distinct ids.
 
-    The first grouping keeps the (order, category) grain's partitioning on the order.
+    ``own_orders`` counts an order once, for the smallest of its customers, should rows of
+    one order id name several: it adds up to the category's distinct orders.  The first
+    grouping keeps the (order, category) grain's partitioning on the order.
     """
     def build(tt):
+        first = F.row_number().over(Window.partitionBy("order_id", "category").orderBy("customer_id")) == 1
         return (order_category(tt).groupBy("order_id", "category", "customer_id")
                 .agg(money_total("revenue").alias("revenue"))
+                .withColumn("_own", first.cast("bigint"))
                 .groupBy("category", "customer_id")
                 .agg(F.count("order_id").alias("orders_in_category"),
+                     F.sum(F.when(F.col("order_id").isNotNull(), F.col("_own")).otherwise(0)).alias("own_orders"),
                      money_total("revenue").alias("revenue")))
     return t.derived("customer_category", build, bucket_by=("customer_id",))
 
 
 # ---------------------------------------------------------------- mix
 def category_mix(t: RetailTables) -> DataFrame:
-    """``category, revenue (r0), pct_revenue (r1), unique_orders, unique_customers``."""
-    orders = (order_category(t).groupBy("order_id", "category").agg(money_total("revenue").alias("revenue"))
-              .groupBy("category").agg(money_total("revenue").alias("_rev"),
-                                       F.count("order_id").alias("unique_orders")))
-    buyers = (customer_category(t).groupBy("category")
-              .agg(F.count("customer_id").alias("unique_customers")))       # NULL is no customer
-    # one row a category on both sides
-    agg = orders.join(buyers.withColumnRenamed("category", "_category"),
-                      F.col("category").eqNullSafe(F.col("_category")))
+    """``category, revenue (r0), pct_revenue (r1), unique_orders, unique_customers``: one
+    roll-up of the (category, customer) grain."""
+    agg = customer_category(t).groupBy("category").agg(
+        money_total("revenue").alias("_rev"), F.sum("own_orders").alias("unique_orders"),
+        F.count("customer_id").alias("unique_customers"))       # NULL is no customer
     total = F.sum("_rev").over(Window.partitionBy())
     return (agg.select("category",
                        to_double(F.round("_rev", 0)).alias("revenue"),
@@ -222,9 +223,8 @@ def repeat_rate(t: RetailTables) -> DataFrame:
 
 def category_aov(t: RetailTables) -> DataFrame:
     """Average order value in category: mean of the per-(order, category) sums (r2)."""
-    oc = order_category(t).groupBy("order_id", "category").agg(money_total("revenue").alias("revenue"))
-    return oc.groupBy("category").agg(
-        round_half_up(to_double(money_total("revenue")) / F.count(F.lit(1)), 2).alias("aov"))
+    return customer_category(t).groupBy("category").agg(
+        round_half_up(to_double(money_total("revenue")) / F.sum("own_orders"), 2).alias("aov"))
 
 
 def buyer_profile(t: RetailTables, seg: DataFrame,

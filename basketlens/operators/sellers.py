@@ -1,5 +1,5 @@
 """Seller analysis: sample floor, catalog size and its confound, normalized metrics,
-outcome mix and customer-segment mix.
+status mix and customer-segment mix.
 
 Sellers are reached through products, so items are first reduced to
 (order, seller) rows; every seller metric is computed from that grain.
@@ -25,23 +25,17 @@ def order_seller(t: RetailTables) -> DataFrame:
     return t.derived("order_seller", lambda tt: realized_order_dim(tt, "seller_id"))
 
 
-def order_seller_status(t: RetailTables) -> DataFrame:
-    """All items (every status) per (order, seller, status): ``order_id, seller_id,
-    item_status, n_items`` -- the grain of the sample floor and the outcome mixes."""
-    def build(tt):
-        return (tt.order_items.select("order_id", "product_id", "item_status")
-                .join(tt.products.select("product_id", "seller_id"), "product_id")
-                .groupBy("order_id", "seller_id", "item_status")
-                .agg(F.count(F.lit(1)).alias("n_items")))
-    return t.derived("order_seller_status", build)
-
-
 def seller_floor(t: RetailTables) -> DataFrame:
     """Smallest item count and distinct-customer count over sellers, all item statuses.
 
-    ``(min_items_per_seller, min_customers_per_seller)``.
+    ``(min_items_per_seller, min_customers_per_seller)``.  Items are counted per (order,
+    product), on the orders' own partitioning, and per (product, customer) before the
+    products are joined: a hot product is a row for each of its customers.
     """
-    per_customer = (order_seller_status(t).join(t.orders.select("order_id", "customer_id"), "order_id")
+    per_order = t.order_items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n_items"))
+    per_buyer = (per_order.join(t.orders.select("order_id", "customer_id"), "order_id")
+                 .groupBy("product_id", "customer_id").agg(F.sum("n_items").alias("n_items")))
+    per_customer = (per_buyer.join(t.products.select("product_id", "seller_id"), "product_id")
                     .groupBy("seller_id", "customer_id").agg(F.sum("n_items").alias("n_items")))
     per_seller = per_customer.groupBy("seller_id").agg(
         F.sum("n_items").alias("item_count"),

@@ -4,8 +4,7 @@ The default ``suite`` mode runs the analysis the way it is meant to run on a
 cluster.  The five source tables are imported once (the test-table mapping is
 written as Parquet, ``materialize:sources``).  The shared derived tables (the
 order x status grain, customer R/F/M base and segments, the order x category,
-order x seller, order x seller x status and product x customer grains, seller
-metrics) are each built once and materialized to the shared checkpoint folder --
+order x seller and product x customer grains, seller metrics) are each built once and materialized to the shared checkpoint folder --
 the ``CREATE TABLE AS`` steps of the analysis, timed as ``materialize:<name>``.
 Every registered query then runs over them.  ``standalone`` mode runs every
 query from the base tables on its own.
@@ -45,7 +44,6 @@ SHARED = (
     ("customer_category", ca.customer_category),
     ("product_customer", ca.product_customer),
     ("order_seller", se.order_seller),
-    ("order_seller_status", se.order_seller_status),
     ("seller_metrics", se.seller_metrics),
 )
 
