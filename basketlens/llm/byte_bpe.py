@@ -16,7 +16,7 @@ tokenizer's pattern; every match is encoded on its own:
   match of 100,000 letters.
 
 Texts are independent rows: no shuffle, bounded memory (one Arrow batch plus
-memo tables of a fixed number of entries).
+memo tables of a fixed number of bytes).
 """
 
 from __future__ import annotations
@@ -31,11 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_batches
-
-#: Entries of the two memo tables of a Python worker; a full table is emptied.
-MEMO_PIECES = 800_000
-MEMO_PAIRS = 400_000
+from basketlens.llm.common import Memo, map_batches
+from basketlens.llm.words import slices
 
 
 class Vocabulary:
@@ -57,8 +54,8 @@ class Vocabulary:
             self.automaton.add_word(raw.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.shorter = [self._prefix_token(b) for b in self.bytes_of]
-        self.compatible: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.compatible: Memo = Memo()               # pair of tokens -> bool
+        self.pieces: Memo = Memo()                   # match of the pattern -> packed ids
         self._learn_merges()
         self.compatible.clear()
         self.split_any = regex.compile(pattern).findall
@@ -116,10 +113,7 @@ class Vocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge result may hold ``a`` directly before ``b``; memoised."""
-        if len(self.compatible) >= MEMO_PAIRS:
-            self.compatible.clear()
-        known = self.compatible[a * self.size + b] = self._stays_apart(a, b)
-        return known
+        return self.compatible.put(a * self.size + b, self._stays_apart(a, b))
 
     def merge(self, raw: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -169,9 +163,7 @@ class Vocabulary:
             if ids is None:
                 ids = pack(self.merge(p.encode()))
                 if len(p) <= 64:
-                    if len(pieces) >= MEMO_PIECES:
-                        pieces.clear()
-                    pieces[p] = ids
+                    pieces.put(p, ids)
             parts.append(ids)
         return b"".join(parts)
 
@@ -237,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = [vocab.encode(t or "") for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary())]
             if with_decoded:

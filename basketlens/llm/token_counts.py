@@ -28,13 +28,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basketlens.llm.common import map_batches
+from basketlens.llm.common import Memo, map_batches
+from basketlens.llm.words import slices
 
 SPACE = "▁"
 #: What an uncovered character costs below the lowest score: fixed value.
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker keeps; a full table is emptied.
-MEMO_WORDS = 600_000
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
 
@@ -52,7 +51,7 @@ class Unigram:
         self.single = {p for p in scores if len(p) == 1}
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores)
-        self.memo: dict[str, int] = {}
+        self.memo: Memo = Memo()                     # word -> pieces
 
     def best(self, text: str) -> int:
         """Pieces of the best segmentation of a text with its spaces already written."""
@@ -106,9 +105,7 @@ class Unigram:
             if n is None:
                 n = self.best(part)
                 if len(part) <= 64:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[part] = n
+                    memo.put(part, n)
             total += n
         return total
 
@@ -140,7 +137,7 @@ def count(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n = [model.count(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], [id_col, "n_tokens"])
 
