@@ -19,7 +19,10 @@ Digits are compared as hashes (44 bits of the first, 32 independent bits of the
 the same 76 bits for full windows).  Each pass is one shuffle of packed entries, dealt
 to buckets by the first digit's value.  A map task sends every digit pair once, for its
 smallest document, and settles its own repeats itself, so a passage that a third of
-all documents share costs one entry for each task.  Answers travel back to pages of
+all documents share costs one entry for each task.  The ends of such a passage differ in
+every document: a first digit with more than ``CROWD`` second digits in one task is known
+to be shared there and then, so its zones go on to the last digit at once and only its
+smallest and largest document are sent, to tell the other tasks.  Answers travel back to pages of
 documents (``page``: a hash of the id), where the texts, compressed, meet them.
 
 Memory is bounded by ``CHUNK`` bytes of text at a time; longer texts are cut into
@@ -48,6 +51,8 @@ GRAM = 26
 #: Bytes of text handled at once, and for each bucket and page; entries sent at once.
 CHUNK, BUCKET_BYTES, SEND = 1 << 19, 8 << 20, 250_000
 KEY_BITS, POSITION_BITS = 44, 26
+#: Second digits of one first digit that a task sends.
+CROWD = 16
 
 _RNG = np.random.default_rng(987654321)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,11 +212,29 @@ def page_of(docs: np.ndarray, pages: int) -> np.ndarray:
     return (scramble(docs.astype(np.uint64)) % np.uint64(pages)).astype(np.int64)
 
 
-def _announce(key, check, doc, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries of one task's digits, and answers to the repeats among them.
+def _sent_on(docs: np.ndarray, folds: np.ndarray, pages: int, column: str) -> pa.RecordBatch:
+    """Answers found before the shuffle: their ``place`` is negative, ``-1 - page``."""
+    rows = _answers(docs, folds, pages, column)
+    return rows.set_column(0, "place", pa.array(-1 - rows.column(0).to_numpy()))
 
-    An answer's ``place`` is negative: ``-1 - page``.
-    """
+
+def _crowded(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: entries of keys with more than ``CROWD`` entries in several documents,
+    and which entries stand for such a key (one of its smallest and of its largest document)."""
+    at = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)) != 0)
+    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+    least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+    crowd = (np.bincount(group) > CROWD) & (least != most)
+    on = crowd[group]
+    stands = np.zeros(len(key), bool)
+    for end in (least, most):
+        found = np.flatnonzero(on & (doc == end[group]))
+        stands[found[np.unique(group[found], return_index=True)[1]]] = True
+    return on, stands
+
+
+def _announce(key, check, doc, buckets: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Entries of one task's digits, and answers to the repeats among them."""
     order = np.lexsort((doc, check, key))
     key, check, doc = key[order], check[order], doc[order]
     new = np.ones(len(key), bool)
@@ -219,9 +242,14 @@ def _announce(key, check, doc, buckets: int) -> Iterator[pa.RecordBatch]:
     least = doc[new][np.cumsum(new) - 1] if len(key) else doc
     gone = doc > least
     if gone.any():
-        rows = _answers(doc[gone], fold(key[gone], check[gone]), buckets, "removed")
-        yield rows.set_column(0, "place", pa.array(-1 - rows.column(0).to_numpy()))
+        yield _sent_on(doc[gone], fold(key[gone], check[gone]), buckets, "removed")
     key, check, doc = key[new], check[new], doc[new]
+    if edges and len(key):
+        on, stands = _crowded(key, doc)
+        if on.any():
+            yield _sent_on(doc[on], fold(key[on], check[on]), buckets, "edge")
+            rest = ~on | stands
+            key, check, doc = key[rest], check[rest], doc[rest]
     known, owner = np.unique(doc, return_inverse=True)
     owner = owner.astype(np.uint32)
     bucket = (key * np.uint64(buckets)) >> np.uint64(KEY_BITS) if buckets < 1 << 20 else key % np.uint64(buckets)
@@ -242,7 +270,7 @@ def _announce(key, check, doc, buckets: int) -> Iterator[pa.RecordBatch]:
     yield _rows(place=places, entries=blobs)
 
 
-def _announce_all(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int
+def _announce_all(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, edges: bool
                   ) -> Iterator[pa.RecordBatch]:
     """The digits of many chunks, announced in large parts."""
     parts, size = [], 0
@@ -250,11 +278,10 @@ def _announce_all(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bu
         parts.append(entry)
         size += len(entry[0])
         if size >= SEND:
-            yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets)
+            yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets, edges)
             parts, size = [], 0
     if size:
-        yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets)
-    pa.default_memory_pool().release_unused()        # the worker goes on to other stages
+        yield from _announce(*map(np.concatenate, zip(*parts, strict=True)), buckets, edges)
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,8 +314,9 @@ def _resolve(buckets: int, edges: bool):
         for group in _groups(batches):
             place = group.column(0)[0].as_py()
             if place < 0:                             # already an answer
-                for x in group.column("removed").to_pylist():
-                    yield _rows(place=[-1 - place], removed=[x])
+                for column in ("removed", "edge"):
+                    for x in group.column(column).drop_null().to_pylist():
+                        yield _rows(place=[-1 - place], **{column: [x]})
                 continue
             found = [_entries(b) for b in group.column("entries").to_pylist()]
             key, check, doc = (np.concatenate([f[i] for f in found]) for i in range(3))
@@ -319,7 +347,7 @@ def _first_digits(buckets: int):
                 zones = chunk.zones()
                 yield *chunk.zone_digits(*zones), ids[chunk.doc[chunk.piece(zones[0])]]
 
-    return lambda batches: _announce_all(digits(batches), buckets)
+    return lambda batches: _announce_all(digits(batches), buckets, True)
 
 
 class Page:
@@ -375,7 +403,7 @@ def _last_digits(buckets: int):
                 at, doc = page.edge_windows(chunk, *zones[:2], doc, fold(*chunk.zone_digits(*zones)))
                 yield *chunk.window_digits(at), ids[doc]
 
-    return lambda batches: _announce_all(digits(batches), buckets)
+    return lambda batches: _announce_all(digits(batches), buckets, False)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
