@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside; a table that has them too must not disturb.
 CLASHES = ("ids", "spans", "score", "size", "start", "block", "words", "place", "bucket", "marks", "cls", "label",
-           "sketch", "node", "uid", "host", "path", "x", "dim", "group", "component_id", "n_tokens", "entries")
+           "sketch", "node", "uid", "host", "path", "x", "dim", "group", "component_id", "n_tokens", "entries", "runs", "mixed_uid",
+           "mixed_words", "near_text", "near_key", "row_key", "tokens", "low", "gram", "zone", "item", "rank", "zone_marks")
 
 _R = random.Random(7)
 WORDS = ["ab", "the", "stone", "River", "éclair", "moon", "of", "x1", "greenhouse", "漢字", "and", "lamp", "forty", "Ω"]

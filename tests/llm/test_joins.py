@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from basketlens.llm import fingerprints, minhash_join, mixing, suffix_dedup, topk, url_filter
 from tests.llm.helpers import LONG, PASSAGE, ROWS, docs, near_components, words
 
+WORDS_OF = LONG.split()
+
 
 # ---------------------------------------------------------------- fingerprints
 def test_fingerprints_of_awkward_rows(spark):
@@ -139,6 +141,37 @@ def test_repeats_in_a_hot_passage(spark):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("crowd, bucket, send", [(16, 3000, 250_000), (2, 3000, 400), (1, 1 << 20, 5000)])
+def test_repeats_over_many_buckets(spark, monkeypatch, crowd, bucket, send):
+    """Many buckets and pages, small sends, and first digits that are known to be shared in
+    their task: passages whose ends differ in every document."""
+    for name, value in (("CROWD", crowd), ("BUCKET_BYTES", bucket), ("SEND", send)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    r = random.Random(crowd)
+    form = ["ab", "cd", "efg", "hi"]
+    rows = []
+    for k in range(160):
+        own = [" ".join(r.choice(form) + str(r.randint(0, 30)) for _ in range(r.randint(3, 40))) for _ in range(2)]
+        middle = PASSAGE if k % 3 == 0 else PASSAGE[k:k + 60] if k % 3 == 1 else "xy" * r.randint(0, 60)
+        rows.append((r.randint(0, 140), own[0] + middle + own[1]))
+    got = suffix_dedup.report(docs(spark, rows, extra=False).repartition(3))
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == plain_repeats(rows)
+
+
+def test_crowded_digits_send_two_documents(spark):
+    import numpy as np
+    key = np.repeat(np.array([5, 9], np.uint64), [100, 3])
+    check, doc = np.arange(103, dtype=np.uint32), np.arange(103)[::-1].copy()
+    sent, told = 0, 0
+    for batch in suffix_dedup._announce(key, check, doc, 1, True):
+        for row in batch.to_pylist():
+            if row["entries"] is not None:
+                sent += len(suffix_dedup._entries(row["entries"])[0])
+            if row["edge"] is not None:
+                told += len(suffix_dedup.unpacked(row["edge"], "<i8", "<u8")[0])
+    assert (sent, told) == (5, 100)
+
+
 # ---------------------------------------------------------------- URL rules
 def plain_judgement(url):
     host = path = ""
@@ -234,6 +267,72 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert mixed == {i: n for i, n in taken.items() if n}
 
 
+def test_shard_counts_decide_the_slots(spark):
+    """The counts per (shard, source) are the drawn ones, every slot is dealt once, and another
+    number of shards draws anew."""
+    rows = mixed_rows()
+    d = docs(spark, rows, extra=False)
+    sized = mixing.sizes(d)
+    sources = mixing._sources(sized, mixing.WEIGHTS, 3)
+    slots = mixing.draw(sources, block_words=16, shards=5).collect()
+    by_source = {r.source_no: r for r in sources.collect()}
+    for no, r in by_source.items():
+        own = [x for x in slots if x.source_no == no]
+        blocks = -(-r.source_size // 16)
+        assert sum(x.words for x in own) == round(r.target)
+        assert len({(x.pass_no, x.place) for x in own}) == len({(x.pass_no, x.block) for x in own}) == len(own)
+        total = -(-round(r.target) // r.source_size) * blocks if r.source_size else 0
+        drawn = [0] * 5
+        if total:
+            throws = spark.range(total).select(F.pmod(F.xxhash64(
+                F.lit(mixing.SEED), F.lit("shard"), F.lit(no), F.col("id")), F.lit(5)).alias("k")).collect()
+            for x in throws:
+                drawn[x.k] += 1
+        firsts = [sum(drawn[:k]) for k in range(5)]
+        for x in own:
+            number = x.pass_no * blocks + x.place
+            assert firsts[x.shard] <= number < firsts[x.shard] + drawn[x.shard] and x["index"] == number - firsts[x.shard]
+    plan = {n: sorted((r.start, r.first_word, r.shard) for r in mixing.mix(d, shards=n).collect()) for n in (1, 7)}
+    assert {s for *_, s in plan[1]} == {0} and len({s for *_, s in plan[7]}) > 3
+
+
+def test_packed_shards_hold_the_words_taken(spark):
+    rows = mixed_rows()
+    d = docs(spark, rows)
+    blocks = mixing.mixed_shards(d, block_words=32, shards=6).collect()
+    assert all(len(words(b.text)) == b.n_words <= 32 for b in blocks)
+    assert len({(b.shard, b.source, b["index"]) for b in blocks}) == len(blocks)
+    taken = mixing.taken_words(d, block_words=32, shards=6).collect()
+    assert sum(b.n_words for b in blocks) == sum(r.taken for r in taken)
+    assert all((r.n_shards > 0) == (r.taken > 0) and r.n_shards <= 6 for r in taken)
+    known = {}
+    for k, (i, t) in enumerate(rows):
+        known.setdefault(None if k % 4 == 0 else f"src{k % 3}", set()).update(words(t))
+    assert all(set(words(b.text)) <= known[b.source] for b in blocks)
+
+
+def test_rows_of_two_sources_are_told_apart(spark):
+    text = " ".join(WORDS_OF[:200])
+    d = spark.createDataFrame([(1, text, "en", "x", 5), (1, text, "de", "y", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    goal = mixing.targets([("x", 200), ("y", 200)])
+    got = {"x": 0, "y": 0}
+    for r in mixing.mixed_documents(d).collect():
+        assert r.lang == {"x": "en", "y": "de"}[r.source]
+        got[r.source] += len(words(r.text))
+    assert got == {s: round(g) for s, g in goal.items()}
+
+
+def test_stream_chunks_stay_small(spark):
+    """NULL ids and copies are spread: a chunk's window holds few distinct rows."""
+    rows = [(None, f"text number {k} of them") for k in range(3000)] + [(5, "the same again")] * 9000
+    d = docs(spark, rows, extra=False).withColumn("source", F.lit("one"))
+    placed = mixing.positions(mixing.sizes(d), mixing._sources(mixing.sizes(d), mixing.WEIGHTS, 3))
+    got = sorted((r.start, r.size) for r in placed.collect())
+    assert len(got) == 12000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+    per = mixing.sizes(d).select("uid").distinct().groupBy(F.pmod(F.xxhash64("uid"), F.lit(mixing.CHUNKS))).count()
+    assert per.agg(F.max("count")).first()[0] < 12
+
+
 # ---------------------------------------------------------------- top-k
 def plain_topk(rows, k=5):
     good = [(i, [math.floor(256 * float(v)) for v in x]) for i, x in rows
@@ -260,20 +359,46 @@ def test_topk_is_exact(spark):
     assert topk.search(df, df.where("vec_id = -1")).count() == 0
 
 
-def test_topk_bounds_cut_the_evaluation_short():
+def test_topk_over_many_groups(spark, monkeypatch):
+    """Blocks, groups and query blocks of a few rows, queries met by several tasks."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 80)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    r = random.Random(12)
+    rows = [(k, [r.gauss(0, 0.3) for _ in range(6)]) for k in range(900)] + [(950, [0.25] * 6)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.search(df, df.where("vec_id % 50 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == plain_topk(rows)
+
+
+def test_topk_refuses_inexact_products(spark):
+    df = spark.createDataFrame([(0, [1e20, 1.0]), (1, [1e20, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2\\^53"):
+        topk.search(df, df, 5)
+
+
+@pytest.mark.parametrize("dims, share", [(3, 0.1), (64, 0.35)])
+def test_topk_bounds_eliminate(dims, share):
+    """Exact against brute force, and most candidates are never evaluated, even where vectors
+    have no structure at all (64 random dimensions)."""
     import numpy as np
     r = np.random.default_rng(1)
-    x = np.floor(r.normal(size=(3000, 3)) * 256)
+    x = r.normal(size=(8000, dims))
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 256)
     norm2 = (x * x).sum(1).max()
-    dx, q = topk.distances(x, x[:24], norm2, False), x[:24] * 1.0
-    dq = topk.distances(q, x[:24], norm2, True)
-    ids, total = np.arange(3000), 0
-    for i in range(24):
-        got, scores, n = topk.search_block(q[i], dq[i], i, ids, x, dx, norm2, 5, stride=64)
-        want = sorted((-float(x[j] @ q[i]), j) for j in range(3000) if j != i)[:5]
-        assert list(zip((-scores).tolist(), got.tolist())) == want
-        total += n
-    assert total < 24 * 3000 / 2
+    pivots = topk.Pivots(np.unique(x[:topk.PIVOTS], axis=0), norm2)
+    ids, task, got = np.arange(8000), topk.Search({dims: pivots}, 5), {}
+    q, qids = x[:40].copy(), ids[:40].astype("<i8").tobytes()
+    for at in range(0, 8000, topk.BLOCK_ROWS):
+        part = slice(at, at + topk.BLOCK_ROWS)
+        row = {"dim": dims, "ids": ids[part].astype("<i8").tobytes(), "xs": x[part].tobytes(),
+               "ds": pivots.distances(x[part], False).tobytes(), "qids": qids, "qxs": q.tobytes(),
+               "qds": pivots.distances(q, True).tobytes()}
+        for i, found, scores in task.blocks(row):
+            got.setdefault(i, []).extend(zip((-scores).tolist(), found.tolist()))
+    for i in range(40):
+        assert sorted(got[i])[:5] == sorted((-float(x[j] @ q[i]), j) for j in range(8000) if j != i)[:5]
+    assert task.met == 40 * 8000 and task.evaluated < share * task.met
 
 
 # ---------------------------------------------------------------- near-duplicates
@@ -308,18 +433,25 @@ def test_trees_keep_links_at_every_depth(spark, monkeypatch):
     monkeypatch.setattr(minhash_join, "NODE_ROWS", 20)
     n = minhash_join.trees_for(0.8, 4)
     assert n >= 26
-    rows = [(bytes([1, k]), bytes(4 * 4 * n + 256)) for k in range(50)]           # one node down to the last level
-    rows += [(bytes([2, k]), bytes([k + 1]) * (4 * 4 * n + 256)) for k in range(10)]
-    rows += [(bytes([3, k]), bytes([k + 1]) * (4 * 4 * n + 256)) for k in range(10)]     # pairs of classes
-    nodes, most = minhash_join._nodes(spark.createDataFrame(rows, "cls binary, sketch binary"), 0.8)
+    deep = {bytes([1, k]): bytes(4 * 4 * n) for k in range(50)}                   # one node down to the last level
+    deep |= {bytes([2 + j, k]): bytes([k + 1]) * (4 * 4 * n) for k in range(10) for j in (0, 1)}      # pairs of classes
+    asked = []
+
+    def deep_of(classes):
+        asked.extend(bytes(r.cls) for r in classes.collect())
+        return spark.createDataFrame([(c, deep[c]) for c in asked], "cls binary, tokens binary")
+
+    nodes, late, most = minhash_join._crowds(
+        spark.createDataFrame([(c, t[:40]) for c, t in deep.items()], "cls binary, tokens binary"), deep_of, 0.8)
+    assert sorted(asked) == sorted(c for c in deep if c[0] == 1)                  # only crowded classes get deep tokens
     trees = {}
-    for r in nodes.collect():
+    for r in nodes.collect() + late.collect():
         trees.setdefault(bytes(r.cls), set()).add(r.tree)
     assert most == n and len(trees) == 70
     assert all(trees[c] == set(range(n if c[0] == 1 else 10)) for c in trees)
 
 
-def test_near_duplicates_by_shuffled_ids(spark, monkeypatch):
+def test_near_duplicates_by_shuffled_keys(spark, monkeypatch):
     monkeypatch.setattr(minhash_join, "BROADCAST_BYTES", 0)
     rows = near_rows(12)
     got = minhash_join.near_duplicates(docs(spark, rows, extra=False), words=4).collect()
@@ -327,6 +459,43 @@ def test_near_duplicates_by_shuffled_ids(spark, monkeypatch):
         sorted(near_components(rows, 4, 0.8), key=repr)
 
 
+def test_large_families_cost_linear_work(spark, monkeypatch):
+    """Nodes too large at the last level: parts with pivots, and all others for the rest only."""
+    monkeypatch.setattr(minhash_join, "NODE_ROWS", 20)
+    late = spark.range(400).selectExpr("1L AS node", "0 AS tree", "CAST(CAST(id AS STRING) AS BINARY) AS cls", "400L AS rows")
+    nodes, first = minhash_join._pivoted(late)
+    sizes = [r["count"] for r in nodes.groupBy("node").count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 40 and sum(sizes) <= 400 + 40 * minhash_join.PIVOTS
+    reached = spark.range(398).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS node", "CAST('0' AS BINARY) AS label")
+    rest = minhash_join._rest(late, first, reached).collect()
+    met = {}
+    for r in rest:
+        met.setdefault(r.node, set()).add(bytes(r.cls))
+    pairs = {frozenset((x, y)) for group in met.values() for x in group for y in group if x != y}
+    every = {str(k).encode() for k in range(400)}
+    assert all(frozenset((x, y)) in pairs for x in (b"398", b"399") for y in every - {x})
+    assert len(rest) < 600
+    assert minhash_join._rest(late, first, spark.range(400).selectExpr(
+        "CAST(CAST(id AS STRING) AS BINARY) AS node", "CAST('0' AS BINARY) AS label")).count() == 0
+
+
+def test_family_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash_join, "NODE_ROWS", 12)
+    r = random.Random(3)
+    base = [str(r.random()) for _ in range(120)]
+    rows = [(k, " ".join([*base[:r.randrange(118)], f"x{k}", *base[60:]][:120])) for k in range(40)]
+    rows += [(100 + k, " ".join([*base[:k], f"y{k}", *base[k + 1:]])) for k in range(80)]
+    got = minhash_join.near_duplicates(docs(spark, rows), words=4).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(near_components(rows, 4, 0.8))
+
+
+def test_rows_without_id_cost_linear_work(spark):
+    """Each class reads one text, whatever the ids say."""
+    rows = [(None if k % 2 else 7, f"{' '.join(WORDS_OF[k:k + 20])} {k}") for k in range(200)]
+    join = minhash_join._Join(docs(spark, rows), 5, 0.8)
+    assert join.texts_of(join.classes.select("cls")).count() == 200
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_rows()
     d = docs(spark, rows)
@@ -335,10 +504,17 @@ def test_one_document_of_each_group_stays(spark):
     want = {i for i, _, c in near_components(rows, 5, 0.8) if i is not None and i == c}
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert {i for i in ids if i is not None} == want
-    assert sum(i == 10 for i in ids) == 1 and sum(i is None for i in ids) == 2
+    assert sum(i == 10 for i in ids) == 1 and sum(i is None for i in ids) == 1     # the empty text
     assert minhash_join.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_survivors_are_rows_not_ids(spark):
+    a, b, c = (" ".join(WORDS_OF[k:k + 30]) for k in (0, 40, 80))
+    kept = minhash_join.deduplicate(docs(spark, [(0, b), (1, a), (1, b), (None, c), (None, c + " end"), (None, c)]))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 3 and {(0, b), (1, a)} < set(got) and [i for i, _ in got].count(None) == 1
+
+
 def test_components_of_a_chain(spark):
     pairs = [(bytes([a]), bytes([a + 1])) for a in range(40)] + [(bytes([100]), bytes([90]))]
     got = dict(tuple(map(bytes, r)) for r in minhash_join.components(spark.createDataFrame(pairs, "a binary, b binary")).collect())

@@ -197,6 +197,16 @@ def test_repair_of_a_long_conversation(spark):
     assert repairs(spark, rows) == plain_report(rows)
 
 
+def test_repaired_turns(spark):
+    rows = [(1, 0, "assistant", "Hello there."), (1, 1, "user", "Hi."), (1, 1, "user", "Hi."), (1, 2, "user", "So?"),
+            (2, 0, "user", "Fine."), (2, 1, "assistant", "Yes."), (3, 0, "user", " ")]
+    summary, parts = role_repair.repair(spark.createDataFrame(rows, CONV))
+    got = {r.conv_id: (r.duplicate, r.cost, r.audit) for r in summary.collect()}
+    assert got == {1: (1, 5, "DKDR"), 2: (0, 0, "KK"), 3: (0, 2, "D")}
+    assert sorted(map(tuple, role_repair.lines_of(parts).collect())) == [
+        (1, 0, "user", "Hi."), (1, 1, "assistant", "So?"), (2, 0, "user", "Fine."), (2, 1, "assistant", "Yes.")]
+
+
 def test_stack_graph_is_small_and_generic():
     stacks = role_repair.Stacks()
     assert len(stacks.nodes) < 16 and stacks.accepts(0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -149,6 +150,10 @@ def test_disguised_spans_are_mapped_back(text, kind, found):
     ("john at example\ndot com", "email", "john at example\ndot com"),
     ("john at mail\tdot\texample\tdot\tcom", "email", "john at mail\tdot\texample\tdot\tcom"),
     ("john&COMMAT;example&Period;com", "email", "john&COMMAT;example&Period;com"),
+    ("ip 192 dot 168 dot 1 dot 5 ok", "ip", "192 dot 168 dot 1 dot 5"),
+    ("mail john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+    ("card four one one one, one one one one, one one one one, one one one one end", "card",
+     "four one one one, one one one one, one one one one, one one one one"),
 ])
 def test_disguises_pass_the_gate(text, kind, found):
     assert (kind, found, False) in [(pii.KINDS[k], text[a:b], base) for k, a, b, base in pii.all_spans(text)]
@@ -169,6 +174,17 @@ def test_spans_are_the_same_without_the_gate(monkeypatch):
     assert [t for t, s in zip(texts, gated) if pii.all_spans(t) != s] == []
 
 
+def test_time_grows_with_the_number_of_spans():
+    """One disguise in a mailing list of many addresses costs no look at all pairs."""
+    def seconds(n):
+        text = " ".join(f"user{k}@example{k % 97}.org" for k in range(n)) + " bob [at] example.org"
+        begun = time.process_time()
+        assert len(pii.all_spans(text)) == n + 1
+        return time.process_time() - begun
+
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.05)
+
+
 def test_plain_prose_has_no_spans():
     for t in ("the cat sat on a mat. One two three, four!", "3.5 of 100 at noon", "Ünïcödé wörds — ok", LONG):
         assert pii.all_spans(t) == []
@@ -233,6 +249,41 @@ def sample(n, seed=0):
     return out
 
 
+def test_rare_labels_are_learnt(spark):
+    """120 toxic documents among 120,000, told apart by two words that occur nowhere else."""
+    words = [F.concat(F.lit("w"), (F.abs(F.xxhash64("id", F.lit(k))) % 3000).cast("string")) for k in range(12)]
+    sign = F.when(F.col("id") % 2000 == 7, "vilefoo").when(F.col("id") % 2000 == 1007, "grimbarq")
+    d = spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *words[:6], sign, *words[6:]).alias("text"))
+    labels = d.select("doc_id", (F.col("doc_id") % 1000 == 7).cast("int").alias("toxic"))
+    model = toxicity.train(d, labels)
+    got = toxicity.score(d, model).groupBy((F.col("doc_id") % 1000 == 7).alias("toxic")).agg(
+        F.count_if(F.col("score") >= 0.3).alias("hit"),
+        F.count(F.lit(1)).alias("n")).collect()
+    hit = {r.toxic: r.hit for r in got}
+    assert hit[True] >= 114 and hit[False] <= 12
+
+
+def test_no_model_is_reported(spark):
+    d = docs(spark)
+    labels = spark.createDataFrame([(5, 1), (6, 1)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no toxicity model"):
+        assert toxicity.train(d, labels) is None
+    assert toxicity.fit(["a b", "c d", "e f"], [0, 0, 1]) is None
+    same = spark.createDataFrame([(i, int(i % 2)) for i in (4, 15)], "doc_id long, toxic int")      # one text, two labels
+    with pytest.warns(UserWarning):
+        assert toxicity.train(d, same) is None
+
+
+def test_memo_tables_are_bounded_and_emptied():
+    from basketlens.llm.common import Memo, release
+    memo = Memo(10_000)
+    for k in range(2000):
+        memo.put(f"key {k}", k)
+        assert memo.used <= 10_000 and len(memo) < 100
+    release()
+    assert not memo and memo.used == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = sample(1200)
     d = docs(spark, [(i, t) for i, t, _ in rows] + [(None, "vile"), (5000, None), (5001, "")])
