@@ -99,24 +99,26 @@ def order_statistics(df: DataFrame, value: str, positions: dict[str, Callable[[C
     asked = [F.struct(F.lit(name).alias("name"), place(F.col("total")).cast("bigint").alias("place"))
              for name, place in positions.items()]
     before = F.col("_upto") - F.col("_n")
-    cells = (first.withColumn("_ask", F.explode(F.array(*asked)))
-             .where((before <= F.col("_ask.place")) & (F.col("_ask.place") < F.col("_upto")))
-             .select(*by, "total", F.col("_ask.name").alias("_name"), (F.col("_ask.place") - before).alias("_rest"), "_low", "_high"))
-    inside = (F.col("_x") >= F.col("_t_low")) & (F.col("_x") <= F.col("_t_high"))
-    finer = F.floor((F.col("_x") - F.col("_t_low")) / (F.col("_t_high") - F.col("_t_low")) * CELLS)
-    for key in (F.when(F.col("_t_high") > F.col("_t_low"), finer).otherwise(F.lit(0)).cast("bigint"), F.col("_x")):
-        wanted = cells.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_low").alias("_t_low"),
-                              F.col("_high").alias("_t_high")).distinct()
+    # one row for each range that holds a place: its bounds and the places asked of it
+    places = F.filter(F.array(*asked), lambda p: (p["place"] >= before) & (p["place"] < F.col("_upto")))
+    cells = (first.withColumn("_asks", F.transform(places, lambda p: F.struct(p["name"].alias("name"), (p["place"] - before).alias("rest"))))
+             .where(F.size("_asks") > 0).select(*by, "total", "_low", "_high", "_asks"))
+    inside = (F.col("_x") >= F.col("_t__low")) & (F.col("_x") <= F.col("_t__high"))
+    finer = F.floor((F.col("_x") - F.col("_t__low")) / (F.col("_t__high") - F.col("_t__low")) * CELLS)
+    cell = [f"_t_{c}" for c in [*by, "_low", "_high"]]
+    for key in (F.when(F.col("_t__high") > F.col("_t__low"), finer).otherwise(F.lit(0)).cast("bigint"), F.col("_x")):
+        wanted = cells.select(*[F.col(c).alias(f"_t_{c}") for c in cells.columns])
         parts = (rows.join(F.broadcast(wanted), _same(by, "_t_") & inside)
-                 .groupBy(*[f"_t_{c}" for c in by], "_t_low", "_t_high", key.alias("_key"))
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
-                 .withColumn("_upto", F.sum("_n").over(
-                     Window.partitionBy(*[f"_t_{c}" for c in by], "_t_low", "_t_high").orderBy("_key"))))
-        cells = (parts.join(F.broadcast(cells), _same(by, "_t_") & (F.col("_low") == F.col("_t_low")) & (F.col("_high") == F.col("_t_high")))
-                 .where((before <= F.col("_rest")) & (F.col("_rest") < F.col("_upto")))
-                 .select(*by, "total", "_name", (F.col("_rest") - before).alias("_rest"), F.col("_from").alias("_low"),
-                         F.col("_to").alias("_high")))
-    return cells.groupBy(*by, "total").agg(*[F.max(F.when(F.col("_name") == n, F.col("_low"))).alias(n) for n in positions])
+                 .groupBy(*cell, key.alias("_key"))
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"),
+                      F.first("_t_total").alias("total"), F.first("_t__asks").alias("_asks"))
+                 .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*cell).orderBy("_key"))))
+        held = F.filter("_asks", lambda p: (p["rest"] >= before) & (p["rest"] < F.col("_upto")))
+        left = F.transform(held, lambda p: F.struct(p["name"].alias("name"), (p["rest"] - before).alias("rest")))
+        cells = (parts.withColumn("_asks", left).where(F.size("_asks") > 0)
+                 .select(*[F.col(f"_t_{c}").alias(c) for c in by], "total", "_low", "_high", "_asks"))
+    found = cells.select(*by, "total", "_low", F.explode("_asks").alias("_ask"))
+    return found.groupBy(*by, "total").agg(*[F.max(F.when(F.col("_ask.name") == n, F.col("_low"))).alias(n) for n in positions])
 
 
 def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
