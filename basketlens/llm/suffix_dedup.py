@@ -252,7 +252,8 @@ def _announce(key, check, doc, buckets: int, edges: bool) -> Iterator[pa.RecordB
             key, check, doc = key[rest], check[rest], doc[rest]
     known, owner = np.unique(doc, return_inverse=True)
     owner = owner.astype(np.uint32)
-    bucket = (key * np.uint64(buckets)) >> np.uint64(KEY_BITS) if buckets < 1 << 20 else key % np.uint64(buckets)
+    # anchors have the smallest hashes of their windows: dealt by size they would fill the first bucket
+    bucket = scramble(key) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, key, check, owner = bucket[order], key[order], check[order], owner[order]
     cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
