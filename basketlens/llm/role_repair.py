@@ -261,8 +261,8 @@ def _parse(conv_type: pa.DataType):
 
 def _chain(conv_type: pa.DataType):
     """Parts in order -> the letters chosen for each, a conversation's totals on its first part."""
-    names = ["conv_id", "slab", "letters", "before", "lead", "illegal", "cost", "audit"]
-    types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    names = ["conv_id", "slab", "parts", "letters", "before", "lead", "illegal", "cost", "audit"]
+    types = [conv_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stacks = Stacks()
@@ -288,72 +288,70 @@ def _chain(conv_type: pa.DataType):
                 tail = ""
             letters.reverse()
             kept = [len(x) - x.count("D") for x in letters]
-            out = [(conv, s, x, sum(kept[:k]), sum(kept) % 2, illegal if not k else None, cost if not k else None,
+            out = [(conv, s, len(slabs), x, sum(kept[:k]), sum(kept) % 2, illegal if not k else None, cost if not k else None,
                     audit if not k else None) for k, (s, x) in enumerate(zip(slabs, letters, strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
     return run
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """``(conv_id, slab, letters, before, lead, illegal, cost, audit)`` of numbered rows, stored."""
+    """``(conv_id, slab, parts, letters, before, lead, illegal, cost, audit)`` of numbered rows, stored."""
     conv, conv_type = _conv_type(rows)
     thin = rows.select("slab", "at", "conv_id", F.substring("role", 1, 1).alias("initial"),
                        (F.col("blank") | F.col("seen")).alias("gone"), "truncated", "copies")
     parts = map_batches(thin.repartition("slab").sortWithinPartitions("slab", "at"), _parse(conv_type),
                         f"conv_id {conv}, slab long, first string, last string, illegal long, ways {_WAY}")
     return stored(map_batches(parts.repartition("conv_id").sortWithinPartitions("conv_id", "slab"), _chain(conv_type),
-                              f"conv_id {conv}, slab long, letters string, before long, lead int, illegal long, cost long, audit string"),
+                              f"conv_id {conv}, slab long, parts long, letters string, before long, lead int, illegal long, cost long, audit string"),
                   "repair_letters")
 
 
-def _apply(conv_type: pa.DataType):
-    """Each slab's letters, then its rows -> repaired rows."""
-    names, types = ["conv_id", "slab", "position", "role", "text"], [conv_type, pa.int64(), pa.int64(), pa.string(), pa.string()]
+_LINES = "array<struct<position:long,role:string,text:string>>"
+_LINE_LIST = pa.list_(pa.struct([("position", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(out):
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
 
-        for slab, rows in groupby(_rows_of(batches), key=lambda r: r[0]):
-            plans, out = {}, []
+def _apply(conv_type: pa.DataType):
+    """Each slab's letters, then its rows -> the repaired lines of each conversation's part."""
+    names, types = ["conv_id", "slab", "parts", "lines"], [conv_type, pa.int64(), pa.int64(), _LINE_LIST]
 
-            def emit(plan, conv, role, text):
-                given = ROLES["u" if (plan["at"] - plan["lead"]) % 2 == 0 else "a"]
-                out.append((conv, slab, plan["at"], given if role is None else role, text))
-                plan["at"] += 1
+    def add(plan: dict, role: str | None, text: str) -> None:
+        given = ROLES["u" if (plan["at"] - plan["lead"]) % 2 == 0 else "a"]
+        plan["lines"].append({"position": plan["at"], "role": given if role is None else role, "text": text})
+        plan["at"] += 1
 
-            def insert(plan, conv):
-                while plan["letters"][plan["next"]:plan["next"] + 1] == "I":
-                    plan["next"] += 1
-                    emit(plan, conv, None, "")
+    def insert(plan: dict) -> None:
+        while plan["letters"][plan["next"]:plan["next"] + 1] == "I":
+            plan["next"] += 1
+            add(plan, None, "")
 
-            for _, _, conv, letters, before, lead, role, text, copies in rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab, rows in groupby(_rows_of(batches), key=lambda r: r[0]):
+            plans: dict = {}
+            for _, _, conv, parts, letters, before, lead, role, text, copies in rows:
                 if letters is not None:
-                    plans[conv] = {"letters": letters, "at": before, "lead": lead, "next": 0}
-                    insert(plans[conv], conv)
+                    plans[conv] = {"letters": letters, "at": before, "lead": lead, "next": 0, "parts": parts, "lines": []}
+                    insert(plans[conv])
                     continue
                 plan = plans[conv]
-                for _ in range(copies):
-                    letter = plan["letters"][plan["next"]]
-                    plan["next"] += 1
-                    if letter != "D":
-                        emit(plan, conv, role if letter == "K" else None, text)
-                    insert(plan, conv)
-                if sum(len(o[4]) for o in out) > 1 << 20:
-                    yield batch(out)
-                    out = []
+                letter = plan["letters"][plan["next"]]
+                plan["next"] += copies                # the copies behind it are deleted
+                if letter != "D":
+                    add(plan, role if letter == "K" else None, text)
+                insert(plan)
+            out = [(conv, slab, p["parts"], p["lines"]) for conv, p in plans.items() if p["lines"]]
             if out:
-                yield batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
     return run
 
 
-def repaired(rows: DataFrame, letters: DataFrame) -> DataFrame:
-    """``(conv_id, slab, position, role, text)``: the conversations after their edits."""
+def repaired_parts(rows: DataFrame, letters: DataFrame) -> DataFrame:
+    """``(conv_id, slab, parts, lines)``: the conversations after their edits, a row for each
+    slab that a conversation lies on (``parts`` of them); a slab bounds the lines of a row."""
     conv, conv_type = _conv_type(rows)
-    plans = letters.select("slab", F.lit(-1).cast("long").alias("at"), "conv_id", "letters", "before", "lead")
+    plans = letters.select("slab", F.lit(-1).cast("long").alias("at"), "conv_id", "parts", "letters", "before", "lead")
     both = plans.unionByName(rows.select("slab", "at", "conv_id", "role", "text", "copies"), allowMissingColumns=True)
     return map_batches(both.repartition("slab").sortWithinPartitions("slab", "at"), _apply(conv_type),
-                       f"conv_id {conv}, slab long, position long, role string, text string")
+                       f"conv_id {conv}, slab long, parts long, lines {_LINES}")
 
 
 def _digests(conv_type: pa.DataType):
@@ -368,11 +366,26 @@ def _digests(conv_type: pa.DataType):
     return run
 
 
+def digests(parts: DataFrame) -> DataFrame:
+    """``(conv_id, repaired_sha256)`` over ``role:text`` lines of :func:`repaired_parts`.
+
+    A conversation on one slab is hashed where it is.  A digest runs over its text from
+    first to last, so one task is fed the pieces of a conversation that lies on many slabs.
+    """
+    conv, conv_type = _conv_type(parts)
+    lines = F.transform("lines", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    pieces = parts.select("conv_id", "slab", "parts", F.array_join(lines, "\n").alias("piece"))
+    whole = pieces.where("parts = 1").select("conv_id", F.sha2("piece", 256).alias("repaired_sha256"))
+    split = pieces.where("parts > 1").select("conv_id", "slab", "piece")
+    return whole.unionByName(map_batches(split.repartition("conv_id").sortWithinPartitions("conv_id", "slab"),
+                                         _digests(conv_type), f"conv_id {conv}, repaired_sha256 string"))
+
+
 def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Faults and cheapest repair of every conversation: ``(summary, repaired rows)``.
+    """Faults and cheapest repair of every conversation: ``(summary, repaired parts)``.
 
-    ``summary`` has ``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit``;
-    the rows are ``conv_id, slab, position, role, text``.  Rows (``conv_id, turn, role,
+    ``summary`` has ``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit``; the
+    parts are those of :func:`repaired_parts`, :func:`lines_of` makes rows of them.  Rows (``conv_id, turn, role,
     text``; ``times`` if a row counts several times) stand by turn, NULL first, equal turns
     by role and text.  NULL roles and texts are one space, a NULL ``conv_id`` is a
     conversation of its own.  A row's first fault counts: blank, seen earlier with role and
@@ -395,24 +408,18 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = letters.where("audit IS NOT NULL").select("conv_id", "illegal", "cost", "audit")
     summary = counts.join(totals, F.col("counted").eqNullSafe(F.col("conv_id"))) \
         .select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
-    return summary, repaired(rows, letters)
-
+    return summary, stored(repaired_parts(rows, letters), "repair_parts")
 
-def digests(rows: DataFrame) -> DataFrame:
-    """``(conv_id, repaired_sha256)`` over ``role:text`` lines; one task hashes a conversation.
 
-    A digest runs over its text from first to last, so lines are joined per slab first."""
-    conv, conv_type = _conv_type(rows)
-    lines = F.array_sort(F.collect_list(F.struct("position", F.concat_ws(":", "role", "text").alias("line"))))
-    pieces = rows.groupBy("conv_id", "slab").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("piece"))
-    return map_batches(pieces.repartition("conv_id").sortWithinPartitions("conv_id", "slab"), _digests(conv_type),
-                       f"conv_id {conv}, repaired_sha256 string")
+def lines_of(parts: DataFrame) -> DataFrame:
+    """``(conv_id, position, role, text)``: the repaired conversations, a row for each turn."""
+    return parts.select("conv_id", F.inline("lines"))
 
 
 def report(conversations: DataFrame) -> DataFrame:
     """Repair of the damaged conversations: counts, cost, audit and digest of every ``conv_id``."""
-    summary, rows = repair(damage(conversations))
-    hashed = digests(rows).withColumnRenamed("conv_id", "hashed")
+    summary, parts = repair(damage(conversations))
+    hashed = digests(parts).withColumnRenamed("conv_id", "hashed")
     every = conversations.select(F.col("conv_id").alias("every")).distinct()
     out = every.join(summary, F.col("every").eqNullSafe(F.col("conv_id")), "left").drop("conv_id") \
         .join(hashed, F.col("every").eqNullSafe(F.col("hashed")), "left")
