@@ -250,7 +250,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set(_mark()).alias("asked"))
     windows = stored(map_batches(named.join(asked, "doc_id").select("doc_id", "text", "asked"), _windows,
                                  "hash long, check int, doc_id long"), "seed_windows")
-    first = spread(windows, ["hash", "check"], "doc_id").where(several).select("hash", "check", "least")
+    # written, so that both sides of the join are shuffled for it and a hot window can be split
+    first = stored(spread(windows, ["hash", "check"], "doc_id").where(several).select("hash", "check", "least"), "seed_first")
     extended = windows.join(first, ["hash", "check"]).where(F.col("doc_id") > F.col("least")) \
         .select("doc_id", F.col("hash").alias("window_mark"))
     marks = matched.unionByName(extended, allowMissingColumns=True).groupBy("doc_id") \
