@@ -35,6 +35,10 @@ from basketlens.llm.common import Memo, map_batches
 from basketlens.llm.words import slices
 
 
+#: Bytes of the two memo tables of a Python worker.
+MEMO_PIECES, MEMO_PAIRS = 64 << 20, 32 << 20
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE, with the tables that encoding needs."""
 
@@ -54,8 +58,8 @@ class Vocabulary:
             self.automaton.add_word(raw.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.shorter = [self._prefix_token(b) for b in self.bytes_of]
-        self.compatible: Memo = Memo()               # pair of tokens -> bool
-        self.pieces: Memo = Memo()                   # match of the pattern -> packed ids
+        self.compatible: Memo = Memo(MEMO_PAIRS)     # pair of tokens -> bool
+        self.pieces: Memo = Memo(MEMO_PIECES)        # match of the pattern -> packed ids
         self._learn_merges()
         self.compatible.clear()
         self.split_any = regex.compile(pattern).findall
