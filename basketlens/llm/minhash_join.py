@@ -473,10 +473,21 @@ def deduplicate(docs: DataFrame, *, words: int = 5, threshold: float = 0.8) -> D
     Rows without words are near nothing and stay.  Equal rows (id and text) are one document.
     """
     join = _Join(docs, words, threshold)
-    grouped = join.rows.join(join.components().select("cls", "label"), "cls", "left")
+    named = join.rows.groupBy("row_key", "doc_id", "n_shingles", "cls").agg(F.count(F.lit(1)).alias("copies"))
+    grouped = named.where("n_shingles > 0").join(join.components().select("cls", "label"), "cls")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row_key"))
-    chosen = grouped.where("n_shingles > 0").groupBy("label").agg(F.min(order)["row_key"].alias("row_key")).select("row_key") \
-        .unionByName(grouped.where("n_shingles = 0").select("row_key").distinct())
-    key = unused("near_key", docs.columns)
-    return docs.withColumn(key, row_key("doc_id", "text")).join(chosen.withColumnRenamed("row_key", key), key, "left_semi") \
-        .dropDuplicates([key]).select(*docs.columns)
+    chosen = grouped.groupBy("label").agg(F.min(order)["row_key"].alias("row_key")).select("row_key", F.lit(True).alias("chosen"))
+    # the keys that not just one row has, or that go: all other rows stay where they are
+    kept, key = (unused(name, docs.columns) for name in ("near_kept", "near_key"))
+    listed = stored(named.join(chosen, "row_key", "left")
+                    .select(F.col("row_key").alias(key), "copies", ((F.col("n_shingles") == 0) | F.col("chosen").isNotNull()).alias(kept))
+                    .where(~F.col(kept) | (F.col("copies") > 1)).select(key, kept), "near_listed")
+    few = listed.count() * KEY_BYTES <= BROADCAST_BYTES
+    told = docs.withColumn(key, row_key("doc_id", "text")).join(F.broadcast(listed) if few else listed, key, "left")
+    if few:
+        out = told.where(F.col(kept).isNull())
+        if not listed.where(F.col(kept)).isEmpty():
+            out = out.unionByName(told.where(F.col(kept)).dropDuplicates([key]))
+    else:
+        out = told.where(F.coalesce(F.col(kept), F.lit(True))).dropDuplicates([key])
+    return out.select(*docs.columns)

@@ -515,6 +515,21 @@ def test_survivors_are_rows_not_ids(spark):
     assert len(got) == 3 and {(0, b), (1, a)} < set(got) and [i for i, _ in got].count(None) == 1
 
 
+@pytest.mark.parametrize("limit", [minhash_join.BROADCAST_BYTES, 0])
+def test_survivors_texts_stay_in_their_tasks(spark, monkeypatch, limit):
+    """Rows that are not repeated are not shuffled; many listed keys are joined by shuffle, with the same rows."""
+    monkeypatch.setattr(minhash_join, "BROADCAST_BYTES", limit)
+    a, b, c = (" ".join(WORDS_OF[k:k + 30]) for k in (0, 40, 80))
+    rows = [(1, a), (2, a + " end"), (3, b), (None, c), (4, c), (5, None), (None, ""), (6, " ")]
+    out = minhash_join.deduplicate(docs(spark, rows))
+    want = [(1, a), (3, b), (4, c), (5, None), (None, ""), (6, " ")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (limit == 0)
+    twice = minhash_join.deduplicate(docs(spark, rows + [(1, a), (5, None), (None, ""), (3, b), (3, b), (2, a + " end")]))
+    assert sorted(((r.doc_id, r.text) for r in twice.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components_of_a_chain(spark):
     pairs = [(bytes([a]), bytes([a + 1])) for a in range(40)] + [(bytes([100]), bytes([90]))]
     got = dict(tuple(map(bytes, r)) for r in minhash_join.components(spark.createDataFrame(pairs, "a binary, b binary")).collect())
